@@ -144,10 +144,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
                 yield pd.DataFrame(out, columns=["tbl", "block", "visits", "query_id", "query"])
 
     indexed = scratch.save(rows.mapInPandas(index, "tbl int, block long, bucket long, vec_id long, embedding array<double>"), "index")
+    key = ["tbl", "block", "part", "turn"]
     full = indexed.groupBy("tbl", "block").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK)).alias("parts"))
-    left = indexed.join(full, ["tbl", "block"]).withColumn("part", F.expr("pmod(xxhash64(vec_id), parts)")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    left = indexed.join(full, ["tbl", "block"]).withColumn("part", F.expr("pmod(xxhash64(vec_id), parts)")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select(*key, "bucket", "vec_id", "embedding")
     right = asked.filter(of_size).mapInPandas(visit, "tbl int, block long, visits array<long>, query_id long, query array<double>")
-    right = right.join(full, ["tbl", "block"]).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("turn", F.expr(f"cast(pmod(xxhash64(query_id, 1), {query_blocks}) as int)"))
+    right = right.join(full, ["tbl", "block"]).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("turn", F.expr(f"cast(pmod(xxhash64(query_id, 1), {query_blocks}) as int)")).select(*key, "visits", "query_id", "query")
 
     def score(key: tuple, held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found: list[pd.DataFrame] = []
@@ -170,7 +171,6 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
         every = pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return every.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    key = ["tbl", "block", "part", "turn"]
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
     merged = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
