@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LEADING, SIMILAR, LEAST_DOCS, LEAST_TOKENS = 2, 70, 3, 5
-_GAP = r"[\x20\x09-\x0D]+"
+BROADCAST_LEAVES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -31,12 +31,17 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"{_WORD}*[0-9]{_WORD}*", "<*>")).otherwise(line)
 
 
+def tokens_of(form: Column) -> Column:
+    """Words between white space; a plain blank is split on without a regular expression."""
+    return F.array_remove(F.split(F.when(form.rlike(r"[\x09-\x0D]"), F.regexp_replace(form, r"[\x09-\x0D]", " ")).otherwise(form), " "), "")
+
+
 def parse(docs: DataFrame) -> DataFrame:
-    """doc_id, line, line_key, tokens, exact, leaf of each line that is long enough to count."""
+    """doc_id, line, line_key, form (masked), exact, leaf of each line that is long enough to count."""
     lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("tokens", F.array_remove(F.split(masked(F.col("line")), _GAP), "")).filter(F.size("tokens") >= LEAST_TOKENS)
+    lines = lines.withColumn("form", masked(F.col("line"))).withColumn("tokens", tokens_of(F.col("form"))).filter(F.size("tokens") >= LEAST_TOKENS)
     leaf = F.xxhash64(F.size("tokens"), *(F.get("tokens", F.lit(i)) for i in range(LEADING)))
-    return lines.select("doc_id", "line", F.xxhash64("line").alias("line_key"), "tokens", F.xxhash64("tokens").alias("exact"), leaf.alias("leaf"))
+    return lines.select("doc_id", "line", F.xxhash64("line").alias("line_key"), "form", F.xxhash64("tokens").alias("exact"), leaf.alias("leaf"))
 
 
 def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
@@ -45,7 +50,10 @@ def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
     lines = scratch.save(parsed.groupBy("doc_id", "line_key").agg(F.max(F.char_length("line")).alias("chars"), F.min("exact").alias("exact"), F.min("leaf").alias("leaf")), "lines")
     # leaves in which several different lines of several documents meet
     busy = lines.groupBy("leaf", "exact").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("forms")).filter(f"lines >= {LEAST_DOCS} and forms > 1").select("leaf")
-    inside = scratch.save(parsed.select("leaf", "exact", "tokens").join(busy, "leaf").groupBy("leaf", "exact").agg(F.any_value("tokens").alias("tokens"), F.count("*").alias("n")), "inside")
+    busy = scratch.save(busy, "busy")
+    few = busy.count() <= BROADCAST_LEAVES  # 8 bytes each; beyond that the lines are shuffled to their leaves
+    inside = parsed.select("leaf", "exact", "form").join(F.broadcast(busy) if few else busy, "leaf").groupBy("leaf", "exact").agg(F.min("form").alias("form"), F.count("*").alias("n"))
+    inside = scratch.save(inside.select("leaf", "exact", tokens_of(F.col("form")).alias("tokens"), "n"), "inside")
     tokens = inside.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     top = tokens.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     model = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("model"))
