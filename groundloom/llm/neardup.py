@@ -7,9 +7,11 @@ empty bins borrow from a bin chosen by a hash of (bin, attempt) ("optimal densif
 Runs of ROWS bins are bands; equal bands share a bucket.
 
 Links are confirmed on full shingle sets. To bound the pairs, a bucket yields a star: each member with the
-bucket's centre. Whoever is not yet connected to the rest of its bucket afterwards is compared across the
-components there: with further centres while that would be many pairs, then with each other, so that no pair
-that shares a bucket and could still join two components stays untested.
+bucket's centre. In buckets that are not one component afterwards, members of different components are
+compared too, so that no pair that shares a bucket and could still join two components stays untested: pair by
+pair in buckets of at most ``CROWD`` members. Larger ones that overlap are taken together as a crowd, which is
+cut into blocks of about ``BLOCK`` members; a task counts what the sets of two blocks have in common by matrix
+products, and gives back only links that join components, never the pairs.
 
 Cases: null, empty or blank text: n_shingles 0, component_id = doc_id, kept. Equal sets are collapsed before
 anything else, so a group of copies of any size is one representative. Repeated rows of one doc_id each come
@@ -30,8 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix64, shingle_sets, small_batches
 
 BANDS, ROWS, WIDTH = 40, 5, 5
-#: Star rounds after the first before the remaining pairs are listed, whatever their number.
-STARS = 6
+CROWD, BLOCK = 24, 256
 
 _BINS = BANDS * ROWS
 _EDGES = (np.arange(_BINS, dtype=np.float64) * (2.0**64 / _BINS)).astype(np.uint64)
@@ -114,27 +115,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     tested = scratch.save(_confirm(pairs, docs, percent), "tested-0")
     good = tested.filter("linked").select("a", "b")
     labels = components(spark, good, scratch, "cc-0")
-    for turn in range(1, STARS + 2):
-        known = active.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        split = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "comp")).alias("mid")).filter("lo < hi")
-        known = scratch.save(known.join(split, "bucket"), f"known-{turn}")
-        rows, most = known.select(F.count("*"), F.sum("members")).first()
-        if not rows:
-            break
-        every = most <= 8 * rows or turn > STARS
-        if every:
-            left = known.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-            right = known.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            more = left.join(right, "bucket").filter("comp_a <> comp_b and a > b").select("a", "n_a", "b", "n_b")
-        else:
-            more = known.filter("comp <> mid.comp").select(F.greatest("rep", "mid.rep").alias("a"), F.when(F.col("rep") > F.col("mid.rep"), F.col("n")).otherwise(F.col("mid.n")).alias("n_a"), F.least("rep", "mid.rep").alias("b"), F.when(F.col("rep") > F.col("mid.rep"), F.col("mid.n")).otherwise(F.col("n")).alias("n_b"))
-        more = more.filter(_close(percent)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = scratch.save(_confirm(more, docs, percent), f"tested-{turn}")
-        tested = tested.unionByName(fresh)
-        labels = components(spark, tested.filter("linked").select("a", "b"), scratch, f"cc-{turn}")
-        scratch.drop(f"known-{turn}")
-        if every:
-            break
+    known = active.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    split = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min("rep").alias("centre")).filter("lo < hi").drop("lo", "hi")
+    known = scratch.save(known.join(split, "bucket"), "known")
+    few = known.filter(F.col("members") <= CROWD)
+    left = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+    right = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    more = left.join(right, "bucket").filter("comp_a <> comp_b and a > b").filter(_close(percent)).select("a", "n_a", "b", "n_b").distinct()
+    more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = scratch.save(_confirm(more, docs, percent), "tested-1")
+    found = good.unionByName(fresh.filter("linked").select("a", "b")).unionByName(_crowds(spark, scratch, known.filter(F.col("members") > CROWD), docs, percent))
+    labels = components(spark, found, scratch, "cc-1")
+    scratch.drop("known")
 
     linked = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or comp is not null").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(linked, "set_key", "left")
@@ -142,6 +134,64 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _crowds(spark: SparkSession, scratch: Scratch, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components inside crowds of overlapping large buckets (rows bucket, rep, n, comp, centre)."""
+    known = scratch.save(known, "crowded")
+    if known.limit(1).count() == 0:
+        return spark.createDataFrame([], "a long, b long")
+    stars = known.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    crowd = components(spark, stars, scratch, "crowd").select(F.col("id").alias("rep"), F.col("comp").alias("crowd"))
+    members = known.select("rep", "n", "comp").distinct().join(crowd, "rep")
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = members.join(sizes, "crowd").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = scratch.save(members.join(texts.mapInPandas(_sets, "rep long, shingles array<long>"), "rep"), "crowd-sets")
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("crowd", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "shingles")
+
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[part["block"] == k] for k in (key[1], key[2])]
+        common = overlap([np.concatenate(list(x["shingles"])) if len(x) else np.zeros(0, np.int64) for x in sides], [x["shingles"].map(len).to_numpy(np.int64) for x in sides])
+        sizes = [x["shingles"].map(len).to_numpy(np.int64) for x in sides]
+        i, j = np.nonzero(100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
+        ids, comps = [x["rep"].to_numpy() for x in sides], [x["comp"].to_numpy() for x in sides]
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                x = y
+            return x
+
+        out = []
+        for x, y in zip(i, j):
+            a, b = top(int(comps[0][x])), top(int(comps[1][y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[0][x]), int(ids[1][y])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return scratch.save(dealt.groupBy("crowd", "lo", "hi").applyInPandas(compare, "a long, b long"), "crowd-links")
+
+
+def overlap(flat: list[np.ndarray], sizes: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other, from their members one after another."""
+    shared = np.intersect1d(flat[0], flat[1])
+    at = []
+    for f, n in zip(flat, sizes):
+        place = np.minimum(np.searchsorted(shared, f), max(len(shared) - 1, 0))
+        hit = shared[place] == f if len(shared) else np.zeros(len(f), bool)
+        at.append((np.repeat(np.arange(len(n)), n)[hit], place[hit]))
+    out = np.zeros((len(sizes[0]), len(sizes[1])), np.float64)
+    for lo in range(0, len(shared), width):
+        dense = []
+        for (row, place), n in zip(at, sizes):
+            m = np.zeros((len(n), min(width, len(shared) - lo)), np.float32)
+            use = (place >= lo) & (place < lo + width)
+            m[row[use], place[use] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return np.rint(out).astype(np.int64)
+
+
 def _close(percent: int) -> str:
     """Only sets of about the same size can be so similar."""
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
