@@ -11,7 +11,7 @@ Buckets are dealt to blocks of about ``BLOCK`` rows; a fuller block is split by
 A block compares its queries with its rows in one matrix product, masked by the buckets each query visits,
 and keeps k candidates a query with exact double scores; the tables' candidates are then merged.
 Rows with equal vectors tie, and ties go to the smaller id, so k + 1 of them can be answers to anything; further ones
-are left out of the index beforehand.
+are left out of the index beforehand. A query that finds fewer than k rows in its buckets is compared with all.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose
 length is not the commonest one (ties: the smaller). Rows with a null id take no part. Repeated rows of an id
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix64
 
-TABLES, HASHES, WIDTH, PROBES = 4, 6, 0.18, 320
+#: WIDTH is in units of the distance between unit vectors.
+TABLES, HASHES, WIDTH, PROBES = 4, 6, 1.44, 320
 BLOCK, QUERY_BLOCK = 8192, 8192
 
 
@@ -71,7 +72,7 @@ class Hashing:
             x, rest = x / norm, np.zeros_like(norm)
         else:
             x, rest = x / self.largest, np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))
-        return (np.hstack([x, rest]) @ self.directions / (WIDTH * np.sqrt(x.shape[1])) + self.shift).reshape(len(x), TABLES, HASHES)
+        return (np.hstack([x, rest]) @ self.directions / WIDTH + self.shift).reshape(len(x), TABLES, HASHES)
 
     def keys(self, cells: np.ndarray) -> np.ndarray:
         return mix64((cells.astype(np.int64).view(np.uint64) * self.salt).sum(-1, dtype=np.uint64)).view(np.int64)
@@ -161,6 +162,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
                 seen = np.zeros((len(some), len(names) + 1), bool)
                 for i, v in enumerate(some["visits"]):
                     at = np.searchsorted(names, v)
+                    if not len(v):  # a query that visits everything
+                        seen[i] = True
                     seen[i, np.where(names[np.minimum(at, len(names) - 1)] == v, at, len(names))] = True
                 near = np.where(seen[:, bucket] & (ids[None, :] != own[:, None]), q @ x.T, -np.inf)
                 if near.shape[1] > k:
@@ -171,7 +174,22 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
         every = pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return every.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
-    merged = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def answers(rows_: DataFrame, asked_: DataFrame) -> DataFrame:
+        pairs = rows_.groupBy(*key).cogroup(asked_.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
+        merged = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = scratch.save(answers(left, right), "found")
+    held = indexed.filter("tbl = 0").count()
+    full_lists = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, held - 1)).select("query_id")
+    short = asked.filter(of_size).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).join(full_lists, "query_id", "left_anti")
+    short = scratch.save(short, "short")
+    if short.limit(1).count() == 0:
+        return found
+    # queries whose buckets held too few rows are compared with every block of one table
+    every = full.filter("tbl = 0").select("tbl", F.expr("block + 0L").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    again = short.withColumn("turn", F.expr(f"cast(pmod(xxhash64(query_id, 1), {query_blocks}) as int)")).withColumn("tbl", F.lit(0)).join(every, "tbl").select(*key, F.expr("cast(array() as array<long>)").alias("visits"), "query_id", "query")
+    exact = answers(left.filter("tbl = 0"), again)
+    return found.join(short.select("query_id"), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(exact)
