@@ -54,7 +54,9 @@ def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
     few = busy.count() <= BROADCAST_LEAVES  # 8 bytes each; beyond that the lines are shuffled to their leaves
     inside = parsed.select("leaf", "exact", "form").join(F.broadcast(busy) if few else busy, "leaf").groupBy("leaf", "exact").agg(F.min("form").alias("form"), F.count("*").alias("n"))
     inside = scratch.save(inside.select("leaf", "exact", tokens_of(F.col("form")).alias("tokens"), "n"), "inside")
-    tokens = inside.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+    # one shuffle by position serves the counts and their maxima; forms are distinct, so counting before it would gain little
+    places = inside.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).repartition("leaf", "place")
+    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     top = tokens.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     model = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("model"))
     equal = F.expr("size(filter(zip_with(tokens, model, (t, m) -> t = m.token), x -> x))")
