@@ -9,7 +9,8 @@ get one more coordinate that brings them to norm one; queries are normalised.
 
 Buckets are dealt to blocks of about ``BLOCK`` rows; a fuller block is split by row, and queries reach every part.
 A block compares its queries with its rows in one matrix product, masked by the buckets each query visits,
-and keeps k candidates a query with exact double scores; the tables' candidates are then merged.
+and keeps k candidates a query with exact double scores; the tables' candidates are then merged. The first table goes
+ahead: the k-th score it finds for a query is a floor, and the other tables hand on only what reaches it.
 Rows with equal vectors tie, and ties go to the smaller id, so k + 1 of them can be answers to anything; further ones
 are left out of the index beforehand. A query that finds fewer than k rows in its buckets is compared with all.
 
@@ -80,9 +81,9 @@ class Hashing:
     def rows(self, x: np.ndarray) -> np.ndarray:
         return self.keys(np.floor(self.project(x, False)))
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        """(rows, tables, probes) bucket keys in the order of visits."""
-        at = self.project(x, True)
+    def probes(self, x: np.ndarray, tables: range) -> np.ndarray:
+        """(rows, those tables, probes) bucket keys in the order of visits."""
+        at = self.project(x, True)[:, tables.start : tables.stop]
         cell = np.floor(at)
         inside = at - cell
         # sorted distances: the nearer sides of all coordinates first, then their far sides mirrored
@@ -130,27 +131,31 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
                 for t in range(TABLES):
                     yield pd.DataFrame({"tbl": t, "block": keys[:, t].view(np.uint64) % np.uint64(blocks), "bucket": keys[:, t], "vec_id": part["vec_id"], "embedding": part["embedding"]})
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for lo in range(0, len(whole), 256):
-                part = whole.iloc[lo : lo + 256]
-                keys = hashing.probes(_matrix(part["embedding"]))
-                out = []
-                for (i, e), of in zip(zip(part["vec_id"], part["embedding"]), keys):
-                    for t in range(TABLES):
-                        where = (of[t].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
-                        order = np.argsort(where, kind="stable")
-                        cuts = np.flatnonzero(np.diff(where[order])) + 1
-                        out += [(t, int(where[g[0]]), of[t][g], i, e) for g in np.split(order, cuts)]
-                yield pd.DataFrame(out, columns=["tbl", "block", "visits", "query_id", "query"])
+    def visits(tables: range) -> DataFrame:
+        """The blocks and buckets of these tables that each query visits."""
+
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for lo in range(0, len(whole), 256):
+                    part = whole.iloc[lo : lo + 256]
+                    keys = hashing.probes(_matrix(part["embedding"]), tables)
+                    out = []
+                    for (i, e), of in zip(zip(part["vec_id"], part["embedding"]), keys):
+                        for t, buckets in zip(tables, of):
+                            where = (buckets.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+                            order = np.argsort(where, kind="stable")
+                            cuts = np.flatnonzero(np.diff(where[order])) + 1
+                            out += [(t, int(where[g[0]]), buckets[g], i, e) for g in np.split(order, cuts)]
+                    yield pd.DataFrame(out, columns=["tbl", "block", "visits", "query_id", "query"])
+
+        seen = asked.filter(of_size).mapInPandas(visit, "tbl int, block long, visits array<long>, query_id long, query array<double>")
+        seen = seen.join(full, ["tbl", "block"]).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+        return seen.withColumn("turn", F.expr(f"cast(pmod(xxhash64(query_id, 1), {query_blocks}) as int)")).select(*key, "visits", "query_id", "query")
 
     indexed = scratch.save(rows.mapInPandas(index, "tbl int, block long, bucket long, vec_id long, embedding array<double>"), "index")
     key = ["tbl", "block", "part", "turn"]
     full = indexed.groupBy("tbl", "block").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK)).alias("parts"))
     left = indexed.join(full, ["tbl", "block"]).withColumn("part", F.expr("pmod(xxhash64(vec_id), parts)")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select(*key, "bucket", "vec_id", "embedding")
-    right = asked.filter(of_size).mapInPandas(visit, "tbl int, block long, visits array<long>, query_id long, query array<double>")
-    right = right.join(full, ["tbl", "block"]).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("turn", F.expr(f"cast(pmod(xxhash64(query_id, 1), {query_blocks}) as int)")).select(*key, "visits", "query_id", "query")
-
     def score(key: tuple, held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found: list[pd.DataFrame] = []
         if len(held) and len(wanted):
@@ -165,7 +170,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
                     if not len(v):  # a query that visits everything
                         seen[i] = True
                     seen[i, np.where(names[np.minimum(at, len(names) - 1)] == v, at, len(names))] = True
+                floor = some["floor"].to_numpy(np.float64)[:, None]
                 near = np.where(seen[:, bucket] & (ids[None, :] != own[:, None]), q @ x.T, -np.inf)
+                near[near < floor - 1e-9 * np.abs(floor)] = -np.inf
                 if near.shape[1] > k:
                     least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
                     near[near < least[:, None] - 1e-9 * np.abs(least[:, None])] = -np.inf
@@ -176,12 +183,19 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def answers(rows_: DataFrame, asked_: DataFrame) -> DataFrame:
-        pairs = rows_.groupBy(*key).cogroup(asked_.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
-        merged = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    no_floor = F.lit(float("-inf")).alias("floor")
+
+    def scored(rows_: DataFrame, asked_: DataFrame) -> DataFrame:
+        return rows_.groupBy(*key).cogroup(asked_.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = scratch.save(answers(left, right), "found")
+    first = scratch.save(merged(scored(left.filter("tbl = 0"), visits(range(1)).select("*", no_floor))), "first")
+    floors = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    later = visits(range(1, TABLES)).join(floors, "query_id", "left").select(*key, "visits", "query_id", "query", F.coalesce("reached", no_floor).alias("floor"))
+    found = scratch.save(merged(first.select("query_id", "vec_id", "score").unionByName(scored(left.filter("tbl > 0"), later))), "found")
     held = indexed.filter("tbl = 0").count()
     full_lists = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, held - 1)).select("query_id")
     short = asked.filter(of_size).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).join(full_lists, "query_id", "left_anti")
@@ -190,6 +204,6 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
         return found
     # queries whose buckets held too few rows are compared with every block of one table
     every = full.filter("tbl = 0").select("tbl", F.expr("block + 0L").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
-    again = short.withColumn("turn", F.expr(f"cast(pmod(xxhash64(query_id, 1), {query_blocks}) as int)")).withColumn("tbl", F.lit(0)).join(every, "tbl").select(*key, F.expr("cast(array() as array<long>)").alias("visits"), "query_id", "query")
-    exact = answers(left.filter("tbl = 0"), again)
+    again = short.withColumn("turn", F.expr(f"cast(pmod(xxhash64(query_id, 1), {query_blocks}) as int)")).withColumn("tbl", F.lit(0)).join(every, "tbl").select(*key, F.expr("cast(array() as array<long>)").alias("visits"), "query_id", "query", no_floor)
+    exact = merged(scored(left.filter("tbl = 0"), again))
     return found.join(short.select("query_id"), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(exact)
