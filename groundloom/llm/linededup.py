@@ -5,10 +5,13 @@ fixed depth by its number of tokens and its ``LEADING`` first tokens. In a leaf,
 makes the leaf's template; a line with at least ``SIMILAR`` per cent of its tokens equal to it belongs to that template, its other
 tokens being variable fields. Any other line is its own (masked) template.
 
-A template recurs if at least ``LEAST_DOCS`` documents hold it; its lines go, from all of them. Copied documents share all
-their lines, which says nothing about a line: a document more than half of which (by characters) recurs is
-taken for a copy. Copies are left whole, for near-duplicate removal to deal with, and don't count as holders
-in the second, deciding count. Lines of fewer than ``LEAST_TOKENS`` tokens always stay.
+A template recurs if at least ``LEAST_DOCS`` holders have it; its lines go, from all documents. Copied documents share all
+their lines, which says nothing about a line: documents with at least ``ALIKE`` per cent of their word pairs in common
+(by the ``SKETCH`` least hashes of both together; exact if they have no more) are copies, linked ones are a group, and a
+group is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among
+documents that hold a template of ``LEAST_DOCS`` documents: the least hashes of ``BINS`` bins (one-permutation MinHash of the
+sketch) sort them ``BANDS`` times within buckets of two equal values, and each is compared with the ``BEFORE`` that precede
+it. Lines of fewer than ``LEAST_TOKENS`` tokens always stay.
 
 Cases: null text stays null, empty text stays empty. Repeated rows of a doc_id are one holder and lose the same lines.
 Null ids are never holders and stay whole. Lines are split at line feeds; blank lines stay. Extra columns are ignored,
@@ -17,12 +20,14 @@ but for those named in ``keep``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .neardup import components
 
 LEADING, SIMILAR, LEAST_DOCS, LEAST_TOKENS = 2, 70, 3, 5
+ALIKE, SKETCH, BINS, BANDS, BEFORE = 65, 128, 16, 10, 2
 BROADCAST_LEAVES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -45,9 +50,9 @@ def parse(docs: DataFrame) -> DataFrame:
 
 
 def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """doc_id, line_key, chars, template: one row for each distinct line of a document."""
+    """doc_id, line_key, template: one row for each distinct line of a document."""
     parsed = parse(docs)
-    lines = scratch.save(parsed.groupBy("doc_id", "line_key").agg(F.max(F.char_length("line")).alias("chars"), F.min("exact").alias("exact"), F.min("leaf").alias("leaf")), "lines")
+    lines = scratch.save(parsed.groupBy("doc_id", "line_key").agg(F.min("exact").alias("exact"), F.min("leaf").alias("leaf")), "lines")
     # leaves in which several different lines of several documents meet
     busy = lines.groupBy("leaf", "exact").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("forms")).filter(f"lines >= {LEAST_DOCS} and forms > 1").select("leaf")
     busy = scratch.save(busy, "busy")
@@ -61,12 +66,31 @@ def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
     model = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("model"))
     equal = F.expr("size(filter(zip_with(tokens, model, (t, m) -> t = m.token), x -> x))")
     member = inside.join(model, "leaf").filter(100 * equal >= SIMILAR * F.size("tokens")).select("exact", F.col("leaf").alias("general"))
-    return scratch.save(lines.join(member, "exact", "left").select("doc_id", "line_key", "chars", F.coalesce("general", "exact").alias("template")), "templates")
-
-
-def recurring(held: DataFrame) -> DataFrame:
-    """Templates that enough documents hold."""
-    return held.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(f"docs >= {LEAST_DOCS}").select("template")
+    return scratch.save(lines.join(member, "exact", "left").select("doc_id", "line_key", F.coalesce("general", "exact").alias("template")), "templates")
+
+
+def copies(spark: SparkSession, scratch: Scratch, docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """doc_id, holder: the copy group of each of the ``suspects`` (doc_id)."""
+    words = docs.filter("doc_id is not null and text is not null").select("doc_id", tokens_of(F.translate("text", "\n", " ")).alias("words"))
+    pair = "transform(sequence(0, greatest(size(words) - 2, 0)), i -> xxhash64(words[i], get(words, i + 1)))"
+    sketch = words.join(suspects, "doc_id", "left_semi").select("doc_id", F.expr(f"slice(array_sort(array_distinct({pair})), 1, {SKETCH})").alias("sketch"))
+    # equal sketches are collapsed, so a group of equal copies of any size is one row
+    sketch = scratch.save(sketch.groupBy("doc_id").agg(F.min("sketch").alias("sketch")), "sketches")
+    same = scratch.save(sketch.select("doc_id", F.xxhash64("sketch").alias("same")), "same")
+    reps = scratch.save(same.groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
+    least = [F.min(F.when(F.col("bin") == h, F.col("pair"))).alias(f"h{h}") for h in range(BINS)]
+    pairs = sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sketch").alias("pair"))
+    signed = pairs.withColumn("bin", F.pmod(F.xxhash64("pair"), F.lit(BINS))).groupBy("rep").agg(*least)
+    value = lambda band, k: F.col(f"h{(band + k) % BINS}")
+    sides = signed.select("rep", F.explode(F.array(*(F.struct(F.xxhash64(F.lit(b), value(b, 0), value(b, 5)).alias("bucket"), F.array(*(value(b, k) for k in (1, 2, 3, 4, 6))).alias("place")) for b in range(BANDS)))).alias("at"))
+    order = Window.partitionBy("bucket").orderBy("place", "rep")
+    near = sides.select("rep", "at.*").withColumn("others", F.array(*(F.lag("rep", k).over(order) for k in range(1, BEFORE + 1))))
+    pairs = near.select("rep", F.explode("others").alias("other")).filter("other is not null").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
+    left, right = (sketch.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    both = scratch.save(pairs, "pairs").join(left, "a").join(right, "b").withColumn("both", F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {SKETCH})"))
+    linked = both.filter(f"100 * size(array_intersect(`both`, array_intersect(s_a, s_b))) >= {ALIKE} * size(`both`)")
+    group = components(spark, scratch.save(linked.select("a", "b"), "linked"), scratch, "copies").withColumnRenamed("id", "rep")
+    return scratch.save(same.join(reps, "same").join(group, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("holder")), "holders")
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,12 +98,12 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str,
     scratch = Scratch(spark, "linededup")
     docs = docs.select("doc_id", "text", *keep)
     held = templates(scratch, docs)
-    hits = scratch.save(held.join(recurring(held), "template", "left_semi"), "hits")
-    shared = hits.groupBy("doc_id").agg(F.sum("chars").alias("shared"))
-    sizes = held.groupBy("doc_id").agg(F.sum("chars").alias("chars"))
-    carriers = shared.join(sizes, "doc_id").filter("2 * shared <= chars").select("doc_id")
-    candidates = scratch.save(hits.join(carriers, "doc_id", "left_semi"), "candidates")
-    gone = candidates.join(recurring(candidates), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone"))
+    frequent = held.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(f"docs >= {LEAST_DOCS}").select("template")
+    hits = scratch.save(held.join(frequent, "template", "left_semi"), "hits")
+    holders = copies(spark, scratch, docs, hits.select("doc_id").distinct())
+    counted = hits.join(holders, "doc_id", "left").select("template", F.coalesce("holder", "doc_id").alias("holder")).distinct()
+    recurring = counted.groupBy("template").agg(F.count("*").alias("holders")).filter(f"holders >= {LEAST_DOCS}").select("template")
+    gone = hits.join(recurring, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone"))
     joined = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     joined = joined.withColumn("left", F.expr("if(gone is null, lines, filter(lines, x -> not array_contains(gone, xxhash64(x))))"))
     return joined.select("doc_id", *keep, F.expr("if(gone is null, text, array_join(`left`, '\n'))").alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("n_dropped"))

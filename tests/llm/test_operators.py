@@ -187,6 +187,29 @@ def test_line_dedup(spark, docs, none):
         assert "shared footer" not in got[i].text and got[i].n_dropped >= 1
 
 
+def prose(rng, n):
+    return " ".join("".join(chr(97 + int(c)) for c in str(k)) for k in rng.integers(1000, 9999, n))
+
+
+def test_line_dedup_counts_a_group_of_copies_once_and_cuts_short_pages(spark):
+    rng = np.random.default_rng(8)
+    footer = "please read our terms before you go on from here"
+    pages = [(i, footer + "\n" + prose(rng, 4 if i == 2 else 40)) for i in range(3)]  # the third is mostly boilerplate
+    lines = [prose(rng, 12) for _ in range(20)]
+    copies = []
+    for i in range(10, 16):
+        some = list(lines)
+        some[i - 10] = prose(rng, 12)
+        copies.append((i, "\n".join(some)))
+    got = {r.doc_id: r for r in linededup.drop_recurring_lines(spark, spark.createDataFrame(pages + copies, "doc_id long, text string")).collect()}
+    assert all(footer not in got[i].text and got[i].n_dropped == 1 for i in range(3))
+    assert all(got[i].text == t for i, t in copies)
+    # two independent documents more, and a line of the copies recurs: it goes from the copies too
+    more = [(20 + i, lines[15] + "\n" + prose(rng, 40)) for i in range(2)]
+    got = {r.doc_id: r for r in linededup.drop_recurring_lines(spark, spark.createDataFrame(copies + more, "doc_id long, text string")).collect()}
+    assert all(got[i].n_dropped == 1 and lines[15] not in got[i].text for i, _ in copies + more)
+
+
 def test_mixing(spark, docs, none):
     labelled = docs.selectExpr("doc_id", "lang as domain")
     targets = {"en": 0.5, "de": 0.5}
