@@ -3,7 +3,10 @@
 A line is parsed as log lines are: tokens that hold a digit become ``<*>``, and the line falls down a tree of
 fixed depth by its number of tokens and its ``LEADING`` first tokens. In a leaf, the commonest token of each position
 makes the leaf's template; a line with at least ``SIMILAR`` per cent of its tokens equal to it belongs to that template, its other
-tokens being variable fields. Any other line is its own (masked) template.
+tokens being variable fields. A template stands if ``LEAST_DOCS`` lines belong to it; the vote is then repeated on the other lines
+of the leaf. If it doesn't stand (several templates blend), each line goes to a branch named by its commonest token that
+not all lines of the leaf have in that place, and the branches vote, until no leaf of ``LEAST_DOCS`` lines in several forms is left.
+Any other line is its own (masked) template.
 
 A template recurs if at least ``LEAST_DOCS`` holders have it; its lines go, from all documents. Copied documents share all
 their lines, which says nothing about a line: documents with at least ``ALIKE`` per cent of their word pairs in common
@@ -20,6 +23,8 @@ but for those named in ``keep``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +54,36 @@ def parse(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line", F.xxhash64("line").alias("line_key"), "form", F.xxhash64("tokens").alias("exact"), leaf.alias("leaf"))
 
 
+def vote(inside: DataFrame, turn: int) -> DataFrame:
+    """The rows of inside (leaf, exact, tokens, n), and: general, the leaf's template; belongs, does the line; stands, is it a template of enough lines."""
+    # one shuffle by position serves the counts and their maxima; forms are distinct, so counting before it would gain little
+    places = inside.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).repartition("leaf", "place")
+    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+    top = tokens.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    model = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("model"))
+    equal = F.expr("size(filter(zip_with(tokens, model, (t, m) -> t = m.token), x -> x))")
+    belongs = inside.join(model, "leaf").withColumn("belongs", 100 * equal >= SIMILAR * F.size("tokens")).drop("model")
+    enough = belongs.filter("belongs").groupBy("leaf").agg(F.sum("n").alias("many")).filter(f"many >= {LEAST_DOCS}").select("leaf", F.lit(True).alias("stands"))
+    general = F.col("leaf") if turn == 0 else F.xxhash64("leaf", F.lit(turn))
+    return belongs.join(enough, "leaf", "left").withColumn("stands", F.coalesce("stands", F.lit(False))).withColumn("general", general)
+
+
+def branches(inside: DataFrame) -> DataFrame:
+    """The lines (leaf, exact, tokens, n) that have a token of at least LEAST_DOCS lines, but not of all, of their leaf; leaf is now their branch."""
+    words = inside.select("leaf", "exact", "n", F.posexplode("tokens").alias("place", "token"))
+    totals = inside.groupBy("leaf").agg(F.sum("n").alias("total"))
+    counts = words.groupBy("leaf", "place", "token").agg(F.sum("n").alias("many")).filter(f"many >= {LEAST_DOCS}").join(totals, "leaf").filter("many < total").drop("total")
+    commonest = F.max_by(F.struct("place", "token"), F.struct("many", -F.col("place"))).alias("at")
+    chosen = words.join(counts, ["leaf", "place", "token"]).groupBy("exact").agg(commonest)
+    return inside.join(chosen, "exact").select(F.xxhash64("leaf", "at.place", "at.token").alias("leaf"), "exact", "tokens", "n")
+
+
+def crowded(inside: DataFrame) -> DataFrame:
+    """Without leaves of one form or of fewer than LEAST_DOCS lines."""
+    held = inside.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("forms")).filter(f"lines >= {LEAST_DOCS} and forms > 1").select("leaf")
+    return inside.join(held, "leaf", "left_semi")
+
+
 def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """doc_id, line_key, template: one row for each distinct line of a document."""
     parsed = parse(docs)
@@ -59,13 +94,15 @@ def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
     few = busy.count() <= BROADCAST_LEAVES  # 8 bytes each; beyond that the lines are shuffled to their leaves
     inside = parsed.select("leaf", "exact", "form").join(F.broadcast(busy) if few else busy, "leaf").groupBy("leaf", "exact").agg(F.min("form").alias("form"), F.count("*").alias("n"))
     inside = scratch.save(inside.select("leaf", "exact", tokens_of(F.col("form")).alias("tokens"), "n"), "inside")
-    # one shuffle by position serves the counts and their maxima; forms are distinct, so counting before it would gain little
-    places = inside.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).repartition("leaf", "place")
-    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-    top = tokens.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-    model = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("model"))
-    equal = F.expr("size(filter(zip_with(tokens, model, (t, m) -> t = m.token), x -> x))")
-    member = inside.join(model, "leaf").filter(100 * equal >= SIMILAR * F.size("tokens")).select("exact", F.col("leaf").alias("general"))
+    turn, members = 0, []
+    while turn == 0 or inside.limit(1).count():
+        voted = scratch.save(vote(inside, turn), f"voted-{turn}")
+        members.append(voted.filter("stands and belongs").select("exact", "general"))
+        others = voted.filter("not (stands and belongs)").select("leaf", "exact", "tokens", "n", "stands", "general")
+        again = others.filter("stands").select(F.xxhash64("general", F.lit("other")).alias("leaf"), "exact", "tokens", "n")
+        turn += 1
+        inside = scratch.save(crowded(again.unionByName(branches(others.filter("not stands")))), f"inside-{turn}")
+    member = reduce(DataFrame.unionByName, members)
     return scratch.save(lines.join(member, "exact", "left").select("doc_id", "line_key", F.coalesce("general", "exact").alias("template")), "templates")
 
 

@@ -210,6 +210,15 @@ def test_line_dedup_counts_a_group_of_copies_once_and_cuts_short_pages(spark):
     assert all(got[i].n_dropped == 1 and lines[15] not in got[i].text for i, _ in copies + more)
 
 
+def test_line_dedup_keeps_several_templates_in_a_leaf(spark):
+    rng = np.random.default_rng(9)
+    kinds = ["Posted by {} in the news section of our site"] * 40 + ["Posted by {} for all friends of old steam trains"] * 30
+    kinds += [f"Posted by {{}} {a} {b} {a} {b} {a} {b} {a}" for a, b in ("xy", "yz", "zx") for _ in range(10)]  # these blend
+    rows = [(i, k.format(prose(rng, 1)) + "\n" + prose(rng, 30)) for i, k in enumerate(kinds)]
+    got = linededup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 100 and all(r.n_dropped == 1 and "Posted" not in r.text for r in got)
+
+
 def test_mixing(spark, docs, none):
     labelled = docs.selectExpr("doc_id", "lang as domain")
     targets = {"en": 0.5, "de": 0.5}
