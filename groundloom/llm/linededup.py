@@ -14,7 +14,10 @@ their lines, which says nothing about a line: documents with at least ``ALIKE``
 group is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among
 documents that hold a template of ``LEAST_DOCS`` documents: the least hashes of ``BINS`` bins (one-permutation MinHash of the
 sketch) sort them ``BANDS`` times within buckets of two equal values, and each is compared with the ``BEFORE`` that precede
-it. Lines of fewer than ``LEAST_TOKENS`` tokens always stay.
+it.
+
+Lines of fewer than ``LEAST_TOKENS`` tokens have no variable fields: they recur as equal masked lines, or, if nothing but
+``<*>`` is left of them, as equal lines.
 
 Cases: null text stays null, empty text stays empty. Repeated rows of a doc_id are one holder and lose the same lines.
 Null ids are never holders and stay whole. Lines are split at line feeds; blank lines stay. Extra columns are ignored,
@@ -47,11 +50,13 @@ def tokens_of(form: Column) -> Column:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """doc_id, line, line_key, form (masked), exact, leaf of each line that is long enough to count."""
+    """doc_id, line, line_key, form (masked), exact, leaf (null: too short for fields) of each line that is not blank."""
     lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("form", masked(F.col("line"))).withColumn("tokens", tokens_of(F.col("form"))).filter(F.size("tokens") >= LEAST_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), *(F.get("tokens", F.lit(i)) for i in range(LEADING)))
-    return lines.select("doc_id", "line", F.xxhash64("line").alias("line_key"), "form", F.xxhash64("tokens").alias("exact"), leaf.alias("leaf"))
+    lines = lines.withColumn("form", masked(F.col("line"))).withColumn("tokens", tokens_of(F.col("form"))).filter(F.size("tokens") > 0)
+    long_enough = F.size("tokens") >= LEAST_TOKENS
+    leaf = F.when(long_enough, F.xxhash64(F.size("tokens"), *(F.get("tokens", F.lit(i)) for i in range(LEADING))))
+    exact = F.when(long_enough | (F.size(F.array_remove("tokens", "<*>")) > 0), F.xxhash64("tokens")).otherwise(F.xxhash64(tokens_of(F.col("line"))))
+    return lines.select("doc_id", "line", F.xxhash64("line").alias("line_key"), "form", exact.alias("exact"), leaf.alias("leaf"))
 
 
 def vote(inside: DataFrame, turn: int) -> DataFrame:
@@ -89,7 +94,7 @@ def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
     parsed = parse(docs)
     lines = scratch.save(parsed.groupBy("doc_id", "line_key").agg(F.min("exact").alias("exact"), F.min("leaf").alias("leaf")), "lines")
     # leaves in which several different lines of several documents meet
-    busy = lines.groupBy("leaf", "exact").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("forms")).filter(f"lines >= {LEAST_DOCS} and forms > 1").select("leaf")
+    busy = lines.filter("leaf is not null").groupBy("leaf", "exact").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("forms")).filter(f"lines >= {LEAST_DOCS} and forms > 1").select("leaf")
     busy = scratch.save(busy, "busy")
     few = busy.count() <= BROADCAST_LEAVES  # 8 bytes each; beyond that the lines are shuffled to their leaves
     inside = parsed.select("leaf", "exact", "form").join(F.broadcast(busy) if few else busy, "leaf").groupBy("leaf", "exact").agg(F.min("form").alias("form"), F.count("*").alias("n"))

@@ -219,6 +219,16 @@ def test_line_dedup_keeps_several_templates_in_a_leaf(spark):
     assert len(got) == 100 and all(r.n_dropped == 1 and "Posted" not in r.text for r in got)
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, f"Home\nPage {i} of 90\n{2000 + i}\n17\nAll rights reserved.\n\n{prose(rng, 4)}\n{prose(rng, 30)}") for i in range(4)]
+    got = linededup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert all(r.text == "\n".join([str(2000 + r.doc_id)] + text[r.doc_id].split("\n")[5:]) and r.n_dropped == 4 for r in got)
+    two = linededup.drop_recurring_lines(spark, spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert all(r.text == text[r.doc_id] and r.n_dropped == 0 for r in two)
+
+
 def test_mixing(spark, docs, none):
     labelled = docs.selectExpr("doc_id", "lang as domain")
     targets = {"en": 0.5, "de": 0.5}
