@@ -4,8 +4,10 @@ Each of ``TABLES`` tables hashes a vector to floor((a.x + b) / width) for ``HASH
 directions. A query also visits perturbed buckets: moving coordinate i to the neighbouring cell succeeds the
 likelier the nearer the query's projection lies to that boundary, and sets of moves are visited in order of the
 expected sum of squared distances of their boundaries ("multiprobe", Lv et al. 2007), by a template over the
-sorted distances. Largest inner product is reduced to least distance: rows are divided by the largest norm and
-get one more coordinate that brings them to norm one; queries are normalised.
+sorted distances. Largest inner product is reduced to least distance: rows are divided by the largest norm of their
+range of norms (``RANGE``: the ratio of its ends) and get one more coordinate that brings them to norm one; queries are
+normalised. A query visits the same buckets for all ranges. Long rows can be answers at any angle: of the rows whose norm is
+over ``LONG`` medians, the about ``BLOCK`` longest lie in one bucket of the first table, which every query visits.
 
 Buckets are dealt to blocks of about ``BLOCK`` rows; a fuller block is split by row, and queries reach every part.
 A block compares its queries with its rows in one matrix product, masked by the buckets each query visits,
@@ -34,6 +36,7 @@ from .common import Scratch, mix64
 #: WIDTH is in units of the distance between unit vectors.
 TABLES, HASHES, WIDTH, PROBES = 4, 6, 1.44, 320
 BLOCK, QUERY_BLOCK = 8192, 8192
+RANGE, LONG, LONG_BUCKET = 1.02, 1.1, 0
 
 
 def template(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -72,7 +75,8 @@ class Hashing:
         if query:
             x, rest = x / norm, np.zeros_like(norm)
         else:
-            x, rest = x / self.largest, np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))
+            end = self.largest / RANGE ** np.floor(np.log(self.largest / norm) / np.log(RANGE))
+            x, rest = x / end, np.sqrt(np.maximum(0, 1 - (norm / end) ** 2))
         return (np.hstack([x, rest]) @ self.directions / WIDTH + self.shift).reshape(len(x), TABLES, HASHES)
 
     def keys(self, cells: np.ndarray) -> np.ndarray:
@@ -114,20 +118,26 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     scratch = Scratch(spark, "ann")
     shape = "query_id long, rank int, vec_id long, score double"
     rows, asked = valid_vectors(vectors), valid_vectors(queries).dropDuplicates(["vec_id"])
-    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(embedding, 0D, (s, x) -> s + double(x) * x)")).alias("largest")).orderBy(F.desc("n"), "d").first()
+    squared = F.expr("aggregate(embedding, 0D, (s, x) -> s + double(x) * x)")
+    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(squared).alias("largest")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], shape)
     dimension, hashing = sizes["d"], Hashing(sizes["d"], float(np.sqrt(sizes["largest"])))
     n_queries = asked.count()
     blocks, query_blocks = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     of_size = F.size("embedding") == dimension
+    shares = [0.5, max(0.5, 1 - BLOCK / sizes["n"])]
+    median, high = rows.filter(of_size).agg(F.percentile_approx(squared, shares, 10_000)).first()[0]
+    long_over = max(LONG * float(np.sqrt(median)), float(np.sqrt(high)))
     same = Window.partitionBy(F.xxhash64("embedding")).orderBy("vec_id")
     rows = rows.filter(of_size).dropDuplicates(["vec_id"]).withColumn("place", F.row_number().over(same)).filter(F.col("place") <= k + 1).drop("place")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if len(part):
-                keys = hashing.rows(_matrix(part["embedding"]))
+                x = _matrix(part["embedding"])
+                keys = hashing.rows(x)
+                keys[np.linalg.norm(x, axis=1) > long_over, 0] = LONG_BUCKET
                 for t in range(TABLES):
                     yield pd.DataFrame({"tbl": t, "block": keys[:, t].view(np.uint64) % np.uint64(blocks), "bucket": keys[:, t], "vec_id": part["vec_id"], "embedding": part["embedding"]})
 
@@ -142,6 +152,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
                     out = []
                     for (i, e), of in zip(zip(part["vec_id"], part["embedding"]), keys):
                         for t, buckets in zip(tables, of):
+                            buckets = np.append(buckets, LONG_BUCKET) if t == 0 else buckets
                             where = (buckets.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
                             order = np.argsort(where, kind="stable")
                             cuts = np.flatnonzero(np.diff(where[order])) + 1

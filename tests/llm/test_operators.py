@@ -296,6 +296,24 @@ def test_nearest(spark):
     assert {r.query_id for r in ann.nearest(spark, few, few).collect()} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("norms", ["spread", "one long row"])
+def test_nearest_of_unequal_norms(spark, norms):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= (rng.lognormal(0, 0.7, 2500) if norms == "spread" else np.where(np.arange(2500) == 7, 20.0, 1.0))[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(spark, v, v.filter("vec_id % 50 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 2500, 50):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 50
+
+
 def test_archives(spark):
     rows = [(1, "http://a.b/x", "h" * 200), (0, "http://c.d/y?z#q", "h" * 200), (2, None, None), (3, "http://u@E.F:8080", "short"), (4, "http://e.f", "short"), (5, "http://a.b/x", "ü\r\n\r\n" * 90), (5, "http://a.b/x", "ü\r\n\r\n" * 90), (None, "http://n", "h" * 200)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, offset string")
