@@ -44,7 +44,7 @@ class BpeEncoder:
 
     In vocabularies whose merges are numbered in the order of their results' ids, a merge's rank is its id, so the faster
     encoder of tiktoken gives the ids of the file; that this holds is tested on ``PROBE`` and on the vocabulary's own pieces,
-    and otherwise the file's own model encodes."""
+    and otherwise the file's own model encodes. It also encodes every text that holds the content of an added token."""
 
     PROBE = "Fünf  words,\n\n they're 12³ \u2028 naïve — ок ²x _y_ \t\r\n 日本語!! don't  <|endoftext|> \x1c a\u00a0b "
 
@@ -52,7 +52,9 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        plain = Tokenizer.from_file(path)  # the fast encoder knows no added tokens
+        plain.encode_special_tokens = True
         self.fast = None
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         letters = byte_letters()
@@ -62,14 +64,15 @@ class BpeEncoder:
             ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if not word.startswith("<|")}
             fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             trials = [self.PROBE] + [w.decode("utf-8", "replace") for w in list(ranks)[::97]]
-            if all(fast.encode_ordinary(t) == self.slow(t) for t in trials):
+            if all(fast.encode_ordinary(t) == plain.encode(t, add_special_tokens=False).ids for t in trials):
                 self.fast = fast
 
     def slow(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text) if self.fast else self.slow(text), "<u4").tobytes()
+        fast = self.fast and not any(t in text for t in self.added)
+        return np.array(self.fast.encode_ordinary(text) if fast else self.slow(text), "<u4").tobytes()
 
 
 def cut(ids: int, length: int) -> list[tuple[int, int]]:

@@ -116,6 +116,16 @@ def test_packing(spark, docs, none):
     assert sum(len(r.ids) for r in got) == sum(len(w) // 4 for *_, w in want)
 
 
+def test_added_tokens_are_encoded_as_the_file_says():
+    from groundloom.llm.queries import vocabulary_path
+    from tokenizers import Tokenizer
+
+    model, encode = Tokenizer.from_file(vocabulary_path()), packing.BpeEncoder(vocabulary_path())
+    for text in ["a<|endoftext|>b", "<|endoftext|>", "no added token"]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+    assert encode.fast and 50256 in np.frombuffer(encode("a<|endoftext|>b"), "<u4")
+
+
 def test_best_fit_is_the_sequential_rule():
     rng = np.random.default_rng(3)
     for _ in range(60):
