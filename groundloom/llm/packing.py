@@ -53,8 +53,7 @@ class BpeEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        plain = Tokenizer.from_file(path)  # the fast encoder knows no added tokens
-        plain.encode_special_tokens = True
+        self.model.encode_special_tokens = True  # for the trials: the fast encoder knows no added tokens
         self.fast = None
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         letters = byte_letters()
@@ -64,8 +63,9 @@ class BpeEncoder:
             ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if not word.startswith("<|")}
             fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             trials = [self.PROBE] + [w.decode("utf-8", "replace") for w in list(ranks)[::97]]
-            if all(fast.encode_ordinary(t) == plain.encode(t, add_special_tokens=False).ids for t in trials):
+            if all(fast.encode_ordinary(t) == self.slow(t) for t in trials):
                 self.fast = fast
+        self.model.encode_special_tokens = False
 
     def slow(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
