@@ -1,23 +1,24 @@
 """Line de-duplication by a log-template tree.
 
-A line is parsed as log lines are: tokens that hold a digit become ``<*>``, and the line falls down a tree of
-fixed depth by its number of tokens and its ``LEADING`` first tokens. In a leaf, the commonest token of each position
-makes the leaf's template; a line with at least ``SIMILAR`` per cent of its tokens equal to it belongs to that template, its other
-tokens being variable fields. A template stands if ``LEAST_DOCS`` lines belong to it; the vote is then repeated on the other lines
-of the leaf. If it doesn't stand (several templates blend), each line goes to a branch named by its commonest token that
-not all lines of the leaf have in that place, and the branches vote, until no leaf of ``LEAST_DOCS`` lines in several forms is left.
-Any other line is its own (masked) template.
-
-A template recurs if at least ``LEAST_DOCS`` holders have it; its lines go, from all documents. Copied documents share all
-their lines, which says nothing about a line: documents with at least ``ALIKE`` per cent of their word pairs in common
-(by the ``SKETCH`` least hashes of both together; exact if they have no more) are copies, linked ones are a group, and a
-group is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among
-documents that hold a template of ``LEAST_DOCS`` documents: the least hashes of ``BINS`` bins (one-permutation MinHash of the
-sketch) sort them ``BANDS`` times within buckets of two equal values, and each is compared with the ``BEFORE`` that precede
-it.
-
-Lines of fewer than ``LEAST_TOKENS`` tokens have no variable fields: they recur as equal masked lines, or, if nothing but
-``<*>`` is left of them, as equal lines.
+A line is parsed as log lines are: tokens that hold a digit become ``<*>``, and the line falls down a tree of fixed depth
+by its number of tokens and its ``LEADING`` first tokens; the rest is cut into ``RUNS`` runs of about equal length. Lines
+that meet in a node and share one run are a group. In a group, the commonest token of each position makes the
+template; a line with at least ``SIMILAR`` per cent of its tokens equal to it belongs to that template, the other tokens being its
+variable fields. So a leaf has as many templates as its lines have common runs. Where several templates share a run,
+the lines that agree in all runs but one have that one as variable field: such a template needs no vote. And a line is always
+an instance of its own (masked) form. Lines of fewer than ``LEAST_TOKENS`` tokens have no variable fields: they recur as
+equal masked lines, or, if nothing but ``<*>`` is left of them, as equal lines.
+
+A line goes, from all documents, if one of its templates recurs: at least ``LEAST_DOCS`` holders have it. Copied documents
+share all their lines, which says nothing about a line: documents with at least ``ALIKE`` per cent of their word pairs in common
+(estimated from the least hashes of ``BINS`` bins: one-permutation MinHash) are copies, linked ones are a group, and a group
+is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among
+documents whose recurring lines make up ``SHARE`` per cent of their characters; any other document is a holder of its
+own. They are dealt to ``BANDS`` buckets of two values, and compared with the least and the greatest id of each bucket.
+
+Each line is parsed once, into a narrow table; only lines that share a run with ``LEAST_DOCS`` others go further. Sets of
+keys are broadcast if they have at most ``BROADCAST`` rows of a few numbers, and shuffled beyond that, where adaptive execution
+splits hot keys. Counts are combined before every shuffle. Texts are shuffled once, at the end.
 
 Cases: null text stays null, empty text stays empty. Repeated rows of a doc_id are one holder and lose the same lines.
 Null ids are never holders and stay whole. Lines are split at line feeds; blank lines stay. Extra columns are ignored,
@@ -26,17 +27,15 @@ but for those named in ``keep``.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .neardup import components
 
-LEADING, SIMILAR, LEAST_DOCS, LEAST_TOKENS = 2, 70, 3, 5
-ALIKE, SKETCH, BINS, BANDS, BEFORE = 65, 128, 16, 10, 2
-BROADCAST_LEAVES = 1_000_000
+LEADING, RUNS, SIMILAR, LEAST_DOCS, LEAST_TOKENS = 2, 3, 70, 3, 5
+SHARE, ALIKE, BINS, BANDS = 25, 65, 64, 16
+BROADCAST = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -49,89 +48,86 @@ def tokens_of(form: Column) -> Column:
     return F.array_remove(F.split(F.when(form.rlike(r"[\x09-\x0D]"), F.regexp_replace(form, r"[\x09-\x0D]", " ")).otherwise(form), " "), "")
 
 
+def hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.hash(t))
+
+
+def run(k: int) -> str:
+    """The k-th run of ``ids`` as SQL."""
+    begin, end = (f"(size(ids) - {LEADING}) * {i} div {RUNS}" for i in (k, k + 1))
+    return f"slice(ids, cast({begin} + {LEADING + 1} as int), cast({end} - {begin} as int))"
+
+
+def node(k: int, *runs: int) -> Column:
+    """The key of a line's node and of some of its runs; k tells apart what the key is for."""
+    return F.xxhash64(F.lit(k), F.size("ids"), *(F.expr(f"ids[{i}]") for i in range(LEADING)), *(F.expr(run(r)) for r in runs))
+
+
 def parse(docs: DataFrame) -> DataFrame:
-    """doc_id, line, line_key, form (masked), exact, leaf (null: too short for fields) of each line that is not blank."""
-    lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("form", masked(F.col("line"))).withColumn("tokens", tokens_of(F.col("form"))).filter(F.size("tokens") > 0)
-    long_enough = F.size("tokens") >= LEAST_TOKENS
-    leaf = F.when(long_enough, F.xxhash64(F.size("tokens"), *(F.get("tokens", F.lit(i)) for i in range(LEADING))))
-    exact = F.when(long_enough | (F.size(F.array_remove("tokens", "<*>")) > 0), F.xxhash64("tokens")).otherwise(F.xxhash64(tokens_of(F.col("line"))))
-    return lines.select("doc_id", "line", F.xxhash64("line").alias("line_key"), "form", exact.alias("exact"), leaf.alias("leaf"))
-
-
-def vote(inside: DataFrame, turn: int) -> DataFrame:
-    """The rows of inside (leaf, exact, tokens, n), and: general, the leaf's template; belongs, does the line; stands, is it a template of enough lines."""
-    # one shuffle by position serves the counts and their maxima; forms are distinct, so counting before it would gain little
-    places = inside.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).repartition("leaf", "place")
-    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-    top = tokens.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-    model = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("model"))
-    equal = F.expr("size(filter(zip_with(tokens, model, (t, m) -> t = m.token), x -> x))")
-    belongs = inside.join(model, "leaf").withColumn("belongs", 100 * equal >= SIMILAR * F.size("tokens")).drop("model")
-    enough = belongs.filter("belongs").groupBy("leaf").agg(F.sum("n").alias("many")).filter(f"many >= {LEAST_DOCS}").select("leaf", F.lit(True).alias("stands"))
-    general = F.col("leaf") if turn == 0 else F.xxhash64("leaf", F.lit(turn))
-    return belongs.join(enough, "leaf", "left").withColumn("stands", F.coalesce("stands", F.lit(False))).withColumn("general", general)
-
-
-def branches(inside: DataFrame) -> DataFrame:
-    """The lines (leaf, exact, tokens, n) that have a token of at least LEAST_DOCS lines, but not of all, of their leaf; leaf is now their branch."""
-    words = inside.select("leaf", "exact", "n", F.posexplode("tokens").alias("place", "token"))
-    totals = inside.groupBy("leaf").agg(F.sum("n").alias("total"))
-    counts = words.groupBy("leaf", "place", "token").agg(F.sum("n").alias("many")).filter(f"many >= {LEAST_DOCS}").join(totals, "leaf").filter("many < total").drop("total")
-    commonest = F.max_by(F.struct("place", "token"), F.struct("many", -F.col("place"))).alias("at")
-    chosen = words.join(counts, ["leaf", "place", "token"]).groupBy("exact").agg(commonest)
-    return inside.join(chosen, "exact").select(F.xxhash64("leaf", "at.place", "at.token").alias("leaf"), "exact", "tokens", "n")
-
-
-def crowded(inside: DataFrame) -> DataFrame:
-    """Without leaves of one form or of fewer than LEAST_DOCS lines."""
-    held = inside.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("forms")).filter(f"lines >= {LEAST_DOCS} and forms > 1").select("leaf")
-    return inside.join(held, "leaf", "left_semi")
-
-
-def templates(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """doc_id, line_key, template: one row for each distinct line of a document."""
-    parsed = parse(docs)
-    lines = scratch.save(parsed.groupBy("doc_id", "line_key").agg(F.min("exact").alias("exact"), F.min("leaf").alias("leaf")), "lines")
-    # leaves in which several different lines of several documents meet
-    busy = lines.filter("leaf is not null").groupBy("leaf", "exact").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("forms")).filter(f"lines >= {LEAST_DOCS} and forms > 1").select("leaf")
-    busy = scratch.save(busy, "busy")
-    few = busy.count() <= BROADCAST_LEAVES  # 8 bytes each; beyond that the lines are shuffled to their leaves
-    inside = parsed.select("leaf", "exact", "form").join(F.broadcast(busy) if few else busy, "leaf").groupBy("leaf", "exact").agg(F.min("form").alias("form"), F.count("*").alias("n"))
-    inside = scratch.save(inside.select("leaf", "exact", tokens_of(F.col("form")).alias("tokens"), "n"), "inside")
-    turn, members = 0, []
-    while turn == 0 or inside.limit(1).count():
-        voted = scratch.save(vote(inside, turn), f"voted-{turn}")
-        members.append(voted.filter("stands and belongs").select("exact", "general"))
-        others = voted.filter("not (stands and belongs)").select("leaf", "exact", "tokens", "n", "stands", "general")
-        again = others.filter("stands").select(F.xxhash64("general", F.lit("other")).alias("leaf"), "exact", "tokens", "n")
-        turn += 1
-        inside = scratch.save(crowded(again.unionByName(branches(others.filter("not stands")))), f"inside-{turn}")
-    member = reduce(DataFrame.unionByName, members)
-    return scratch.save(lines.join(member, "exact", "left").select("doc_id", "line_key", F.coalesce("general", "exact").alias("template")), "templates")
-
-
-def copies(spark: SparkSession, scratch: Scratch, docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """doc_id, doc_chars, chars, line_key, ids (hashes of the masked tokens), exact, keys (of its groups) of each line that is not blank."""
+    lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.char_length("text").alias("doc_chars"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    lines = lines.withColumn("ids", hashed(tokens_of(masked(F.col("line"))))).filter(F.size("ids") > 0)
+    bare = (F.size("ids") < LEAST_TOKENS) & (F.size(F.array_remove("ids", F.hash(F.lit("<*>")))) == 0)
+    exact = F.when(bare, F.xxhash64(hashed(tokens_of(F.col("line"))))).otherwise(F.xxhash64("ids"))
+    lines = lines.select("doc_id", "doc_chars", F.char_length("line").alias("chars"), F.xxhash64("line").alias("line_key"), "ids", exact.alias("exact"))
+    return lines.withColumn("keys", F.when(F.size("ids") >= LEAST_TOKENS, F.array(*(node(k, k) for k in range(RUNS)))).otherwise(F.array("exact")))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
+def generalised(scratch: Scratch, forms: DataFrame) -> DataFrame:
+    """(exact, template) of the forms (key, exact, ids, n), for templates of two forms or more."""
+    tokens = forms.select("key", "n", F.posexplode("ids").alias("place", "token")).groupBy("key", "place", "token").agg(F.sum("n").alias("n"))
+    top = tokens.groupBy("key", "place").agg(F.max(F.struct("n", "token")).alias("top"))
+    model = top.groupBy("key").agg(F.expr("transform(sort_array(collect_list(struct(place, top.token))), x -> x.token)").alias("model"))
+    equal = F.expr("size(filter(zip_with(ids, model, (t, m) -> t = m), x -> x))")
+    voted = forms.join(model, "key").filter(100 * equal >= SIMILAR * F.size("ids")).select("exact", F.xxhash64(F.lit("voted"), "key").alias("template"))
+    all_but = F.array(*(node(RUNS + k, *(r for r in range(RUNS) if r != k)) for k in range(RUNS)))
+    plain = forms.groupBy("exact").agg(F.any_value("ids").alias("ids")).select("exact", F.explode(all_but).alias("template"))
+    made = scratch.save(voted.unionByName(plain), "made")
+    several = made.groupBy("template").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo < hi").select("template")
+    return scratch.save(made.join(sized(several), "template", "left_semi").select("exact", "template"), "general")
+
+
+def instances(scratch: Scratch, lines: DataFrame) -> DataFrame:
+    """doc_id, doc_chars, line_key, chars, template: each line with those of its templates that LEAST_DOCS documents have."""
+    groups = lines.select("exact", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"), (F.min("exact") < F.max("exact")).alias("mixed")).filter(f"n >= {LEAST_DOCS}").select("key", "mixed")
+    groups = scratch.save(groups, "groups")
+    met = lines.withColumn("key", F.explode("keys")).join(sized(groups), "key")
+    met = scratch.save(met.select("doc_id", "doc_chars", "line_key", "chars", "exact", "key", "mixed", F.when(F.col("mixed"), F.col("ids")).alias("ids")), "met")
+    forms = scratch.save(met.filter("mixed").groupBy("key", "exact").agg(F.any_value("ids").alias("ids"), F.count("*").alias("n")), "forms")
+    general = generalised(scratch, forms)
+    once = met.select("doc_id", "doc_chars", "line_key", "chars", "exact").distinct()
+    every = scratch.save(once.withColumn("template", F.col("exact")).unionByName(once.join(sized(general), "exact").select(*once.columns, "template")).drop("exact"), "every")
+    frequent = every.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(f"docs >= {LEAST_DOCS}").select("template")
+    frequent = scratch.save(frequent, "frequent")
+    return scratch.save(every.join(sized(frequent), "template", "left_semi").select(*every.columns), "hits")
+
+
+def copies(spark: SparkSession, scratch: Scratch, lines: DataFrame, suspects: DataFrame) -> DataFrame:
     """doc_id, holder: the copy group of each of the ``suspects`` (doc_id)."""
-    words = docs.filter("doc_id is not null and text is not null").select("doc_id", tokens_of(F.translate("text", "\n", " ")).alias("words"))
-    pair = "transform(sequence(0, greatest(size(words) - 2, 0)), i -> xxhash64(words[i], get(words, i + 1)))"
-    sketch = words.join(suspects, "doc_id", "left_semi").select("doc_id", F.expr(f"slice(array_sort(array_distinct({pair})), 1, {SKETCH})").alias("sketch"))
-    # equal sketches are collapsed, so a group of equal copies of any size is one row
-    sketch = scratch.save(sketch.groupBy("doc_id").agg(F.min("sketch").alias("sketch")), "sketches")
+    pair = F.expr("transform(sequence(0, greatest(size(ids) - 2, 0)), i -> xxhash64(ids[i], get(ids, i + 1)))")
+    pairs = lines.select("doc_id", "ids").join(sized(suspects), "doc_id").select("doc_id", F.explode(pair).alias("pair"))
+    least = pairs.groupBy("doc_id", F.expr(f"cast(pmod(pair, {BINS}) as int)").alias("bin")).agg(F.min(F.expr("cast(shiftright(pair, 32) as int)")).alias("low"))
+    found = least.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "low"))).alias("at"))
+    sketch = scratch.save(found.select("doc_id", F.expr(f"transform(sequence(0, {BINS - 1}), k -> at[k])").alias("sketch")), "sketches")
+    # equal sketches are one row, so a group of equal copies of any size is
     same = scratch.save(sketch.select("doc_id", F.xxhash64("sketch").alias("same")), "same")
     reps = scratch.save(same.groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
-    least = [F.min(F.when(F.col("bin") == h, F.col("pair"))).alias(f"h{h}") for h in range(BINS)]
-    pairs = sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sketch").alias("pair"))
-    signed = pairs.withColumn("bin", F.pmod(F.xxhash64("pair"), F.lit(BINS))).groupBy("rep").agg(*least)
-    value = lambda band, k: F.col(f"h{(band + k) % BINS}")
-    sides = signed.select("rep", F.explode(F.array(*(F.struct(F.xxhash64(F.lit(b), value(b, 0), value(b, 5)).alias("bucket"), F.array(*(value(b, k) for k in (1, 2, 3, 4, 6))).alias("place")) for b in range(BANDS)))).alias("at"))
-    order = Window.partitionBy("bucket").orderBy("place", "rep")
-    near = sides.select("rep", "at.*").withColumn("others", F.array(*(F.lag("rep", k).over(order) for k in range(1, BEFORE + 1))))
-    pairs = near.select("rep", F.explode("others").alias("other")).filter("other is not null").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-    left, right = (sketch.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    both = scratch.save(pairs, "pairs").join(left, "a").join(right, "b").withColumn("both", F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {SKETCH})"))
-    linked = both.filter(f"100 * size(array_intersect(`both`, array_intersect(s_a, s_b))) >= {ALIKE} * size(`both`)")
-    group = components(spark, scratch.save(linked.select("a", "b"), "linked"), scratch, "copies").withColumnRenamed("id", "rep")
+    kept = scratch.save(sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch"), "kept")
+    value = lambda b: F.array_min(F.array(*(F.expr(f"sketch[{k}]") for k in range(b % BANDS, BINS, BANDS))))
+    band = [F.when(F.coalesce(value(b), value(b + 5)).isNotNull(), F.xxhash64(F.lit(b), value(b), value(b + 5))) for b in range(BANDS)]
+    sides = scratch.save(kept.select("rep", F.explode(F.array_compact(F.array(*band))).alias("bucket")), "sides")
+    ends = sides.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    tested = sides.join(ends, "bucket").select(F.col("rep").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct()
+    left, right = (kept.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    both = tested.join(left, "a").join(right, "b")
+    count = lambda test: f"size(filter(zip_with(s_a, s_b, (x, y) -> {test}), z -> z))"
+    linked = both.filter(f"100 * {count('x = y')} >= {ALIKE} * {count('x is not null or y is not null')}").select("a", "b")
+    group = components(spark, scratch.save(linked, "linked"), scratch, "copies").withColumnRenamed("id", "rep")
     return scratch.save(same.join(reps, "same").join(group, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("holder")), "holders")
 
 
@@ -139,13 +135,18 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str,
     """doc_id, the kept columns, text without recurring lines, n_lines, n_dropped (of the row's lines)."""
     scratch = Scratch(spark, "linededup")
     docs = docs.select("doc_id", "text", *keep)
-    held = templates(scratch, docs)
-    frequent = held.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(f"docs >= {LEAST_DOCS}").select("template")
-    hits = scratch.save(held.join(frequent, "template", "left_semi"), "hits")
-    holders = copies(spark, scratch, docs, hits.select("doc_id").distinct())
-    counted = hits.join(holders, "doc_id", "left").select("template", F.coalesce("holder", "doc_id").alias("holder")).distinct()
-    recurring = counted.groupBy("template").agg(F.count("*").alias("holders")).filter(f"holders >= {LEAST_DOCS}").select("template")
-    gone = hits.join(recurring, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone"))
+    lines = scratch.save(parse(docs), "lines")
+    hits = instances(scratch, lines)
+    for name in ("groups", "met", "forms", "made", "general", "every", "frequent"):
+        scratch.drop(name)
+    weight = hits.groupBy("doc_id", "line_key").agg(F.max("chars").alias("chars"), F.max("doc_chars").alias("doc_chars")).groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.max("doc_chars").alias("doc_chars"))
+    suspects = scratch.save(weight.filter(f"100 * chars >= {SHARE} * doc_chars").select("doc_id"), "suspects")
+    holders = copies(spark, scratch, lines, suspects)
+    counted = hits.select("doc_id", "template").distinct().join(holders, "doc_id", "left").select("template", F.coalesce("holder", "doc_id").alias("holder")).distinct()
+    recurring = scratch.save(counted.groupBy("template").agg(F.count("*").alias("holders")).filter(f"holders >= {LEAST_DOCS}").select("template"), "recurring")
+    gone = scratch.save(hits.join(sized(recurring), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone")), "gone")
+    for name in ("lines", "hits", "suspects", "sketches", "same", "reps", "kept", "sides", "linked", "holders", "recurring"):
+        scratch.drop(name)
     joined = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     joined = joined.withColumn("left", F.expr("if(gone is null, lines, filter(lines, x -> not array_contains(gone, xxhash64(x))))"))
     return joined.select("doc_id", *keep, F.expr("if(gone is null, text, array_join(`left`, '\n'))").alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("n_dropped"))
