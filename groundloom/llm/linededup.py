@@ -18,7 +18,8 @@ own. They are dealt to ``BANDS`` buckets of two values, and compared with the le
 
 Each line is parsed once, into a narrow table; only lines that share a run with ``LEAST_DOCS`` others go further. Sets of
 keys are broadcast if they have at most ``BROADCAST`` rows of a few numbers, and shuffled beyond that, where adaptive execution
-splits hot keys. Counts are combined before every shuffle. Texts are shuffled once, at the end.
+splits hot keys. Counts are combined before every shuffle. Texts are shuffled once, at the
+end, whatever the size of what they meet there.
 
 Cases: null text stays null, empty text stays empty. Repeated rows of a doc_id are one holder and lose the same lines.
 Null ids are never holders and stay whole. Lines are split at line feeds; blank lines stay. Extra columns are ignored,
@@ -39,13 +40,15 @@ BROADCAST = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"{_WORD}*[0-9]{_WORD}*", "<*>")).otherwise(line)
+def tokens_of(line: Column) -> Column:
+    """Words between white space."""
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
-def tokens_of(form: Column) -> Column:
-    """Words between white space; a plain blank is split on without a regular expression."""
-    return F.array_remove(F.split(F.when(form.rlike(r"[\x09-\x0D]"), F.regexp_replace(form, r"[\x09-\x0D]", " ")).otherwise(form), " "), "")
+def masked_tokens(line: Column) -> Column:
+    """The same, with ``<*>`` for each word that holds a digit; most lines are split without a regular expression."""
+    plain = F.translate(F.regexp_replace(line, rf"{_WORD}*[0-9]{_WORD}*", "<*>"), "\t\x0b\x0c\r", "    ")
+    return F.array_remove(F.split(F.when(line.rlike(r"[0-9\x09-\x0D]"), plain).otherwise(line), " "), "")
 
 
 def hashed(tokens: Column) -> Column:
@@ -66,7 +69,8 @@ def node(k: int, *runs: int) -> Column:
 def parse(docs: DataFrame) -> DataFrame:
     """doc_id, doc_chars, chars, line_key, ids (hashes of the masked tokens), exact, keys (of its groups) of each line that is not blank."""
     lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.char_length("text").alias("doc_chars"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.withColumn("ids", hashed(tokens_of(masked(F.col("line"))))).filter(F.size("ids") > 0)
+    # blank lines are told by the line itself: a filter on the tokens would compute them twice
+    lines = lines.filter(F.col("line").rlike(_WORD)).withColumn("ids", hashed(masked_tokens(F.col("line"))))
     bare = (F.size("ids") < LEAST_TOKENS) & (F.size(F.array_remove("ids", F.hash(F.lit("<*>")))) == 0)
     exact = F.when(bare, F.xxhash64(hashed(tokens_of(F.col("line"))))).otherwise(F.xxhash64("ids"))
     lines = lines.select("doc_id", "doc_chars", F.char_length("line").alias("chars"), F.xxhash64("line").alias("line_key"), "ids", exact.alias("exact"))
@@ -147,6 +151,6 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str,
     gone = scratch.save(hits.join(sized(recurring), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone")), "gone")
     for name in ("lines", "hits", "suspects", "sketches", "same", "reps", "kept", "sides", "linked", "holders", "recurring"):
         scratch.drop(name)
-    joined = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
+    joined = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     joined = joined.withColumn("left", F.expr("if(gone is null, lines, filter(lines, x -> not array_contains(gone, xxhash64(x))))"))
     return joined.select("doc_id", *keep, F.expr("if(gone is null, text, array_join(`left`, '\n'))").alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("n_dropped"))
