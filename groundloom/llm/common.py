@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, else (tests, one machine) one of our own."""
+    """The folder that driver and executors share: the session's, else (tests, all in one process) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="groundloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -65,6 +67,17 @@ def _forget(spark: SparkSession, root: str) -> None:
             pass
 
 
+#: Rows of a few numbers that may be broadcast.
+BROADCAST = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most BROADCAST rows, else left to a shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what one Arrow batch of documents holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -17,7 +17,7 @@ documents whose recurring lines make up ``SHARE`` per cent of their characters;
 own. They are dealt to ``BANDS`` buckets of two values, and compared with the least and the greatest id of each bucket.
 
 Each line is parsed once, into a narrow table; only lines that share a run with ``LEAST_DOCS`` others go further. Sets of
-keys are broadcast if they have at most ``BROADCAST`` rows of a few numbers, and shuffled beyond that, where adaptive execution
+keys are broadcast if they are small (``common.BROADCAST`` rows of a few numbers), and shuffled beyond that, where adaptive execution
 splits hot keys. Counts are combined before every shuffle. Texts are shuffled once, at the
 end, whatever the size of what they meet there.
 
@@ -31,12 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized
 from .neardup import components
 
 LEADING, RUNS, SIMILAR, LEAST_DOCS, LEAST_TOKENS = 2, 3, 70, 3, 5
 SHARE, ALIKE, BINS, BANDS = 25, 65, 64, 16
-BROADCAST = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -77,11 +76,6 @@ def parse(docs: DataFrame) -> DataFrame:
     return lines.withColumn("keys", F.when(F.size("ids") >= LEAST_TOKENS, F.array(*(node(k, k) for k in range(RUNS)))).otherwise(F.array("exact")))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
-
-
 def generalised(scratch: Scratch, forms: DataFrame) -> DataFrame:
     """(exact, template) of the forms (key, exact, ids, n), for templates of two forms or more."""
     tokens = forms.select("key", "n", F.posexplode("ids").alias("place", "token")).groupBy("key", "place", "token").agg(F.sum("n").alias("n"))
