@@ -256,7 +256,10 @@ def lookup(queries: DataFrame, parts: DataFrame, archives: str, index: str) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])], ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes"])
 
     routed = queries.select("url", "page_id").distinct().mapInArrow(route, "part int, url_key string, page_id long").distinct()
-    return routed.repartition("part").sortWithinPartitions("part", "url_key", "page_id").mapInArrow(read, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long")
+    # a range of keys a task: parts are cut further, and no task reads all parts
+    tasks = max(2, queries.sparkSession.sparkContext.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = routed.repartitionByRange(tasks, "part", "url_key", "page_id").sortWithinPartitions("part", "url_key", "page_id")
+    return dealt.mapInArrow(read, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
