@@ -6,11 +6,15 @@ Document rates then solve a least-squares problem, by projected gradient: rates
 (0 or more), and the expected token total of each domain, rate x tokens x posterior summed over the documents,
 shall equal its target.
 
-Each step needs only one total a domain. A document's rate is a function of its posterior and of the steps so
-far, so no step writes a table and a lost task is simply run again.
+Each step needs only one total a domain. A document's rate is a function of its posterior and of the last steps, so
+a step writes no table and a lost task is simply run again; after ``STEPS`` steps the rates are written and the
+history starts anew. The fit ends when every domain is within ``CLOSE`` of the budget, or when targets that no rates
+can meet leave the residual as it is (it gains less than a hundredth of CLOSE in ``STEPS`` steps); the residual is returned. If neither
+comes to pass in ``MOST_STEPS`` steps, an error is raised.
 
 Learning uses at most ``MOST_LABELLED`` labelled documents (least id hashes); prediction and fit use all documents
-and whole texts. With ``total=None`` the budget is the least for which no domain must shrink.
+and whole texts. ``total`` is the budget of tokens: a number, "natural" (as many as the documents have, so that domains above their target are
+thinned), or None (the least for which no domain must shrink).
 
 Cases: rows of one doc_id are one document (a null id too). Null, empty and blank texts: no tokens, the prior as
 posterior, and a rate that moves nothing. A domain without labelled documents gets posterior 0 and its target is left out of the
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BUCKETS, MOST_LABELLED, EVIDENCE, STEPS, CLOSE = 8192, 4000, 20, 30, 1e-3
+BUCKETS, MOST_LABELLED, EVIDENCE, STEPS, MOST_STEPS, CLOSE = 8192, 4000, 20, 25, 400, 1e-3
 _GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -69,32 +73,40 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
 
 
 def rate_of(history: list[list[float]], least: float) -> Column:
-    """The rate after the steps so far: each adds a combination of the posteriors and is cut at the bound."""
-    rate: Column = F.lit(max(1.0, least))
+    """The rate after some steps from ``rate_0``: each adds a combination of the posteriors and is cut at the bound."""
+    rate: Column = F.col("rate_0")
     for step in history:
         rate = F.greatest(F.lit(least), rate + sum(F.col(f"p{i}") * F.lit(u) for i, u in enumerate(step)))
     return rate
 
 
-def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, least_rate: float = 0.0) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>..., rate, copies (the rate rounded up or down by a hash of the id, right on average)."""
+def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | str | None = None, least_rate: float = 0.0) -> DataFrame:
+    """doc_id, n_tokens, p_<domain>..., rate, copies (the rate rounded up or down by a hash of the id, right on average), residual (the largest miss, as a share of the budget)."""
     scratch = Scratch(spark, "mixing")
     domains = sorted(targets)
     k = range(len(domains))
-    soft = scratch.save(posteriors(docs, labelled, domains), "posteriors")
-    held = [F.sum(F.col("n_tokens") * F.col(f"p{i}")) for i in k]
-    natural = [x or 0.0 for x in soft.agg(*held).first()]
+    soft = scratch.save(posteriors(docs, labelled, domains).withColumn("rate_0", F.lit(max(1.0, least_rate))), "rates-0")
+    held = lambda rate: [x or 0.0 for x in soft.agg(*(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")) for i in k)).first()]
+    natural = held(F.lit(1.0))
     live = [i for i in k if natural[i] > 0]
     weight = sum(targets[domains[i]] for i in live) or 1.0
     share = [targets[domains[i]] / weight if i in live else 0.0 for i in k]
-    budget = total if total is not None else max((natural[i] / share[i] for i in live if share[i] > 0), default=0.0)
+    budget = sum(natural) if total == "natural" else total if total is not None else max((natural[i] / share[i] for i in live if share[i] > 0), default=0.0)
     want = [budget * s for s in share]
+    miss = lambda now: max((abs(now[i] - want[i]) for i in live), default=0.0) / max(budget, 1.0)
     history: list[list[float]] = []
-    now = natural if least_rate <= 1 else [x * least_rate for x in natural]
-    while live and len(history) < STEPS and max(abs(now[i] - want[i]) for i in live) > CLOSE * max(budget, 1.0):
+    now, taken, written = held(F.col("rate_0")), 0, 0
+    misses = [miss(now)]
+    while misses[-1] > CLOSE and (taken < STEPS or misses[-STEPS - 1] - misses[-1] > CLOSE / 100):
+        if taken == MOST_STEPS:
+            raise RuntimeError(f"rates still move after {taken} steps; largest miss {misses[-1]:.4f} of the budget")
+        if len(history) == STEPS:
+            written += 1
+            soft = scratch.save(soft.withColumn("rate_0", rate_of(history, least_rate)), f"rates-{written}")
+            history = []
         history.append([(want[i] - now[i]) / natural[i] if i in live else 0.0 for i in k])
-        rate = rate_of(history, least_rate)
-        now = list(soft.agg(*(F.sum(rate * F.col("n_tokens") * F.col(f"p{i}")) for i in k)).first())
+        now, taken = held(rate_of(history, least_rate)), taken + 1
+        misses.append(miss(now))
     rated = soft.withColumn("rate", rate_of(history, least_rate))
     part = F.expr("pmod(xxhash64(doc_id, 17), 1048576) / 1048576D")
-    return rated.select("doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", F.floor(F.col("rate") + part).cast("long").alias("copies"))
+    return rated.select("doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", F.floor(F.col("rate") + part).cast("long").alias("copies"), F.lit(misses[-1]).alias("residual"))
