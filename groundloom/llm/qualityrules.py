@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Five figures of each whole text (``signals``) give five shares; a rule rejects a document whose share lies beyond the rule's
-cutoff. Labelled good documents that pass the base rules are the holdout. For each stratum (language) and
-rule, cutoffs are tested from lenient to strict: a cutoff stands if the exact (Clopper-Pearson) upper bound of
-its false rejection rate, at level ``DELTA`` over the number of (stratum, rule) pairs, is at most ``ALPHA`` over
-the number of rules, and all more lenient ones stand (fixed-sequence testing inside a rule, Bonferroni across
-rules and strata). So with probability 1 - DELTA no stratum loses more than ALPHA of its good documents to
-the rules. Where the holdout is too small for any certificate, no cutoff applies.
+cutoff. The cutoffs of all rules together form one path of ``LEVELS`` vectors, fixed beforehand, from lenient to strict. Labelled
+good documents that pass the base rules are the holdout. In each stratum (language) the vectors are tested in that order: one
+stands if the exact (Clopper-Pearson) upper bound of the share of good documents that any of its rules rejects is at most
+``ALPHA``, at level ``DELTA`` over the number of strata, and all more lenient ones stand (fixed-sequence testing along the
+path, Bonferroni across strata). So with probability 1 - DELTA no stratum loses more than ALPHA of its good documents to
+the rules. A stratum is judged by the strictest vector that stands; where the holdout is too small for any certificate
+(fewer than about ln(strata / DELTA) / ALPHA good documents), by none.
 
 Cases: null text: all counts 0, fails the base rules. Null language is a stratum of its own. A document with
 several labels is good only if all are 1. Repeated rows are judged alike; a repeated good row counts once in the holdout. Null
@@ -23,14 +24,15 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 ALPHA, DELTA = 0.05, 0.05
-#: share (thousandths) and cutoffs from lenient to strict; "over" rejects above the cutoff, "under" below.
+#: share (thousandths) and a cutoff for each level of the path; "over" rejects above the cutoff, "under" below.
 RULES = {
-    "long_words": ("1000 * word_chars div n_words", "over", [16000, 14000, 12000, 11000, 10000, 9500, 9000, 8500, 8000, 7500, 7000]),
-    "short_words": ("1000 * word_chars div n_words", "under", [1000, 1500, 2000, 2500, 2800, 3000, 3200, 3400, 3600, 3800, 4000]),
-    "symbols": ("1000 * n_symbols div word_chars", "over", [800, 600, 500, 400, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10]),
-    "dup_lines": ("1000 * n_dup_lines div n_words", "over", [500, 300, 200, 150, 100, 80, 60, 40, 30, 20, 10, 5]),
-    "repeats": ("1000 * n_repeat_words div n_words", "over", [190, 180, 170, 160, 150, 140, 130, 120, 110, 100, 80, 60, 40, 20]),
+    "long_words": ("1000 * word_chars div n_words", "over", [16000, 14000, 12000, 11000, 10000, 9500, 9000, 8500, 8000, 7500, 7000, 6500]),
+    "short_words": ("1000 * word_chars div n_words", "under", [1000, 1500, 2000, 2500, 2800, 3000, 3200, 3400, 3600, 3800, 4000, 4200]),
+    "symbols": ("1000 * n_symbols div word_chars", "over", [500, 300, 200, 150, 100, 80, 60, 50, 40, 30, 20, 10]),
+    "dup_lines": ("1000 * n_dup_lines div n_words", "over", [500, 300, 200, 150, 100, 80, 60, 40, 30, 20, 15, 10]),
+    "repeats": ("1000 * n_repeat_words div n_words", "over", [195, 190, 185, 180, 170, 160, 150, 140, 130, 120, 110, 100]),
 }
+LEVELS = 12
 _GAP = " \t\n\u000b\f\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -63,32 +65,32 @@ def log_binomial_cdf(n: str, k: str, p: float) -> str:
     return f"aggregate(if({k} > 0, sequence(1L, {k}), array()), {zero}, {merge}, a -> a.m + ln(a.s))"
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, rule, cutoff, good, lost) of the strictest cutoff that stands, from measured rows (doc_id, stratum, counts)."""
+def spared() -> Column:
+    """At how many levels, counted from the lenient end, no rule rejects the row."""
+    each = (" + ".join(f"cast({share} {'<=' if way == 'over' else '>='} {c} as int)" for c in cuts) for share, way, cuts in RULES.values())
+    return F.expr(f"least({', '.join(each)})")
+
+
+def certified(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, level, good, lost) of the strictest level that stands, from measured rows (doc_id, stratum, counts)."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
     held = measured.filter(~base_failed()).dropDuplicates(["doc_id"]).join(good, "doc_id", "left_semi")
-    # how many cutoffs, counted from the lenient end, would not lose this document
-    spared = [F.struct(F.lit(name).alias("rule"), F.expr(" + ".join(f"cast({share} {'<=' if way == 'over' else '>='} {c} as int)" for c in cuts)).alias("spared")) for name, (share, way, cuts) in RULES.items()]
-    tally = held.select("stratum", F.explode(F.array(*spared)).alias("x")).groupBy("stratum", "x.rule", "x.spared").agg(F.count("*").alias("rows"))
-    grid = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(i).alias("place"), F.lit(c).alias("cutoff")) for name, (_, _, cuts) in RULES.items() for i, c in enumerate(cuts)))
-    # one row a (stratum, rule, spared) meets the cutoffs of its rule
-    tested = tally.withColumn("g", F.explode(grid)).filter("g.name = rule").groupBy("stratum", "rule", "g.place", "g.cutoff").agg(F.sum("rows").alias("good"), F.sum(F.expr("if(spared <= g.place, rows, 0L)")).alias("lost"))
+    tally = held.select("stratum", spared().alias("spared")).groupBy("stratum", "spared").agg(F.count("*").alias("rows"))  # at most LEVELS + 1 rows a stratum
+    tested = tally.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).groupBy("stratum", "level").agg(F.sum("rows").alias("good"), F.sum(F.expr("if(spared <= level, rows, 0L)")).alias("lost"))
     strata = measured.select("stratum").distinct().count()
-    level, rate = math.log(DELTA / max(1, strata * len(RULES))), ALPHA / len(RULES)
-    stands = tested.withColumn("stands", F.expr(f"if(lost > {rate!r}D * good, false, {log_binomial_cdf('good', 'lost', rate)} <= {level!r}D)"))
-    upto = Window.partitionBy("stratum", "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    bound = math.log(DELTA / max(1, strata))
+    stands = tested.withColumn("stands", F.expr(f"if(lost > {ALPHA!r}D * good, false, {log_binomial_cdf('good', 'lost', ALPHA)} <= {bound!r}D)"))
+    upto = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     stands = stands.withColumn("all_stand", F.min("stands").over(upto)).filter("all_stand")
-    return stands.groupBy("stratum", "rule").agg(F.max_by("cutoff", "place").alias("cutoff"), F.max("good").alias("good"), F.max_by("lost", "place").alias("lost"))
+    return stands.groupBy("stratum").agg(F.max("level").alias("level"), F.max("good").alias("good"), F.max_by("lost", "level").alias("lost"))
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the five counts, base_failed, kept."""
+    """doc_id, the five counts, base_failed, kept, and of the stratum: level (null: no certificate), good and lost holdouts at it."""
     scratch = Scratch(spark, "qualityrules")
     measured = signals(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum")), "stratum")
     measured = scratch.save(measured, "measured")
-    found = scratch.save(cutoffs(measured, labels), "cutoffs")
-    by_stratum = found.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(name) for name in RULES))
-    bad = " or ".join(f"coalesce({share} {'>' if way == 'over' else '<'} {name}, false)" for name, (share, way, _) in RULES.items())
-    judged = measured.join(by_stratum, "stratum", "left").withColumn("base_failed", base_failed())
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~F.expr(bad))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    found = scratch.save(certified(measured, labels), "certified")
+    judged = measured.join(found, "stratum", "left").withColumn("base_failed", base_failed())
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(spared() > F.col("level"), F.lit(True)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "level", "good", "lost")

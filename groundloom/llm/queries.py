@@ -32,7 +32,7 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(spark, docs, docs.select("doc_id", F.col("lang").alias("domain")), TARGETS, least_rate=1.0)
+    return mixing.mix(spark, docs, docs.select("doc_id", F.col("lang").alias("domain")), TARGETS, total="natural")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +102,9 @@ def _rules_sql() -> str:
         a, b = s.split(" div ")
         return f"({a}) // {b}"
 
-    rate, rules = qualityrules.ALPHA / len(qualityrules.RULES), qualityrules.RULES
-    loses = lambda n, c: f"{share(rules[n][0])} {'>' if rules[n][1] == 'over' else '<'} {c}"
-    grid = " UNION ALL ".join(f"SELECT lang, '{n}' AS rule, {i} AS place, {c} AS cutoff, count(*) AS good, count(*) FILTER ({loses(n, c)}) AS lost FROM held GROUP BY lang" for n, (_, _, cuts) in rules.items() for i, c in enumerate(cuts))
-    bad = " OR ".join(f"coalesce({loses(n, f'c.{n}')}, false)" for n in rules)
+    rate, rules = qualityrules.ALPHA, qualityrules.RULES
+    each = [" + ".join(f"CAST({share(s)} {'<=' if way == 'over' else '>='} {c} AS INT)" for c in cuts) for s, way, cuts in rules.values()]
+    both = ", ".join(each)
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -117,36 +116,14 @@ m AS (SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-grid AS ({grid}),
+spare AS (SELECT lang, least({both}) AS spared FROM held),
+grid AS (SELECT lang, CAST(r.level AS INT) AS level, count(*) AS good, count(*) FILTER (spared <= r.level) AS lost FROM spare, range({qualityrules.LEVELS}) AS r(level) GROUP BY ALL),
 tested AS (SELECT *, CASE WHEN lost > {rate!r} * good THEN false ELSE
   list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({rate!r}) + (good - i) * ln(1 - {rate!r}))))
-  <= {qualityrules.DELTA!r} / ((SELECT count(DISTINCT lang) FROM t) * {len(rules)}) END AS stands FROM grid),
-upto AS (SELECT *, bool_and(stands) OVER (PARTITION BY lang, rule ORDER BY place) AS ok FROM tested),
-c AS (SELECT lang, {', '.join(f"arg_max(cutoff, place) FILTER (rule = '{n}') AS {n}" for n in rules)} FROM upto WHERE ok GROUP BY lang)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept FROM b LEFT JOIN c ON c.lang = b.lang"""
-
-
-_LINES = rf"""
-WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-p AS (SELECT doc_id, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '{_SPACE}'), lambda x: x <> '') AS k FROM l),
-q AS (SELECT * FROM p WHERE len(k) >= {linededup.LEAST_TOKENS}),
-leafy AS (SELECT *, (len(k), k[1], k[2]) AS leaf FROM q),
-busy AS (SELECT leaf FROM leafy GROUP BY leaf HAVING count(*) >= {linededup.LEAST_DOCS} AND count(DISTINCT k) > 1),
-raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-inside AS (SELECT y.leaf, y.k, count(*) AS n FROM raw r JOIN leafy y ON y.doc_id = r.doc_id AND y.line = r.line WHERE y.leaf IN (SELECT leaf FROM busy) GROUP BY y.leaf, y.k),
-tok AS (SELECT leaf, place, k[place] AS token, sum(n) AS n FROM (SELECT leaf, k, n, unnest(range(1, len(k) + 1)) AS place FROM inside) GROUP BY ALL),
-top AS (SELECT leaf, place, arg_max(token, (n, token)) AS token FROM tok GROUP BY leaf, place),
-near AS (SELECT i.leaf, i.k FROM (SELECT leaf, k, unnest(range(1, len(k) + 1)) AS place FROM inside) i JOIN top t ON t.leaf = i.leaf AND t.place = i.place
-  GROUP BY i.leaf, i.k HAVING 100 * count(*) FILTER (i.k[i.place] = t.token) >= {linededup.SIMILAR} * len(i.k)),
-held AS (SELECT y.doc_id, y.line, length(y.line) AS chars, y.leaf, CASE WHEN n.k IS NULL THEN y.k END AS own FROM leafy y LEFT JOIN near n ON n.leaf = y.leaf AND n.k = y.k),
-rec1 AS (SELECT leaf, own FROM held GROUP BY leaf, own HAVING count(DISTINCT doc_id) >= {linededup.LEAST_DOCS}),
-hits AS (SELECT h.* FROM held h JOIN rec1 r ON r.leaf = h.leaf AND r.own IS NOT DISTINCT FROM h.own),
-carriers AS (SELECT s.doc_id FROM (SELECT doc_id, sum(chars) AS shared FROM hits GROUP BY doc_id) s JOIN (SELECT doc_id, sum(chars) AS chars FROM held GROUP BY doc_id) a ON a.doc_id = s.doc_id WHERE 2 * shared <= chars),
-cand AS (SELECT * FROM hits WHERE doc_id IN (SELECT doc_id FROM carriers)),
-rec2 AS (SELECT leaf, own FROM cand GROUP BY leaf, own HAVING count(DISTINCT doc_id) >= {linededup.LEAST_DOCS}),
-gone AS (SELECT doc_id, list(line) AS lines FROM cand c JOIN rec2 r ON r.leaf = c.leaf AND r.own IS NOT DISTINCT FROM c.own GROUP BY doc_id),
-done AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS every, coalesce(g.lines, []) AS lines FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id),
-cut AS (SELECT doc_id, every, list_filter(every, lambda x: NOT list_contains(lines, x)) AS rest FROM done)
-SELECT doc_id, array_to_string(rest, chr(10)) AS text, CAST(coalesce(len(every), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(every) - len(rest), 0) AS BIGINT) AS n_dropped FROM cut"""
-
-ORACLES = {"op4_quality_rules": _rules_sql(), "op6_line_dedup": _LINES, "op7_near_dedup": _NEAR, "op10_warc": _WARC}
+  <= {qualityrules.DELTA!r} / (SELECT count(DISTINCT lang) FROM t) END AS stands FROM grid),
+upto AS (SELECT *, bool_and(stands) OVER (PARTITION BY lang ORDER BY level) AS ok FROM tested),
+c AS (SELECT lang, max(level) AS level, max(good) AS good, arg_max(lost, level) AS lost FROM upto WHERE ok GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(least({both}) > level, true) AS kept, level, good, lost FROM b LEFT JOIN c ON c.lang = b.lang"""
+
+
+ORACLES = {"op4_quality_rules": _rules_sql(), "op7_near_dedup": _NEAR, "op10_warc": _WARC}

@@ -165,6 +165,65 @@ def test_sharding_balances_and_keeps_copies_together(spark):
     assert got[got["doc_id"] % 3 == 0]["shard"].nunique() == 1
 
 
+def tree(items, leaves, first=0, span=None, close=None):
+    """The k-d tree by sorting: {item key: leaf}; items are (key, bytes, coordinates)."""
+    if leaves == 1 or not items:
+        return {x[0]: first for x in items}
+    dims = range(len(items[0][2]))
+    ends = [(min(x[2][d] for x in items), max(x[2][d] for x in items)) for d in dims]
+    d = max(dims, key=lambda d: ((ends[d][1] - ends[d][0]) / span[d], -d))
+    want, left, right, rest = sum(x[1] for x in items) * (leaves // 2) / leaves, [], [], sorted(items, key=lambda x: x[2][d])
+    while rest:
+        below, at = 0, 0
+        for at, x in enumerate(rest):
+            if below + x[1] >= want or at == len(rest) - 1:
+                break
+            below += x[1]
+        to_left = below + rest[at][1] - want <= want - below
+        heavy = below < want < below + rest[at][1] and min(want - below, below + rest[at][1] - want) > close
+        if not heavy:
+            cut = at + to_left
+            left, right, rest = left + rest[:cut], right + rest[cut:], []
+        else:
+            x = rest.pop(at)
+            (left if to_left else right).append(x)
+            want -= x[1] if to_left else 0
+    return tree(left, leaves // 2, first, span, close) | tree(right, leaves - leaves // 2, first + leaves // 2, span, close)
+
+
+def test_sharding_is_a_kd_tree(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        text = "copied " * 9 if i % 9 == 0 else prose(rng, int(rng.integers(1, 40)))
+        rows.append((i, text, ["de", "en", None, "fr"][i % 4], f"common-prefix-{rng.integers(0, 30)}"))
+    got = sharding.shards(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 5).toPandas()
+    langs, sources = (sorted({r[c] or "" for r in rows}) for c in (2, 3))
+    facts = {}
+    for i, text, lang, source in rows:
+        f = facts.setdefault(text, [0, 99, 99, len(text) + 1, i])
+        f[0] += len(text) + 1
+        f[1], f[2] = min(f[1], langs.index(lang or "")), min(f[2], sources.index(source))
+    tie = {r.t: r.x & (2**20 - 1) for r in spark.createDataFrame([(t,) for t in facts], "t string").selectExpr("t", "xxhash64(xxhash64(t), cast(null as long)) as x").collect()}
+    low = [min(f[k] for f in facts.values()) for k in range(1, 5)]
+    items = [(t, f[0], [((f[k] - low[k - 1]) << 20) + tie[t] for k in range(1, 5)]) for t, f in facts.items()]
+    span = [max(x[2][d] for x in items) - min(x[2][d] for x in items) for d in range(4)]
+    total = sum(x[1] for x in items)
+    want = tree(items, 5, span=span, close=sharding.CLOSE * total / 5)
+    assert [want[rows[r.doc_id][1]] for r in got.itertuples()] == list(got["shard"])
+
+
+def test_groups_below_a_leaf_stay_whole(spark):
+    rows = [(i, "abc"[i % 3] * 50, "l", "s") for i in range(18)]
+    got = sharding.shards(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 2).collect()
+    shards = {k: {r.shard for r in got if r.doc_id % 3 == k} for k in range(3)}
+    assert all(len(s) == 1 for s in shards.values()) and set.union(*shards.values()) == {0, 1}
+    # a group above a leaf is dealt, so that no shard is left without
+    big = [(i, "x" * 50, "l", "s") for i in range(900)] + [(1000 + i, f"text {i}", "l", "s") for i in range(40)]
+    sizes = sharding.shards(spark, spark.createDataFrame(big, "doc_id long, text string, lang string, source string"), 4).toPandas().groupby("shard")["size"].sum()
+    assert len(sizes) == 4 and sizes.max() < 1.1 * sizes.mean()
+
+
 def test_quality_rules(spark, docs, none, labels):
     assert qualityrules.judge(spark, none, labels).count() == 0
     got = {r.doc_id: r for r in qualityrules.judge(spark, docs, labels).collect()}
@@ -180,6 +239,43 @@ def test_quality_rules(spark, docs, none, labels):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_quality_rules_certify_a_path_of_cutoffs(spark):
+    """Two strata, one with holdouts enough: the level is that of a plain computation, and it rejects."""
+    import math
+
+    rng = np.random.default_rng(3)
+    rows, marks = [], []
+    for i in range(400):
+        stratum, odd = ("big", i % 4 == 3) if i < 320 else ("small", i % 4 == 3)
+        text = prose(rng, 40) + (" " + "#" * 30 if odd else " #" if i % 40 == 0 else "")
+        rows.append((i, text, stratum))
+        marks.append((i, int(not odd), 0))
+    got = qualityrules.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+
+    def share(r, rule):
+        a, b = {"long_words": (r.word_chars, r.n_words), "short_words": (r.word_chars, r.n_words), "symbols": (r.n_symbols, r.word_chars), "dup_lines": (r.n_dup_lines, r.n_words), "repeats": (r.n_repeat_words, r.n_words)}[rule]
+        return 1000 * a // b
+
+    def rejected(r, level):
+        return any(share(r, rule) > cuts[level] if way == "over" else share(r, rule) < cuts[level] for rule, (_, way, cuts) in qualityrules.RULES.items())
+
+    want = {}
+    for stratum in ("big", "small"):
+        good = [r for r in got if rows[r.doc_id][2] == stratum and marks[r.doc_id][1] and not r.base_failed]
+        for level in range(qualityrules.LEVELS):
+            lost = sum(rejected(r, level) for r in good)
+            p = qualityrules.ALPHA
+            if lost > p * len(good) or sum(math.comb(len(good), i) * p**i * (1 - p) ** (len(good) - i) for i in range(lost + 1)) > qualityrules.DELTA / 2:
+                break
+            want[stratum] = level, len(good), lost
+    assert "big" in want and "small" not in want
+    for r in got:
+        level = want.get(rows[r.doc_id][2])
+        assert (r.level, r.good, r.lost) == (level or (None, None, None))
+        assert r.kept == (not r.base_failed and not (level and rejected(r, level[0])))
+    assert sum(not r.kept for r in got if not r.base_failed) == 80
+
+
 def test_binomial_bound(spark):
     import math
 
@@ -250,6 +346,27 @@ def test_mixing(spark, docs, none):
     assert abs(totals["en"] - totals["de"]) < 0.02 * sum(totals.values())
 
 
+def test_mixing_by_plain_projected_gradient(spark, docs):
+    """The rates are those of numpy's steps, domains above their target are thinned, and targets out of reach end with their residual."""
+    labelled = docs.selectExpr("doc_id", "lang as domain")
+    for targets, total in (({"en": 0.9, "de": 0.1}, "natural"), ({"en": 0.5, "de": 0.5}, None), ({"en": 1.0, "de": 0.0}, 500.0)):
+        got = mixing.mix(spark, docs, labelled, targets, total=total).toPandas()
+        tokens, p = got["n_tokens"].to_numpy(float), got[["p_de", "p_en"]].to_numpy()
+        natural = (tokens[:, None] * p).sum(0)
+        share = np.array([targets["de"], targets["en"]])
+        budget = natural.sum() if total == "natural" else total or (natural[share > 0] / share[share > 0]).max()
+        rate, misses = np.ones(len(got)), []
+        while True:
+            now = (rate[:, None] * tokens[:, None] * p).sum(0)
+            misses.append(np.abs(now - budget * share).max() / budget)
+            if misses[-1] <= mixing.CLOSE or len(misses) > mixing.STEPS and misses[-mixing.STEPS - 1] - misses[-1] <= mixing.CLOSE / 100:
+                break
+            rate = np.maximum(0, rate + p @ ((budget * share - now) / natural))
+        assert np.allclose(rate, got["rate"], rtol=1e-6, atol=1e-9) and np.allclose(misses[-1], got["residual"])
+        assert total != "natural" or (got["rate"] < 1).any()
+    assert mixing.mix(spark, docs, labelled, {"en": 0.5, "xx": 0.5}).filter("p_xx <> 0").count() == 0
+
+
 def test_language(spark, docs, none):
     assert langid.identify(spark, none).count() == 0
     got = {r.doc_id: r for r in langid.identify(spark, docs).collect()}
