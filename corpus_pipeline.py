@@ -1,8 +1,13 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage reads what its predecessor wrote. All but the last return the columns of ``documents``; the mixing
-stage repeats a document as often as its fitted rate says (at least once), the last one returns the pieces of the
+stage repeats a document as often as its fitted rate says, the last one returns the pieces of the
 sequences.
+
+Cases, in all stages: null and empty texts pass the quality stage only if the classifier accepts them, lose no line, are no
+one's near duplicate, and pack as one end token each. A null id is never a holder of a line and is repeated once; it is
+judged like others. Repeated rows of an id are judged alike. Extra columns are dropped by the
+first stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,11 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages are brought to their target shares of tokens, by repeating documents."""
-    rates = mixing.mix(spark, docs, docs.select("doc_id", F.col("lang").alias("domain")), TARGETS, least_rate=1.0)
-    repeated = rates.filter("copies > 1").select("doc_id", "copies")
-    joined = docs.select(*COLUMNS).join(repeated, "doc_id", "left")
-    return joined.withColumn("turn", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("copies"), F.lit(1)).cast("int")))).select(*COLUMNS)
+    """Languages are brought to their target shares of tokens by repeating documents; the budget is such that none need shrink."""
+    rates = mixing.mix(spark, docs, docs.select("doc_id", F.col("lang").alias("domain")), TARGETS)
+    changed = rates.filter("doc_id is not null and copies <> 1").select("doc_id", "copies")
+    joined = docs.select(*COLUMNS).join(changed, "doc_id", "left")
+    return joined.withColumn("turn", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.col("copies"), F.lit(1)).cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("mixing sources to target weights", mixture), ("best-fit packing", pack)]
 
-#: Trained classifiers and packing by tokenizer can't be put in SQL; tests compare the stages with brute force.
+#: Trained classifiers and packing by tokenizer can't be put in SQL; tests/llm/test_pipeline.py checks the stages against plain Python.
 ORACLE_SQL = None
 
 
