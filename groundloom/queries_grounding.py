@@ -183,21 +183,6 @@ def hash_categorical_draws(spark, d):
     return drawn.select("c_custkey", "priority", integer_in(F.lit(18), F.lit(70), uniform(42, F.col("c_custkey"), "years")).alias("age"))
 
 
-_ROUNDS = 8
-
-
-@query("WITH " + ",\n".join([f"a{i} AS (SELECT c_custkey, {i} AS attempt, CAST(15 + floor({u_sql(7, 'c_custkey', f'age{i}')} * 66) AS INT) AS age, CAST(floor({u_sql(7, 'c_custkey', f'career{i}')} * 50) AS INT) AS career FROM customer)" for i in range(_ROUNDS)]) + ",\nu AS (" + " UNION ALL ".join(f"SELECT * FROM a{i}" for i in range(_ROUNDS)) + """),
-k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY attempt) AS rn FROM u WHERE career <= age - 15)
-SELECT c_custkey, attempt, age, career FROM k WHERE rn = 1""")
-def rejection_feasible_rows(spark, d):
-    """Whole chains are redrawn until feasible, at most a fixed number of times; the first feasible one counts."""
-    key = F.col("c_custkey")
-    u = lambda stage, i: uniform_at(7, key, stage, i)
-    chain = F.transform(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), lambda i: F.struct(i.alias("attempt"), (15 + F.floor(u("age", i) * 66)).cast("int").alias("age"), F.floor(u("career", i) * 50).cast("int").alias("career")))
-    first = F.get(F.filter(chain, lambda x: x["career"] <= x["age"] - 15), F.lit(0))
-    return table(spark, d, "customer").select("c_custkey", first.alias("x")).filter("x is not null").select("c_custkey", "x.attempt", "x.age", "x.career")
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice > 100000 END AS uses_contract, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'middle' ELSE 'low' END AS level,
 split_part(o_orderpriority, '-', 1) AS rank_text, substr(o_orderpriority, 3) AS rank_name FROM orders""")
 def conditional_null_expression(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,26 @@ def differing(found: DataFrame, expected: DataFrame) -> DataFrame:
 def without_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed run has left to do."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
+
+
+def write_with_provenance(df: DataFrame, path: str, facts: dict) -> None:
+    """A Parquet table, and beside it (path + ``_provenance``) one JSON row: its facts, its columns, its number of rows."""
+    df.write.mode("overwrite").parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    row = {**facts, "columns": written.columns, "n_rows": written.count()}
+    df.sparkSession.createDataFrame([(json.dumps(row, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_provenance")
+
+
+def append_batches(df: DataFrame, path: str, order: str, size: int) -> None:
+    """Rows are appended in batches, each a directory of its own (``batch=n``); what an earlier run has written isn't written again."""
+    spark = df.sparkSession
+    numbered = df.withColumn("batch", F.floor(F.col(order) / size))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        numbered = numbered.join(spark.read.parquet(path).select("batch").distinct(), "batch", "left_anti")
+    numbered.repartition("batch").write.mode("append").partitionBy("batch").parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, quotes doubled, nulls empty."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").csv(path)
