@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def pearson(a: str, b: str) -> Column:
     """Null where either side is constant."""
-    n, x, y = F.count("*"), F.col(a).cast("double"), F.col(b).cast("double")
-    cov = F.sum(x * y) - F.sum(x) * F.sum(y) / n
-    va, vb = F.sum(x * x) - F.sum(x) * F.sum(x) / n, F.sum(y * y) - F.sum(y) * F.sum(y) / n
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), cov / F.sqrt(va * vb))
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
 
 
 def quadratic_kappa(a: str, b: str) -> Column:
@@ -72,13 +74,28 @@ def chi_square_p(chi2: float, df: int) -> float:
     return front * h
 
 
+def running(tally: DataFrame, value: str, columns: list[str], falling: bool = False, parts: int = 64) -> DataFrame:
+    """Adds run_<column>: sums of the columns over all rows up to the value (with ``falling``: from the largest down to it).
+
+    Values are dealt to ranges cut at approximate quantiles; a range is summed in itself, and what earlier ranges hold is added.
+    So no task sees all values. The rows must have different values."""
+    cuts = sorted(set(tally.approxQuantile(value, [i / parts for i in range(1, parts)], 0.005))) if parts > 1 else []
+    at = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: c < F.col(value)))
+    dealt = tally.withColumn("__range", -at if falling else at)
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    held = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    before = held.select("__range", *(F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in columns))
+    inside = Window.partitionBy("__range").orderBy(F.desc(value) if falling else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.join(F.broadcast(before), "__range")
+    return summed.withColumns({f"run_{c}": F.sum(c).over(inside) + F.col(f"__{c}") for c in columns}).drop("__range", *(f"__{c}" for c in columns))
+
+
 def ks_distance(rows: DataFrame, value: str, first: Column, second: Column) -> DataFrame:
     """Largest gap of two empirical distribution functions, over counts of distinct values."""
     tally = rows.groupBy(value).agg(F.sum(first.cast("long")).alias("a"), F.sum(second.cast("long")).alias("b"))
     total = tally.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # distinct values only
-    steps = tally.withColumn("ca", F.sum("a").over(run)).withColumn("cb", F.sum("b").over(run)).crossJoin(F.broadcast(total))
-    return steps.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
+    steps = running(tally, value, ["a", "b"]).crossJoin(F.broadcast(total))
+    return steps.agg(F.max(F.abs(F.col("run_a") / F.col("na") - F.col("run_b") / F.col("nb"))).alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
 
 
 def ols(y: str, x: str) -> list[Column]:
@@ -93,8 +110,8 @@ def ols(y: str, x: str) -> list[Column]:
 def ranked_classes(rows: DataFrame, score: str, label: str) -> DataFrame:
     """auc and average_precision of a score for a 0/1 label; tied scores count as one step."""
     tally = rows.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores only
-    steps = tally.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).crossJoin(F.broadcast(tally.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))))
+    steps = running(tally, score, ["p", "q"], falling=True).withColumnsRenamed({"run_p": "tp", "run_q": "fp"})
+    steps = steps.crossJoin(F.broadcast(tally.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))))
     pairs = F.col("q") * (F.col("tp") - F.col("p") + F.col("p") / 2)
     return steps.agg((F.sum(pairs) / F.max("np") / F.max("nq")).alias("auc"), (F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("np")).alias("average_precision"))
 
@@ -124,14 +141,25 @@ def stratified_bootstrap(rows: DataFrame, stratum: str, order: str, value: str,
 def pairwise_cosine_moments(vectors: DataFrame, vector: str) -> DataFrame:
     """n, mean and population standard deviation of the cosine over all pairs i < j, without listing pairs.
 
-    With unit rows x_i: sum of x_i.x_j is |sum x|^2, and of (x_i.x_j)^2 the squared Frobenius norm of sum x x^T."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select(norm.alias("norm"), vector).filter("norm > 0").select(F.transform(vector, lambda x: x.cast("double") / F.col("norm")).alias("x"))
-    n = unit.agg(F.count("*").alias("n"))
-    first = unit.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("first"))
-    products = unit.select("x", F.posexplode("x").alias("i", "v")).select("i", "v", F.posexplode("x").alias("j", "w")).filter("j >= i")
-    second = products.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("s")).agg(F.sum(F.col("s") * F.col("s") * F.when(F.col("i") == F.col("j"), 1).otherwise(2)).alias("second"))
-    joined = n.crossJoin(first).crossJoin(second)  # one row each
+    With unit rows x_i: sum of x_i.x_j is |sum x|^2, and of (x_i.x_j)^2 the squared Frobenius norm of sum x x^T. A
+    task adds up its batches and hands on one matrix. Null and zero vectors take no part; the others have one length."""
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, total, products = 0, None, None
+        for batch in batches:
+            x = np.array([v for v in batch[vector] if v is not None and len(v)], np.float64)
+            if len(x):
+                norm = np.linalg.norm(x, axis=1)
+                x = x[norm > 0] / norm[norm > 0, None]
+                count += len(x)
+                total = x.sum(0) + (0 if total is None else total)
+                products = x.T @ x + (0 if products is None else products)
+        if count:
+            yield pd.DataFrame({"n": [count], "s": [total], "g": [products.ravel()]})
+
+    parts = vectors.select(F.col(vector).cast("array<double>").alias(vector)).mapInPandas(gram, "n long, s array<double>, g array<double>")
+    squared = lambda c: parts.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias(c))
+    joined = parts.agg(F.sum("n").alias("n")).crossJoin(squared("s")).crossJoin(squared("g"))  # one row each
     pairs = F.col("n") * (F.col("n") - 1)
-    mean = (F.col("first") - F.col("n")) / pairs
-    return joined.select("n", mean.alias("mean"), F.sqrt(F.greatest((F.col("second") - F.col("n")) / pairs - mean * mean, F.lit(0.0))).alias("sd"))
+    mean = (F.col("s") - F.col("n")) / pairs
+    return joined.select("n", mean.alias("mean"), F.sqrt(F.greatest((F.col("g") - F.col("n")) / pairs - mean * mean, F.lit(0.0))).alias("sd"))

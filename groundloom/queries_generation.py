@@ -113,13 +113,13 @@ def heldout_turn_retrieval(spark, d):
 _SET = "list_distinct(regexp_extract_all(lower({}), '[가-힣a-z0-9]+'))"
 
 
-@query(f"""WITH x AS (SELECT d.doc_id, source, d.text, substring(d.text, 1, 200) AS anchor, row_number() OVER (PARTITION BY source ORDER BY {u_sql(31, 'doc_id', 'pair')}, doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents d),
+@query(f"""WITH x AS (SELECT d.doc_id, source, d.text, concat_ws(' ', d.lang, d.source, d.text) AS anchor, row_number() OVER (PARTITION BY source ORDER BY {u_sql(31, 'doc_id', 'pair')}, doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents d),
 c AS (SELECT a.doc_id, o.k = 0 AS own, {_SET.format('a.anchor')} AS s, {_SET.format('b.text')} AS t FROM x a, range(0, 2) AS o(k), x b WHERE b.source = a.source AND a.n >= 2 AND b.p = (a.p + o.k) % a.n),
 j AS (SELECT CAST(own AS INT) AS label, CASE WHEN len(s) + len(t) = 0 THEN 1.0 ELSE len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t))) END AS x FROM c)
 SELECT label, count(*) AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(avg(CAST(x >= 0.1 AS INT)), 6) AS share_over FROM j GROUP BY label""")
 def pair_lexical_baseline(spark, d):
-    """The opening of a document against its own text and against that of a partner of its source."""
-    docs = table(spark, d, "documents").filter("source is not null").withColumn("anchor", F.substring("text", 1, 200))
+    """A document's columns against its own text and against that of a partner of its source."""
+    docs = table(spark, d, "documents").filter("source is not null").withColumn("anchor", F.concat_ws(" ", "lang", "source", "text"))
     pairs = tasks.pair_dataset(docs, "doc_id", "source", s.uniform(31, F.col("doc_id"), "pair"), "anchor", "text")
     x = pairs.select("label", s.jaccard(s.token_set(F.col("anchor")), s.token_set(F.col("text"))).alias("x"))
     return x.groupBy("label").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean"), r(F.max("x")).alias("max"), r(F.avg((F.col("x") >= 0.1).cast("int"))).alias("share_over"))

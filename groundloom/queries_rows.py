@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import query, r, table
+from .catalog import query, r, shared_folder, table
 from .functions import scalar as s
 from .streaming.dedupe import dedupe_stream
 
@@ -48,8 +48,12 @@ j AS (SELECT source, CASE WHEN len(t) + len(o) = 0 THEN 1.0 ELSE len(list_inters
 SELECT source, count(*) AS pairs, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(avg(CAST(x > 0.85 AS INT)), 6) AS share_above FROM j GROUP BY source""")
 def token_jaccard_pairs(spark, d):
     """Similarity of documents that follow each other within a source."""
-    rows = table(spark, d, "documents").select("source", "doc_id", s.token_set(F.col("text")).alias("t"))
-    pairs = rows.withColumn("o", F.lead("t").over(Window.partitionBy("source").orderBy("doc_id"))).filter("o is not null").select("source", s.jaccard(F.col("t"), F.col("o")).alias("x"))
+    docs = table(spark, d, "documents")
+    # ids alone go through the window; the texts meet by joins
+    partner = docs.select("source", "doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("other")).filter("other is not null")
+    tokens = docs.select("doc_id", s.token_set(F.col("text")).alias("t"))
+    met = partner.join(tokens, "doc_id").join(tokens.select(F.col("doc_id").alias("other"), F.col("t").alias("o")), "other")
+    pairs = met.select("source", s.jaccard(F.col("t"), F.col("o")).alias("x"))
     return pairs.groupBy("source").agg(F.count("*").alias("pairs"), r(F.avg("x")).alias("mean"), r(F.max("x")).alias("max"), r(F.avg((F.col("x") > 0.85).cast("int"))).alias("share_above"))
 
 
@@ -97,9 +101,12 @@ def vocabulary_coverage(spark, d):
 g AS (SELECT n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM w, range(1, 4) AS t(n))
 SELECT CAST(n AS INT) AS n, count(*) AS grams, count(DISTINCT g) AS different, round(count(DISTINCT g) / count(*), 6) AS distinct_n FROM g GROUP BY n""")
 def distinct_n(spark, d):
-    w = table(spark, d, "documents").select(s.words(F.col("text")).alias("w"))
-    grams = w.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), s.ngrams(F.col("w"), n).alias("g")) for n in (1, 2, 3)))).alias("x")).select("x.n", F.explode("x.g").alias("g"))
-    counts = grams.groupBy("n", "g").agg(F.count("*").alias("c")).groupBy("n").agg(F.sum("c").alias("grams"), F.count("*").alias("different"))
+    """Grams are counted by 96 bits of hashes of their words, so no text is shuffled."""
+    w = table(spark, d, "documents").select(F.transform(s.words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    window = lambda n: f"transform(sequence(0, greatest(size(w) - {n}, -1)), i -> struct({n} as n, xxhash64({', '.join(f'w[i + {k}]' for k in range(n))}) as g, hash({', '.join(f'w[i + {k}]' for k in range(n))}) as h))"
+    every = F.concat(*(F.expr(f"if(size(w) >= {n}, {window(n)}, array())") for n in (1, 2, 3)))
+    grams = w.select(F.explode(every).alias("x")).select("x.*")
+    counts = grams.groupBy("n", "g", "h").agg(F.count("*").alias("c")).groupBy("n").agg(F.sum("c").alias("grams"), F.count("*").alias("different"))
     return counts.withColumn("distinct_n", r(F.col("different") / F.col("grams")))
 
 
@@ -121,7 +128,7 @@ def recent_window_caps(spark, d):
 @query("SELECT DISTINCT user_id, event_type, props FROM events")
 def stream_quota_dedupe(spark, d):
     """The events table as a stream: the first of each (user, type, props) passes."""
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/groundloom'}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return dedupe_stream(spark, d, "events.parquet", table(spark, d, "events").schema, ["user_id", "event_type", "props"], out)
 
 
