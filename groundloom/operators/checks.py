@@ -127,3 +127,16 @@ def with_overall(annotations: DataFrame, key: str) -> DataFrame:
     """Adds a row ``_overall`` for each row and annotator: the mean of the scores, rounded half up; null if one is missing."""
     whole = annotations.groupBy(key, "annotator").agg(F.when(F.count("score") == F.count("*"), F.floor(F.avg("score") + 0.5).cast("int")).alias("score"))
     return annotations.unionByName(whole.select(key, "annotator", F.lit("_overall").alias("dimension"), "score", F.lit("").alias("reasoning")))
+
+
+def corrected(rows: DataFrame, fixes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows with corrections (keys, old_value, new_value) applied, and ``amended``.
+
+    Two corrections of one key, one of another value than the current, and one that meets no row are errors."""
+    one = fixes.groupBy(*keys).agg(F.count("*").alias("__n"), F.first("old_value").alias("__old"), F.first("new_value").alias("__new"))
+    joined = rows.withColumn("__here", F.lit(True)).join(one, keys, "full")
+    name = F.concat_ws("|", *keys)
+    wrong = F.when(F.col("__n") > 1, F.lit("corrected twice: ")).when(F.col("__here").isNull(), F.lit("correction of no row: ")).when(F.col("__n").isNotNull() & ~F.col("__old").eqNullSafe(F.col(value)), F.lit("correction of another value: "))
+    kind = dict(rows.dtypes)[value]
+    new = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, name)).cast(kind)).when(F.col("__n").isNotNull(), F.col("__new").cast(kind)).otherwise(F.col(value))
+    return joined.withColumn(value, new).withColumn("amended", F.col("__n").isNotNull()).select(*rows.columns, "amended")

@@ -116,6 +116,40 @@ def told_duration(text: Column, years: Column, employment: Column) -> Column:
     return F.when(years > 0, F.regexp_replace(first, F.concat(F.lit(r"(?:전업|겸업)\s*(?:으로서|으로|상태로)?\s*"), y, F.lit(r"\s*년")), new)).otherwise(text)
 
 
+def retry_machine(rows: DataFrame, key: str, draft: Callable[[DataFrame, int], DataFrame], repair: Callable[[Column], Column], checks: dict[str, Callable[[Column], Column]], coerce: dict[str, Callable[[Column], Column]], most: int, folder: str) -> DataFrame:
+    """key, text, attempt, status, fault, feedback: the drafts of rows, each retried until no check finds a fault.
+
+    In attempt a, ``draft`` adds ``text`` to the rows that are still open (with their ``feedback`` so far), ``repair`` mends it, and the
+    checks are asked in their order; a check is a column of what is wrong, null for nothing. The first fault becomes feedback
+    of the next attempt. After ``most`` + 1 attempts, a fault that ``coerce`` knows is put right by rule and all checks are asked
+    again ("coerced"); what is still wrong is "failed", with its last text. Attempts are written to ``folder``, which all share, so
+    a lost executor repeats one attempt at most."""
+    spark, done = rows.sparkSession, []
+
+    def faulty(df: DataFrame) -> DataFrame:
+        found = F.array_compact(F.array(*(F.when(check(F.col("text")).isNotNull(), F.struct(F.lit(name).alias("name"), check(F.col("text")).alias("told"))) for name, check in checks.items())))
+        first = F.get(found, F.lit(0))
+        return df.withColumn("fault", first["name"]).withColumn("told", first["told"])
+
+    pending = rows.withColumn("feedback", F.array().cast("array<string>"))
+    for attempt in range(most + 1):
+        tried = faulty(draft(pending, attempt).withColumn("text", repair(F.col("text")))).withColumn("attempt", F.lit(attempt))
+        tried.write.mode("overwrite").parquet(f"{folder}/attempt-{attempt}")
+        tried = spark.read.schema(tried.schema).parquet(f"{folder}/attempt-{attempt}")
+        done.append(tried.filter("fault is null").withColumn("status", F.lit("accepted")))
+        left = tried.filter("fault is not null").withColumn("feedback", F.concat("feedback", F.array("told")))
+        pending = left.select(*rows.columns, "feedback")
+    mended = F.col("text")
+    for name, rule in coerce.items():
+        mended = F.when(F.col("fault") == name, rule(F.col("text"))).otherwise(mended)
+    last = faulty(left.withColumn("text", mended))
+    done.append(last.withColumn("status", F.when(F.col("fault").isNull(), "coerced").otherwise("failed")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(key, "text", "attempt", "status", "fault", "feedback")
+
+
 # ---- a text service ------------------------------------------------------------------------------
 
 ANSWERS = "text string, attempt int, temperature double, error string"

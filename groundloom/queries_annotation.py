@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, r, table
 from .functions.scalar import dot, half_up_score, uniform
+from .operators.checks import corrected
 from .operators import statistics as st
 from .queries_grounding import u_sql
 
@@ -106,15 +107,12 @@ def score_distribution_table(spark, d):
     return long(spark, d).groupBy("judge").agg(r(F.avg("score")).alias("mean"), r(F.median("score")).alias("median"), share(s <= 2).alias("low"), share(s >= 4).alias("high"), *(share(s == k).alias(f"share_{k}") for k in range(1, 6)))
 
 
-@query(f"""WITH {_LONG}, a AS (SELECT o_orderkey, judge, human AS old_score, score AS new_score FROM g WHERE o_orderkey % 7 = 0 AND human <> score)
-SELECT g.o_orderkey, g.judge, coalesce(a.new_score, g.human) AS score, a.new_score IS NOT NULL AS amended FROM g LEFT JOIN a ON a.o_orderkey = g.o_orderkey AND a.judge = g.judge""")
+@query(f"""WITH {_LONG} SELECT o_orderkey, judge, score, human <> score AS amended FROM g""")
 def amendment_overlay(spark, d):
-    """Corrections by (id, dimension); one whose old value isn't the current one is an error."""
+    """The human's scores, corrected to the judge's wherever they differ; what can't be applied is an error."""
     rows = long(spark, d)
-    fixes = rows.filter("o_orderkey % 7 = 0 and human <> score").select("o_orderkey", "judge", F.col("human").alias("old_score"), F.col("score").alias("new_score"))
-    joined = rows.join(fixes, ["o_orderkey", "judge"], "left")
-    score = F.when(F.col("old_score").isNotNull() & (F.col("old_score") != F.col("human")), F.raise_error(F.lit("correction of another value")).cast("int")).otherwise(F.coalesce("new_score", "human"))
-    return joined.select("o_orderkey", "judge", score.alias("score"), F.col("new_score").isNotNull().alias("amended"))
+    fixes = rows.filter("human <> score").select("o_orderkey", "judge", F.col("human").alias("old_value"), F.col("score").alias("new_value"))
+    return corrected(rows.select("o_orderkey", "judge", F.col("human").alias("score")), fixes, ["o_orderkey", "judge"], "score")
 
 
 @query(f"WITH {_LONG} SELECT judge, count(*) AS n, count(DISTINCT o_orderkey) AS ids, count(*) FILTER (score IS NULL OR score NOT BETWEEN 1 AND 5) AS out_of_range, count(*) - count(DISTINCT o_orderkey) AS repeated FROM g GROUP BY judge")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import query, r, table
+from .catalog import query, r, shared_folder, table
 from .functions import scalar as s
 from .operators import generation as g
 from .operators import prompts, rules, tasks, texts
@@ -179,3 +181,53 @@ def _stand_in():
 
 def _score_missing(text: str) -> str | None:
     return None if '"score"' in text else "no score"
+
+
+_TRIES = " UNION ALL ".join(f"SELECT doc_id, {a} AS attempt, CAST(floor({u_sql(17, 'doc_id', f'draft{a}')} * 100) AS INT) AS v FROM documents" for a in range(3))
+
+
+@query(f"""WITH t AS ({_TRIES}), f AS (SELECT *, CASE WHEN v % 10 = 0 THEN 'duplicate' WHEN v >= 70 THEN 'quota' WHEN v % 3 = 1 THEN 'rules' END AS fault FROM t),
+k AS (SELECT doc_id, coalesce(min(attempt) FILTER (fault IS NULL), 2) AS attempt FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(attempt AS INT) AS attempt, CASE WHEN fault = 'rules' THEN 'item coerced' ELSE 'item ' || v END AS text, CASE WHEN fault IS NULL THEN 'accepted' WHEN fault = 'rules' THEN 'coerced' ELSE 'failed' END AS status,
+CASE WHEN fault <> 'rules' THEN fault END AS fault, CAST(attempt + CAST(fault IS NOT NULL AS INT) AS INT) AS told FROM k JOIN f USING (doc_id, attempt)""")
+def retry_machine(spark, d):
+    """Drafts of a stand-in service, mended, checked in order, retried with feedback, and coerced or given up after three attempts."""
+    v = F.regexp_extract("text", "[0-9]+", 0).try_cast("int")
+    checks = {"duplicate": lambda x: F.when(v % 10 == 0, F.lit("seen before")), "quota": lambda x: F.when(v >= 70, F.lit("used up")), "rules": lambda x: F.when(v % 3 == 1, F.lit("breaks a rule"))}
+    draft = lambda rows, a: rows.withColumn("text", F.concat(F.lit(" item  "), F.floor(s.uniform(17, F.col("doc_id"), f"draft{a}") * 100).cast("string")))
+    mend = lambda x: F.trim(F.regexp_replace(x, " +", " "))
+    out = g.retry_machine(table(spark, d, "documents").select("doc_id"), "doc_id", draft, mend, checks, {"rules": lambda x: F.lit("item coerced")}, 2, f"{shared_folder(spark)}/retry-{uuid.uuid4().hex}")
+    return out.select("doc_id", "attempt", "text", "status", "fault", F.size("feedback").alias("told"))
+
+
+# Rows of the shape the rules read: changes to a plain row, and the codes that they must give.
+_PLAIN = {"age": 45, "career_years": 10, "art_field_primary": "미술", "occupation": "조각가", "province": "서울", "employment_type": "전업", "has_secondary_job": False, "individual_art_income_bracket": "없음", "has_contract_experience": True, "has_copyright": True, "persona": "조각 작업을 이어 온 40대 작가", "professional_persona": "", "living_persona": "", "network_persona": "", "cultural_background": ""}
+_NARRATIVES = ["persona", "professional_persona", "living_persona", "network_persona", "cultural_background"]
+_RULE_CASES = [
+    ({}, []),
+    ({"persona": "조각을 하는 20대 작가"}, ["AGE_MISMATCH"]),
+    ({"career_years": 40, "age": 50}, ["AGE_CAREER_IMPOSSIBLE", "AGE_MISMATCH"]),
+    ({"living_persona": "신진 작가로 산다"}, ["CAREER_MISMATCH_NEW"]),
+    ({"career_years": 3, "living_persona": "원로로 산다"}, ["CAREER_MISMATCH_VETERAN"]),
+    ({"professional_persona": "10년간 전업"}, ["EMPLOYMENT_DURATION_CONFLATION"]),
+    ({"professional_persona": "안무와 콘티"}, ["FIELD_FOREIGN_VOCAB", "FIELD_FOREIGN_VOCAB"]),
+    ({"persona": "그림을 그린다"}, ["OCCUPATION_MISMATCH"]),
+    ({"living_persona": "부산에서 산다"}, ["REGION_MISMATCH"]),
+    ({"living_persona": "해운대를 걷는다"}, ["LANDMARK_REGION_MISMATCH"]),
+    ({"living_persona": "알바를 한다"}, ["EMPLOYMENT_MISMATCH"]),
+    ({"living_persona": "풍족하다"}, ["INCOME_RICH_BUT_LOW"]),
+    ({"individual_art_income_bracket": "6천만원 이상", "living_persona": "생계 위협"}, ["INCOME_POOR_BUT_HIGH"]),
+    ({"has_contract_experience": False, "has_copyright": None, "living_persona": "표준계약서와 저작권 수입"}, ["CONTRACT_MISMATCH", "COPYRIGHT_MISMATCH"]),
+    ({"age": 60, "career_years": 5, "persona": "조각", "professional_persona": "원로이고 원로", "network_persona": "한평생"}, ["LATE_DEBUT_TONE_MISMATCH"] * 4),
+    ({"age": 60, "career_years": 15, "persona": "조각", "cultural_background": "어릴 적부터 미술을 좋아했다."}, ["EARLY_INTEREST_VS_LATE_DEBUT"]),
+    ({"age": 60, "career_years": 15, "persona": "조각", "cultural_background": "대학교를 졸업한 후 미술 활동을 했다."}, ["EDUCATION_DEBUT_TIMELINE_MISMATCH"]),
+]
+
+
+@query("WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{code}')" for i, (_, codes) in enumerate(_RULE_CASES) for code in codes) + f") AS t(i, code)) SELECT code, count(*) AS issues, count(DISTINCT doc_id) AS n_rows FROM documents JOIN c ON i = doc_id % {len(_RULE_CASES)} GROUP BY code")
+def consistency_rule_issues(spark, d):
+    """All consistency rules over a row for each document, of the shape that the rules read."""
+    types = "case long, " + ", ".join(f"{k} {'boolean' if k.startswith('has_') else 'int' if isinstance(v, int) else 'string'}" for k, v in _PLAIN.items())
+    shapes = spark.createDataFrame([(i, *(_PLAIN | change).values()) for i, (change, _) in enumerate(_RULE_CASES)], types)
+    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % len(_RULE_CASES)).alias("case")).join(F.broadcast(shapes), "case")
+    return rows.select("doc_id", F.explode(rules.issues(_NARRATIVES)).alias("x")).groupBy("x.code").agg(F.count("*").alias("issues"), F.count_distinct("doc_id").alias("n_rows"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header; a byte order mark before the first name goes."""
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True)
+    """CSV with a header; a byte order mark before the first name goes, doubled quotes are one."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", "\"")
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
