@@ -94,7 +94,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 def listed(text: Column) -> Column:
     """Items of a list written as text: brackets and quotes go, commas separate, blanks are dropped."""
     bare = F.regexp_replace(text, r"[\[\]'\"]", "")
-    return F.filter(F.transform(F.split(bare, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(bare, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def canonical(atom: Column, rules: list[tuple[str, str]]) -> Column:
