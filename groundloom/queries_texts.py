@@ -44,7 +44,7 @@ def char_tfidf_cosine(spark, d):
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS unique_sets, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS in_duplicates, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) AS rate, max(n) AS largest FROM n""")
 def set_duplicates(spark, d):
     """Rows whose comma-separated items form the same set as another row's."""
-    items = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", ","), F.trim), lambda x: x != "")))
+    items = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "")))
     sets = table(spark, d, "documents").filter("text is not null").groupBy(F.sha2(F.array_join(items, "|"), 256).alias("k")).agg(F.count("*").alias("n"))
     copied = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
     return sets.agg(F.sum("n").alias("n_rows"), F.count("*").alias("unique_sets"), copied.alias("in_duplicates"), r(copied / F.sum("n")).alias("rate"), F.max("n").alias("largest"))
