@@ -130,13 +130,13 @@ def judge_prompts(spark, d):
 
 
 @query("""WITH s AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) % 8 AS score FROM events)
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN ['style:missing'] ELSE list_filter([CASE WHEN score NOT BETWEEN 1 AND 5 THEN 'style:range' END, CASE WHEN event_id % 7 = 0 THEN 'style:reason' END], lambda x: x IS NOT NULL) END AS faults FROM s""")
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'style:missing' ELSE concat_ws(',', CASE WHEN score NOT BETWEEN 1 AND 5 THEN 'style:range' END, CASE WHEN event_id % 7 = 0 THEN 'style:reason' END) END AS faults FROM s""")
 def judge_document_faults(spark, d):
     """Judges' documents made of the events: a dimension may be missing, out of range or without a reason."""
     score = F.get_json_object("props", "$.k").cast("int") % 8
     body = F.to_json(F.struct(F.struct(score.alias("score"), F.when(F.col("event_id") % 7 == 0, " ").otherwise("fine").alias("reasoning")).alias("style")))
     document = F.when(F.col("event_id") % 5 == 0, F.lit("{}")).otherwise(body)
-    return table(spark, d, "events").select("event_id", ck.judge_faults(document, ["style"]).alias("faults"))
+    return table(spark, d, "events").select("event_id", F.array_join(ck.judge_faults(document, ["style"]), ",").alias("faults"))
 
 
 _SCORES = """s AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'quantity' AS annotator, 'a' AS dimension, CASE WHEN l_tax < 0.01 THEN NULL ELSE CAST(1 + l_quantity % 5 AS INT) END AS score FROM lineitem UNION ALL
