@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import pick, uniform, uniform_at
 from ..plans.graph import Spec, ordered
 from .grounding import draw
 
 #: Redraws of an infeasible row before it is an error.
 MOST_DRAWS = 64
+#: Plans that a refresh looks at.
+MOST_PLANS = 24
 
 
 def normalised(rows: DataFrame, given: list[str], weight: str, out: str = "probability") -> DataFrame:
@@ -90,6 +93,42 @@ def cheapest(rows: DataFrame, given: list[str], blocked: Column, blocked_family:
     return best.select(*given, "best.*")
 
 
+def conditional_facts(rows: DataFrame, row_id: str, facts: dict[str, list[tuple[Column | None, list[str]]]], seed: int) -> DataFrame:
+    """Adds a column a fact: an even choice among the options of the first case that holds (None: the rest).
+
+    Later facts may ask for earlier ones. A fact without a case that holds is null."""
+    for name, cases in facts.items():
+        u = uniform(seed, F.col(row_id), name)
+        rows = rows.withColumn(name, F.coalesce(*(F.when(F.lit(True) if when is None else when, pick(options, u)) for when, options in cases)))
+    return rows
+
+
+def set_key(items: Column) -> Column:
+    """One key for all orders of the same items."""
+    return F.array_join(F.array_sort(F.array_distinct(items)), "\x1f")
+
+
+def refreshed_plans(rows: DataFrame, row_id: str, pools: dict[str, list[tuple[str, str]]], seen: DataFrame, counts: DataFrame, seed: int, most: int = MOST_PLANS) -> DataFrame:
+    """row_id, attempt, items, families, family_seen, exact_seen: the best of ``most`` plans, one (item, family) of each pool.
+
+    The first plan whose set of items and set of families are both new is taken. Else sets of families count first,
+    then sets of items, then how often the items were used (plus a draw below 1). ``seen`` holds the arrays items and families
+    of earlier plans and meets the candidates in joins by the sets' keys; ``counts`` (item, n) is cut to the pools' items before it is sent to all tasks."""
+    item = lambda i: [F.element_at(F.array(*(F.struct(F.lit(a).alias("item"), F.lit(b).alias("family")) for a, b in pool)), (F.floor(uniform_at(seed, F.col(row_id), name, i) * len(pool)) + 1).cast("int")) for name, pool in pools.items()]
+    used = counts.filter(F.col("item").isin([a for pool in pools.values() for a, _ in pool])).groupBy("item").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("item", "n"))).alias("used"))
+    tried = rows.select(row_id, F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("attempt")).withColumn("x", F.array(*item(F.col("attempt"))))
+    plans = tried.select(row_id, "attempt", F.col("x.item").alias("items"), F.col("x.family").alias("families")).withColumn("i", set_key(F.col("items"))).withColumn("f", set_key(F.col("families")))
+    for key, sets, flag in (("i", "items", "exact_seen"), ("f", "families", "family_seen")):
+        known = seen.select(set_key(F.col(sets)).alias(key)).distinct().withColumn(flag, F.lit(1))
+        plans = plans.join(known, key, "left").fillna(0, [flag])
+    pressure = F.aggregate("items", F.lit(0).cast("long"), lambda t, x: t + F.coalesce(F.try_element_at("used", x), F.lit(0)))
+    cost = F.when((F.col("family_seen") == 0) & (F.col("exact_seen") == 0), F.col("attempt").cast("double")).otherwise(pressure + uniform_at(seed, F.col(row_id), "tie", F.col("attempt")))
+    ranked = plans.crossJoin(F.broadcast(used)).withColumn("cost", cost)
+    kept = ["attempt", "items", "families", "family_seen", "exact_seen"]
+    best = ranked.groupBy(row_id).agg(F.min_by(F.struct(*kept), F.struct("family_seen", "exact_seen", "cost", "attempt")).alias("best"))
+    return best.select(row_id, "best.*")
+
+
 def in_top(labels: list[str], probabilities: list[str], truth: Column, k: int) -> Column:
     """Whether the true label is among the k likeliest; ties go to the earlier label in the list."""
     ranked = F.array_sort(F.array(*(F.struct((-F.col(p)).alias("minus"), F.lit(i).alias("place"), F.lit(name).alias("label")) for i, (name, p) in enumerate(zip(labels, probabilities)))))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def pearson(a: str, b: str) -> Column:
@@ -138,6 +139,63 @@ def stratified_bootstrap(rows: DataFrame, stratum: str, order: str, value: str,
     return taken.join(members.drop("size"), [stratum, "slot"]).groupBy("replicate").agg(F.avg(value).alias("mean"))
 
 
+#: Distinct combinations of values that a resampling task holds; more are an error.
+MOST_CELLS = 100_000
+
+
+def resampled_sums(rows: DataFrame, given: list[str], stratum: str | None, features: dict[str, Column], replicates: int, seed: int) -> DataFrame:
+    """given, replicate, n and the sums of the features over resamples with replacement (inside strata, if there are any).
+
+    Rows of a stratum with equal features are one cell. Resampling the rows is a multinomial draw of the cells' counts, so
+    a replicate costs as much as there are cells, whatever the number of rows, and nothing but the cells' counts is shuffled. Rows with a null or
+    NaN feature take no part. More than ``MOST_CELLS`` cells are an error: such values must be binned first. A replicate's draws depend on the seed and its number."""
+    names, keys = list(features), [*given, "__stratum"]
+    kept = rows.select(*given, (F.col(stratum) if stratum else F.lit(0)).alias("__stratum"), *(F.nanvl(c.cast("double"), F.lit(None)).alias(k) for k, c in features.items())).dropna(subset=names)
+    cells = kept.groupBy(*keys, *names).agg(F.count("*").alias("__n")).limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} distinct combinations of values")
+    cells = cells.sort_values([*keys, *names], ignore_index=True)
+    groups: dict[tuple, list] = {}
+    for key, part in cells.groupby(keys, dropna=False, sort=False):
+        groups.setdefault(key[:-1], []).append((part["__n"].to_numpy(np.int64), part[names].to_numpy(np.float64)))
+    schema = StructType([*kept.select(*given).schema.fields, StructField("replicate", LongType()), StructField("n", LongType()), *(StructField(k, DoubleType()) for k in names)])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for replicate in batch["id"]:
+                rng = np.random.default_rng([seed, int(replicate)])
+                for key, strata in groups.items():
+                    sums = sum(rng.multinomial(n.sum(), n / n.sum()) @ x for n, x in strata)
+                    out.append((*key, int(replicate), sum(int(n.sum()) for n, _ in strata), *sums))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return rows.sparkSession.range(replicates).mapInPandas(draw, schema)
+
+
+def pair_sums(a: str, b: str) -> dict[str, Column]:
+    """The features whose sums ``agreement_of_sums`` reads."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y, "gap": F.abs(x - y), "exact": (x == y).cast("double")}
+
+
+def agreement_of_sums() -> dict[str, Column]:
+    """Agreement of two scores from the sums of ``pair_sums`` and n; null where it isn't defined."""
+    c = F.col
+    vx, vy, cov = c("xx") - c("x") * c("x") / c("n"), c("yy") - c("y") * c("y") / c("n"), c("xy") - c("x") * c("y") / c("n")
+    den = c("xx") + c("yy") - 2 * c("x") * c("y") / c("n")
+    # sums of small integers: what is not 0 is at least 1 / n
+    spread = F.least(vx, vy) > 0.5 / c("n")
+    return {"pearson": F.when(spread, cov / F.sqrt(vx * vy)), "qwk": F.when(den > 0.5 / c("n"), 1 - (c("xx") + c("yy") - 2 * c("xy")) / den), "mae": c("gap") / c("n"), "exact_share": c("exact") / c("n")}
+
+
+def intervals(replicated: DataFrame, given: list[str], measures: dict[str, Column], share: float = 0.95) -> DataFrame:
+    """given, measure, lower, upper, replicates: percentile intervals; replicates without a value are left out."""
+    tail = (1 - share) / 2
+    long = replicated.select(*given, F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), c.alias("v")) for k, c in measures.items()))).alias("m")).select(*given, "m.*")
+    return long.groupBy(*given, "measure").agg(F.percentile("v", tail).alias("lower"), F.percentile("v", 1 - tail).alias("upper"), F.count("v").alias("replicates"))
+
+
 def pairwise_cosine_moments(vectors: DataFrame, vector: str) -> DataFrame:
     """n, mean and population standard deviation of the cosine over all pairs i < j, without listing pairs.
 

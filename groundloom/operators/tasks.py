@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import uniform
+
 
 def rings(rows: DataFrame, key: str, group: str, order: Column, candidates: int) -> DataFrame:
     """key, candidate, truth: each row with itself and the rows that follow it around the ring of its group.
@@ -36,6 +38,25 @@ def retrieval_ranks(pairs: DataFrame, key: str, context: DataFrame, target: Data
     return scored.withColumn("rank", place).filter("truth").select(key, "rank")
 
 
+def random_retrieval(k: Column) -> list[Column]:
+    """What a random order of k candidates reaches in expectation: top1, top3, mrr, median_rank."""
+    harmonic = F.aggregate(F.sequence(F.lit(1), k.cast("int")), F.lit(0.0), lambda t, i: t + F.lit(1.0) / i)
+    return [(1 / k).alias("top1"), F.least(3 / k, F.lit(1.0)).alias("top3"), (harmonic / k).alias("mrr"), ((k + 1) / 2).alias("median_rank")]
+
+
+def label_baselines(rows: DataFrame, key: str, label: str, held_out: str, seed: int) -> DataFrame:
+    """key, truth, majority, stratified, uniform of the held-out rows: the commonest label of the others (ties: the smaller), one drawn by
+    the others' shares, and one drawn evenly. Null labels take no part; draws depend on seed and key. The labels are a vocabulary, sent to all tasks as one row."""
+    kept = rows.filter(F.col(label).isNotNull())
+    tally = kept.filter(~F.col(held_out)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    known = tally.agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("labels"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("majority"), F.sum("n").alias("total"))
+    u = lambda stage: uniform(seed, F.col(key), stage)
+    below = lambda x: F.aggregate(F.filter("labels", lambda y: y["label"] <= x["label"]), F.lit(0).cast("long"), lambda t, y: t + y["n"])
+    drawn = F.get(F.filter("labels", lambda x: below(x) > u("stratified") * F.col("total")), F.lit(0))["label"]
+    even = F.get("labels", F.floor(u("uniform") * F.size("labels")).cast("int"))["label"]
+    return kept.filter(held_out).crossJoin(F.broadcast(known)).select(key, F.col(label).alias("truth"), "majority", drawn.alias("stratified"), even.alias("uniform"))
+
+
 def pair_features(a: Column, b: Column) -> Column:
     """Both vectors, their products and their distances by component, one after the other."""
     x, y = a.cast("array<double>"), b.cast("array<double>")

@@ -12,6 +12,7 @@ from .catalog import query, r, table
 from .functions.scalar import dot, half_up_score, uniform
 from .operators.checks import corrected
 from .operators import statistics as st
+from .operators import tasks
 from .queries_grounding import u_sql
 
 JUDGES = {"quantity": ("l_quantity", 10.0), "discount": ("l_discount", 0.02), "tax": ("l_tax", 0.016), "price": ("l_extendedprice", 20000.0)}
@@ -213,13 +214,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, candidat
 SELECT count(*) AS n, round(avg(CAST(rk = 1 AS INT)), 6) AS top1, round(avg(CAST(rk <= 3 AS INT)), 6) AS top3, round(avg(1.0 / rk), 6) AS mrr, round(median(rk), 6) AS median_rank FROM r WHERE truth""")
 def candidate_lists_and_mrr(spark, d):
     """Ten candidates a query: its next ten around the ring of its label; the first counts as the true one."""
+    ranked = _candidate_ranks(spark, d)
+    return ranked.agg(F.count("*").alias("n"), r(F.avg((F.col("rk") == 1).cast("int"))).alias("top1"), r(F.avg((F.col("rk") <= 3).cast("int"))).alias("top3"), r(F.avg(1 / F.col("rk"))).alias("mrr"), r(F.median("rk")).alias("median_rank"))
+
+
+def _candidate_ranks(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("label")
     k = table(spark, d, "embeddings").withColumn("p", F.row_number().over(w.orderBy(uniform(13, F.col("vec_id"), "ring"), "vec_id")) - 1).withColumn("n", F.count("*").over(w))
     asked = k.filter("n > 10").select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"), "p", "n").withColumn("at", (F.col("p") + F.col("k")) % F.col("n"))
     c = k.select("label", F.col("p").alias("at"), F.col("vec_id").alias("candidate"), F.col("embedding").alias("other"))
     scored = asked.join(c, ["label", "at"]).select("vec_id", "candidate", (F.col("k") == 1).alias("truth"), dot(F.col("embedding"), F.col("other")).alias("s"))
-    ranked = scored.withColumn("rk", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "candidate"))).filter("truth")
-    return ranked.agg(F.count("*").alias("n"), r(F.avg((F.col("rk") == 1).cast("int"))).alias("top1"), r(F.avg((F.col("rk") <= 3).cast("int"))).alias("top3"), r(F.avg(1 / F.col("rk"))).alias("mrr"), r(F.median("rk")).alias("median_rank"))
+    return scored.withColumn("rk", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "candidate"))).filter("truth")
 
 
 @query(f"""WITH f AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT c_mktsegment FROM customer)),
@@ -232,3 +237,44 @@ def counterfactual_pairs(spark, d):
     step = 1 + F.floor(uniform(17, F.col("c_custkey"), "flip") * (F.size("pool") - 1))
     at = (F.array_position("pool", F.col("original")) - 1 + step) % F.size("pool")
     return rows.crossJoin(F.broadcast(pool)).select("c_custkey", "original", F.get("pool", at.cast("int")).alias("changed"))
+
+
+@query()
+def bootstrap_agreement_ci(spark, d):
+    """Intervals of each judge's agreement with the human: 10,000 resamples inside the years."""
+    sums = st.resampled_sums(long(spark, d), ["judge"], "yr", st.pair_sums("human", "score"), 10_000, 42)
+    return st.intervals(sums, ["judge"], st.agreement_of_sums()).select("judge", "measure", r("lower").alias("lower"), r("upper").alias("upper"), "replicates")
+
+
+@query()
+def plain_bootstrap_ci(spark, d):
+    """Intervals of a retrieval's mean reciprocal rank, and of a threshold's macro-F1 and its gain over the commoner class: 1,000 resamples each."""
+    ranks = st.resampled_sums(_candidate_ranks(spark, d), [], None, {"reciprocal": 1 / F.col("rk")}, 1000, 42)
+    mrr = st.intervals(ranks, [], {"mrr": F.col("reciprocal") / F.col("n")})
+    y, p = F.col("quality"), (F.col("n_chars") >= 400).cast("int")
+    told = st.resampled_sums(labelled(spark, d), [], None, {"t1": y, "p1": p, "hit1": y * p}, 1000, 42)
+    n, t1, p1, hit1 = (F.col(c) for c in ("n", "t1", "p1", "hit1"))
+    f1 = lambda hit, size: F.when(size > 0, 2 * hit / size).otherwise(0.0)
+    macro = (f1(hit1, t1 + p1) + f1(n - t1 - p1 + hit1, 2 * n - t1 - p1)) / 2
+    commoner = F.greatest(t1, n - t1)
+    rest = st.intervals(told, [], {"macro_f1": macro, "gain": macro - commoner / (n + commoner)})
+    return mrr.unionByName(rest).select("measure", r("lower").alias("lower"), r("upper").alias("upper"), "replicates")
+
+
+@query("""WITH k AS (SELECT conv_id, count(*) AS candidates FROM conversations GROUP BY 1)
+SELECT candidates, count(*) AS queries, round(1.0 / candidates, 6) AS top1, round(least(3.0 / candidates, 1.0), 6) AS top3, round(list_sum(list_transform(range(1, candidates + 1), lambda i: 1.0 / i)) / candidates, 6) AS mrr, round((candidates + 1) / 2, 6) AS median_rank FROM k GROUP BY candidates""")
+def retrieval_random_baselines(spark, d):
+    """What guessing a turn of a conversation reaches, by the number of its turns."""
+    k = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("candidates")).groupBy("candidates").agg(F.count("*").alias("queries"))
+    told = k.select("candidates", "queries", *tasks.random_retrieval(F.col("candidates")))
+    return told.select("candidates", "queries", *(r(c).alias(c) for c in ("top1", "top3", "mrr", "median_rank")))
+
+
+@query(f"""WITH x AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held_out FROM documents WHERE lang IS NOT NULL), t AS (SELECT lang, count(*) AS n FROM x WHERE NOT held_out GROUP BY 1),
+c AS (SELECT lang, sum(n) OVER (ORDER BY lang) AS hi, sum(n) OVER (ORDER BY lang) - n AS lo, sum(n) OVER () AS total, row_number() OVER (ORDER BY lang) - 1 AS p, count(*) OVER () AS k FROM t)
+SELECT doc_id, x.lang AS truth, (SELECT lang FROM t ORDER BY n DESC, lang LIMIT 1) AS majority, a.lang AS stratified, b.lang AS uniform FROM x JOIN c a ON {u_sql(43, 'doc_id', 'stratified')} * a.total >= a.lo AND {u_sql(43, 'doc_id', 'stratified')} * a.total < a.hi
+JOIN c b ON b.p = CAST(floor({u_sql(43, 'doc_id', 'uniform')} * b.k) AS INT) WHERE held_out""")
+def label_baselines(spark, d):
+    """Guesses of the language of every fifth document: the commonest, by shares, and even."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    return tasks.label_baselines(rows, "doc_id", "lang", "held_out", 43)

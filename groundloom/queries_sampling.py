@@ -153,3 +153,47 @@ def spearman_naive_ranks(spark, d):
     at = lambda c: F.row_number().over(Window.partitionBy("user_id").orderBy(c, "event_id"))
     n = e.withColumn("a", at("v")).withColumn("b", at("k"))
     return n.groupBy("user_id").agg(F.count("*").alias("n"), r(F.corr("a", "b")).alias("spearman"))
+
+
+@query(f"""WITH u AS (SELECT c_custkey, c_acctbal, c_mktsegment, {u_sql(37, 'c_custkey', 'budget')} AS a, {u_sql(37, 'c_custkey', 'support')} AS b, {u_sql(37, 'c_custkey', 'pace')} AS c FROM customer),
+f AS (SELECT *, CASE WHEN c_acctbal < 0 THEN ['counts every cost', 'plans ahead'][CAST(floor(a * 2) AS INT) + 1] WHEN c_acctbal > 5000 THEN ['keeps a reserve', 'spends on space', 'spends on time'][CAST(floor(a * 3) AS INT) + 1] ELSE ['weighs fixed costs', 'adjusts month by month'][CAST(floor(a * 2) AS INT) + 1] END AS budget FROM u)
+SELECT c_custkey, budget, ['space', 'time', 'money'][CAST(floor(b * 3) AS INT) + 1] AS support, CASE WHEN budget = 'plans ahead' THEN ['slow', 'steady'][CAST(floor(c * 2) AS INT) + 1] WHEN c_mktsegment = 'BUILDING' THEN ['brisk', 'steady'][CAST(floor(c * 2) AS INT) + 1] END AS pace FROM f""")
+def conditional_facts(spark, d):
+    """Facts of a row, drawn evenly among what its columns and earlier facts allow."""
+    balance = F.col("c_acctbal")
+    facts = {
+        "budget": [(balance < 0, ["counts every cost", "plans ahead"]), (balance > 5000, ["keeps a reserve", "spends on space", "spends on time"]), (None, ["weighs fixed costs", "adjusts month by month"])],
+        "support": [(None, ["space", "time", "money"])],
+        "pace": [(F.col("budget") == "plans ahead", ["slow", "steady"]), (F.col("c_mktsegment") == "BUILDING", ["brisk", "steady"])],
+    }
+    return sm.conditional_facts(table(spark, d, "customer"), "c_custkey", facts, 37).select("c_custkey", *facts)
+
+
+_POOLS = {name: [(f"{name}{k}", f"{name}-{k % 2}") for k in range(4)] for name in ("body", "craft", "local", "mind", "rest")}
+
+
+def _plan_sql(key: str, attempt: str) -> str:
+    """Numbers of the items of each pool, as a list."""
+    return "[" + ", ".join(f"CAST(floor(CAST('0x' || substr(md5(concat_ws('|', '41', CAST({key} AS VARCHAR), '{name}' || {attempt})), 1, 8) AS BIGINT) / 4294967296.0 * 4) AS INT)" for name in _POOLS) + "]"
+
+
+_NAMES = "['" + "', '".join(_POOLS) + "']"
+_ITEMS, _FAMILIES = (f"list_transform(range(1, 6), lambda j: {_NAMES}[j] || {end})" for end in ("k[j]", "'-' || k[j] % 2"))
+
+
+@query(f"""WITH o AS (SELECT {_plan_sql("'old' || s_suppkey", '0')} AS k FROM supplier), s AS (SELECT array_to_string({_ITEMS}, ',') AS i, array_to_string({_FAMILIES}, ',') AS f FROM o),
+n AS (SELECT item, count(*) AS n FROM (SELECT unnest({_ITEMS}) AS item FROM o) GROUP BY 1),
+p AS (SELECT c_custkey, CAST(a AS INT) AS attempt, {_plan_sql('c_custkey', 'a')} AS k FROM customer, range(24) AS t(a)),
+q AS (SELECT c_custkey, attempt, array_to_string({_ITEMS}, ',') AS i, array_to_string({_FAMILIES}, ',') AS f, {_ITEMS} AS items FROM p),
+w AS (SELECT c_custkey, attempt, sum(coalesce(n, 0)) AS pressure FROM (SELECT c_custkey, attempt, unnest(items) AS item FROM q) LEFT JOIN n USING (item) GROUP BY ALL),
+x AS (SELECT q.*, CAST(f IN (SELECT f FROM s) AS INT) AS family_seen, CAST(i IN (SELECT i FROM s) AS INT) AS exact_seen, pressure + CAST('0x' || substr(md5(concat_ws('|', '41', CAST(c_custkey AS VARCHAR), 'tie' || attempt)), 1, 8) AS BIGINT) / 4294967296.0 AS pressure FROM q JOIN w USING (c_custkey, attempt)),
+y AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY family_seen, exact_seen, CASE WHEN family_seen + exact_seen = 0 THEN attempt ELSE pressure END, attempt) AS rn FROM x)
+SELECT c_custkey, attempt, i AS plan, family_seen, exact_seen FROM y WHERE rn = 1""")
+def activity_plan_refresh(spark, d):
+    """Five activities a customer, one of each pool, unlike those of the suppliers' plans as far as 24 tries allow."""
+    old = table(spark, d, "supplier").select(F.array(*(F.floor(uniform_at(41, F.concat(F.lit("old"), "s_suppkey"), name, F.lit(0)) * 4).cast("int") for name in _POOLS)).alias("k"))
+    at = lambda x: F.array(*(F.element_at(F.array(*(F.lit(e[x]) for e in pool)), F.col("k")[j] + 1) for j, pool in enumerate(_POOLS.values())))
+    seen = old.select(at(0).alias("items"), at(1).alias("families"))
+    counts = seen.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    best = sm.refreshed_plans(table(spark, d, "customer"), "c_custkey", _POOLS, seen, counts, 41)
+    return best.select("c_custkey", "attempt", F.array_join("items", ",").alias("plan"), "family_seen", "exact_seen")
