@@ -140,3 +140,23 @@ def corrected(rows: DataFrame, fixes: DataFrame, keys: list[str], value: str) ->
     kind = dict(rows.dtypes)[value]
     new = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, name)).cast(kind)).when(F.col("__n").isNotNull(), F.col("__new").cast(kind)).otherwise(F.col(value))
     return joined.withColumn(value, new).withColumn("amended", F.col("__n").isNotNull()).select(*rows.columns, "amended")
+
+
+def release(runs: list[DataFrame], columns: list[str], key: str, expected: int, derived: dict[str, Column] | None = None) -> DataFrame:
+    """The runs below each other, cut to the columns; a derived column is made in runs that lack it.
+
+    Missing columns, another number of rows than expected, and repeated or null keys are errors."""
+    whole = None
+    for run in runs:
+        made = run.withColumns({k: c for k, c in (derived or {}).items() if k not in run.columns})
+        part = require(made, columns).select(*columns)
+        whole = part if whole is None else whole.unionByName(part)
+    if whole is None:
+        raise ValueError("no runs")
+    per_key = whole.groupBy(key).agg(F.count("*").alias("n"))
+    n, repeated = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("n") > 1) | F.col(key).isNull())).first()
+    if n != expected:
+        raise ValueError(f"{expected} rows expected, {n} found")
+    if repeated:
+        raise ValueError(f"{repeated} values of {key} are repeated or null")
+    return whole

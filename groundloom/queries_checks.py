@@ -197,3 +197,12 @@ def config_fingerprint(spark, d):
     mark = ck.fingerprint(_CONFIG)
     ck.assert_ready({"passed": True, "config": mark}, _CONFIG)
     return spark.createDataFrame([(mark, True)], "fingerprint string, ready boolean")
+
+
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS yr, o_orderstatus FROM orders""")
+def release_assembly(spark, d):
+    """Two runs as one release: the second lacks a column that follows from another; counts and keys are checked."""
+    orders = table(spark, d, "orders")
+    first = orders.filter("o_orderstatus = 'F'").withColumn("yr", F.year("o_orderdate"))
+    second = orders.filter("o_orderstatus <> 'F' or o_orderstatus is null")
+    return ck.release([first, second], ["o_orderkey", "yr", "o_orderstatus"], "o_orderkey", orders.count(), {"yr": F.year("o_orderdate")})
