@@ -2,8 +2,9 @@
 
 A text is lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Rules are regular expressions over the words (a blank is the
 gap between two words), each with a label, a priority (1: names a license and its version, or quotes its text; 2: names
-a license; 3: a hint) and a keyword that any text it matches contains. A text's keywords gate its rules: only rules whose
-keyword occurs are tried, so texts without any run no expression. A rule's matches are spans of words.
+a license; 3: a hint) and a keyword: words that stand consecutively in whatever it matches. Keywords gate the rules in two steps. The words of
+a text are intersected with the keywords' anchors (the longest word of each); most texts hold none and are done. In the
+others the keywords of the anchors found are searched for, and only rules whose keyword occurs are tried. A rule's matches are spans of words.
 
 Overlapping detections are resolved by priority and containment: a span goes if a span of the same or a stronger priority
 contains it (of equal spans, that of the earlier rule stays). Whatever contains a span sorts before it by start
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 #: Score by the strongest priority that is left.
 SCORES = {1: 1.0, 2: 0.7, 3: 0.4}
 CHUNK = 64
-_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, when A-Z is lower-cased.
+_PARTS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _MARK = "\x01"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,7 +45,7 @@ _FAMILIES = [
     ("gpl", ("general public license", "(gnu )?general public license"), ("gpl", "(gnu )?gpl"), ("1.0", "2.0", "3.0"), True),
     ("lgpl", ("general public license", "(gnu )?(lesser|library) general public license"), ("lgpl", "(gnu )?lgpl"), ("2.0", "2.1", "3.0"), True),
     ("agpl", ("affero general public license", "(gnu )?affero general public license"), ("agpl", "(gnu )?agpl"), ("1.0", "3.0"), True),
-    ("gfdl", ("free documentation license", "(gnu )?free documentation license"), ("fdl", "(gnu )?g?fdl"), ("1.1", "1.2", "1.3"), True),
+    ("gfdl", ("free documentation license", "(gnu )?free documentation license"), ("gfdl", "(gnu )?gfdl"), ("1.1", "1.2", "1.3"), True),
     ("apache", ("apache", "apache (software )?license"), ("apache", "apache"), ("1.0", "1.1", "2.0"), False),
     ("mpl", ("mozilla public license", "mozilla public license"), ("mpl", "mpl"), ("1.0", "1.1", "2.0"), True),
     ("epl", ("eclipse public license", "eclipse public license"), ("epl", "epl"), ("1.0", "2.0"), False),
@@ -190,20 +192,22 @@ _RULES = [
     ("proprietary", 2, "strictly prohibited", "unauthori[sz]ed (copying|use|reproduction|distribution|duplication)( or distribution| or use| or duplication)?( of this [a-z]+)?( via any medium)? is strictly prohibited"),
     ("proprietary", 2, "written permission", "without( the)?( express| prior)?( express| prior)? written permission"),
     ("proprietary", 2, "redistribution is prohibited", "redistribution is prohibited"),
-    ("non-commercial", 2, "commercial use", "for non ?commercial use only"),
-    ("non-commercial", 2, "commercial purposes", "for non ?commercial purposes( only)?"),
+    ("non-commercial", 2, "use only", "for non ?commercial use only"),
+    ("non-commercial", 2, "commercial purposes", "for non commercial purposes( only)?"),
+    ("non-commercial", 2, "noncommercial purposes", "for noncommercial purposes( only)?"),
     ("non-commercial", 2, "commercial use", "(no commercial use|commercial use is (not permitted|prohibited|forbidden))( is permitted| is allowed)?"),
-    ("research-only", 2, "research", "for (academic|research)( and educational| and academic| or educational)?( research)? (use|purposes) only"),
+    ("research-only", 2, "use only", "for (academic|research)( and educational| and academic| or educational)?( research)? use only"),
+    ("research-only", 2, "purposes only", "for (academic|research)( and educational| and academic| or educational)?( research)? purposes only"),
     ("evaluation-only", 2, "evaluation purposes", "for evaluation purposes only"),
     ("personal-use", 2, "personal use", "for (your )?personal use only"),
     ("eula", 2, "user license agreement", "end user license agreement"),
-    ("as-is", 3, "as is", "(is |are )?provided as is( and)?( without( any)?( express or implied)?( warranty| warranties)( of any kind)?)?"),
+    ("as-is", 3, "provided as is", "(is |are )?provided as is( and)?( without( any)?( express or implied)?( warranty| warranties)( of any kind)?)?"),
     ("as-is", 3, "without warranty", "without warranty of any kind( express or implied)?"),
     ("as-is", 3, "without any warranty", "without any warranty"),
-    ("copyright", 3, "copyright", "copyright (c |© |by )?[0-9]{4}( [0-9]{4})?"),
+    ("copyright", 3, "copyright", "copyright (c |© |by )?©?[0-9]{4}( [0-9]{4})?"),
     ("copyright", 3, "copyright", "copyright (c|©)"),
-    ("copyright", 3, "©", "© ?[0-9]{4}( [0-9]{4})?"),
-    ("licensed", 3, "licensed under", "(this [a-z]+ is )?(dual |re)?licensed under( the)?( terms of)?( the)?"),
+    ("copyright", 3, "©", "© [0-9]{4}( [0-9]{4})?"),
+    ("licensed", 3, "licensed under", "(this [a-z]+ is )?(dual )?licensed under( the)?( terms of)?( the)?"),
     ("licensed", 3, "released under", "released under( the)?( terms of)?( the)? [a-z0-9]+( [a-z0-9]+)? licen[cs]e"),
     ("licensed", 3, "distributed under", "distributed under( the)?( terms of)?( the)? [a-z0-9]+( [a-z0-9]+)? licen[cs]e"),
     ("licensed", 3, "license agreement", "(subject to|governed by|see) the license agreement"),
@@ -226,10 +230,10 @@ def _family(label: str, long: tuple[str, str], short: tuple[str, str], versions:
     for version in versions:
         v, name, brief = _version(version), f"({long[1]})", f"({short[1]})"
         # a short form alone is no proof: its version is written in full or marked as one
-        full, mark = " ".join(version.split(".")), _V.rstrip("?")
-        forms = [(long[0], f"(the )?{name} {_V}{v}"), (long[0], f"(version |v |v){v} of the {name}"), (short[0], f"{brief} {_V}{full}"), (short[0], f"{brief} {mark}{v}")]
+        full, marked = " ".join(version.split(".")), _V.rstrip("?")
+        forms = [(long[0], f"(the )?{name} {_V}{v}"), (long[0], f"(version |v |v){v} of the {name}"), (short[0], f"{brief} {_V}{full}"), (short[0], f"{brief} {marked}{v}")]
         if "|" not in short[1] and " " not in short[0]:
-            forms.append((short[0], f"{brief}v?{v}"))  # one word: gplv2
+            forms += [(f"{short[0]}{mark}{v.split('(')[0].split()[0]}", f"{brief}{mark}{v}") for mark in ("v", "")]  # one word: gplv2
         for keyword, form in forms:
             yield f"{label}-{version}", 1, keyword, form + "( only)?"
             if later:
@@ -258,10 +262,11 @@ def compiled(pattern: str) -> str:
     return f" ({pattern.replace(' ?', '(  )?').replace(' ', '  ').replace('(    )?', '(  )?')}) "
 
 
-def padded(text: Column) -> Column:
-    """The words of a text, each between two blanks of its own."""
-    bare = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _SEPARATOR, "  "))
-    return F.when(bare == "", F.lit("")).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+def words_of(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The kept columns and ``w``, the words of a text."""
+    # one pass lowers A-Z and blanks what parts words
+    bare = docs.select(*keep, F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER + _PARTS, _LOWER + " " * len(_PARTS))).alias("bare"))
+    return bare.select(*keep, F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", " +")).alias("w"))
 
 
 def count(words: Column) -> Column:
@@ -273,15 +278,22 @@ _RULE = "array<struct<rule:int,label:string,priority:int,keyword:string,pattern:
 _SPAN = ("start", "minus", "priority", "rule", "label", "base")
 
 
-def detections(words: Column) -> Column:
-    """All matches of all rules whose keyword occurs, as sorted structs: start, minus (the negative end), priority, rule, label, base."""
-    table = [{"rule": i, "label": r[0], "priority": r[1], "keyword": r[2].replace(" ", "  "), "pattern": compiled(r[3]), "base": r[4]} for i, r in enumerate(rules())]
-    keys = F.array(*(F.lit(k) for k in sorted({r["keyword"] for r in table})))
-    every = F.from_json(F.lit(json.dumps(table)), _RULE)
-    none = F.lit(None).cast(_RULE)
-    present = F.filter(keys, lambda k: F.contains(words, k))
-    # the words are the argument of a lambda, so that they and the keywords are computed once
-    tried = F.get(F.transform(F.array(present), lambda p: F.when(F.size(p) > 0, F.filter(every, lambda r: F.array_contains(p, r["keyword"]))).otherwise(none)), F.lit(0))
+def anchor(keyword: str) -> str:
+    return max(keyword.split(), key=len)
+
+
+def detections(w: Column, words: Column) -> Column:
+    """All matches of all rules whose keyword occurs, as sorted structs: start, minus (the negative end), priority, rule, label, base.
+
+    ``w`` are the words; ``words`` are the same in one text, each between two blanks of its own."""
+    table = [{"rule": i, "label": r[0], "priority": r[1], "keyword": r[2], "pattern": compiled(r[3]), "base": r[4]} for i, r in enumerate(rules())]
+    keys = sorted({r["keyword"] for r in table})
+    known = F.from_json(F.lit(json.dumps([{"keyword": k, "anchor": anchor(k), "phrase": f" {k.replace(' ', '  ')} "} for k in keys])), "array<struct<keyword:string,anchor:string,phrase:string>>")
+    every, none = F.from_json(F.lit(json.dumps(table)), _RULE), F.array().cast(_RULE)
+    anchors = F.array_intersect(w, F.array(*(F.lit(a) for a in sorted({anchor(k) for k in keys}))))
+    held = lambda x: F.transform(F.filter(known, lambda k: F.array_contains(x, k["anchor"]) & F.contains(words, k["phrase"])), lambda k: k["keyword"])
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  computes c once
+    tried = once(anchors, lambda x: F.when(F.size(x) == 0, none).otherwise(once(held(x), lambda p: F.filter(every, lambda r: F.array_contains(p, r["keyword"])))))
     found = F.transform(tried, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(words, r["pattern"], F.lit(0)).alias("found")))
     found = F.filter(found, lambda h: F.size(h["found"]) > 0)
 
@@ -290,7 +302,7 @@ def detections(words: Column) -> Column:
         starts = F.array_compact(F.transform(marked, lambda w, i: F.when(F.contains(w, F.lit(_MARK)), i)))
         return F.zip_with(starts, h["found"], lambda s, f: F.struct(s.alias("start"), (-(s + count(f))).alias("minus"), *(h["r"][k].alias(k) for k in _SPAN[2:])))
 
-    return F.coalesce(F.sort_array(F.flatten(F.transform(found, spans))), F.lit(None).cast("array<struct<start:int,minus:int,priority:int,rule:int,label:string,base:boolean>>"), F.array().cast("array<struct<start:int,minus:int,priority:int,rule:int,label:string,base:boolean>>"))
+    return F.sort_array(F.flatten(F.transform(found, spans)))
 
 
 def unsuppressed(spans: Column) -> Column:
@@ -313,8 +325,9 @@ def unsuppressed(spans: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, found (all detections), kept (those left after suppression); a detection holds start, minus, priority, rule, label, base."""
-    words = docs.select("doc_id", padded(F.col("text")).alias("words"))
-    found = words.select("doc_id", count(F.col("words")).cast("long").alias("n_words"), detections(F.col("words")).alias("found"))
+    w = F.col("w")
+    words = F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))
+    found = words_of(docs, "text", "doc_id").select("doc_id", F.size(w).cast("long").alias("n_words"), detections(w, words).alias("found"))
     return found.select("doc_id", "n_words", "found", unsuppressed(F.col("found")).alias("kept"))
 
 

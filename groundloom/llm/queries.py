@@ -168,12 +168,13 @@ FROM a{rounds} a JOIN c{rounds} c ON c.k = a.best.k"""
 
 def _licenses_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quote(label)}, {priority}, {quote(keyword.replace(' ', '  '))}, {quote(licenses.compiled(pattern))}, {base})" for i, (label, priority, keyword, pattern, base) in enumerate(licenses.rules()))
+    rows = ", ".join(f"({i}, {quote(label)}, {priority}, {quote(' ' + keyword.replace(' ', '  ') + ' ')}, {quote(licenses.compiled(pattern))}, {base})" for i, (label, priority, keyword, pattern, base) in enumerate(licenses.rules()))
     scores = " ".join(f"WHEN {p} THEN {s}" for p, s in licenses.SCORES.items())
     words = "len({0}) - len(replace({0}, ' ', ''))"
+    parts = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
 WITH r(rule, label, priority, keyword, pattern, base) AS (VALUES {rows}),
-b AS (SELECT rowid AS id, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses._SEPARATOR}', '  ', 'g')) AS t FROM (SELECT *, row_number() OVER () AS rowid FROM documents)),
+b AS (SELECT rowid AS id, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{parts}', '  ', 'g')) AS t FROM (SELECT *, row_number() OVER () AS rowid FROM documents)),
 w AS MATERIALIZED (SELECT id, doc_id, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS w FROM b),
 k AS MATERIALIZED (SELECT w.id, w.w, q.keyword FROM w, (SELECT DISTINCT keyword FROM r) q WHERE contains(w.w, q.keyword)),
 m AS (SELECT k.id, r.*, regexp_extract_all(k.w, r.pattern) AS found, string_split(regexp_replace(k.w, r.pattern, ' ' || chr(1) || '\1 ', 'g'), '  ') AS marked FROM k JOIN r USING (keyword) WHERE regexp_matches(k.w, r.pattern)),
