@@ -253,7 +253,8 @@ def rules() -> list[tuple[str, int, str, str, bool]]:
     """(label, priority, keyword, pattern, is it a base phrase) in their order."""
     own = [*(r for f in _FAMILIES for r in _family(*f)), *_commons(), *_RULES]
     own += [(i, 1, "spdx license identifier", "spdx license identifier " + " ".join(w for part in i.split("-") for w in part.split("."))) for i in _SPDX]
-    own.sort(key=lambda r: r[1])
+    base = {(label, pattern) for label, _, pattern in BASE}
+    own = sorted((r for r in own if (r[0], r[3]) not in base), key=lambda r: r[1])
     return [(label, 2, keyword, pattern, True) for label, keyword, pattern in BASE] + [(*r, False) for r in own]
 
 

@@ -13,10 +13,13 @@ pair in buckets of at most ``CROWD`` members. Larger ones that overlap are taken
 cut into blocks of about ``BLOCK`` members; a task counts what the sets of two blocks have in common by matrix
 products, and gives back only links that join components, never the pairs.
 
-Cases: null, empty or blank text: n_shingles 0, component_id = doc_id, kept. Equal sets are collapsed before
-anything else, so a group of copies of any size is one representative. Repeated rows of one doc_id each come
-back. Null doc_id: the row is linked like any other; component_id is the least non-null id of its component.
-Extra columns are ignored.
+Equal sets are collapsed before anything else, so a group of copies of any size is one node with a number of its own. Links are
+between nodes; ids only name the components that come out.
+
+Cases: null, empty or blank text: n_shingles 0, component_id = doc_id, kept. Rows of one doc_id with different texts are documents
+of their own: each is linked by its text, and the shared id alone links nothing. Repeated rows each come
+back. Null doc_id: the row is linked like any other; component_id is the least non-null id of its component. Where a component has no
+id at all, component_id is null and its rows are kept, since no id can name the one that stays. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,12 +73,15 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes.append(len(s))
             keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
             bands.append(buckets(s) if len(s) else None)
-        yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": sizes, "set_key": keys, "buckets": bands})
+        yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": sizes, "set_key": keys, "buckets": bands, "row_key": part["row_key"]})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
-        yield pd.DataFrame({"rep": part["doc_id"], "shingles": [s.view(np.int64) for s in shingle_sets(_texts(part["text"]), WIDTH)]})
+        sets = list(shingle_sets(_texts(part["text"]), WIDTH))
+        # another text may have the same 64-bit key
+        same = [hashlib.md5(s.tobytes()).digest() == bytes(k) for s, k in zip(sets, part["set_key"])]
+        yield pd.DataFrame({"rep": part["rep"][same], "shingles": [s.view(np.int64) for s, ok in zip(sets, same) if ok]})
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -101,10 +107,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     """doc_id, n_shingles, component_id, kept; documents with 100 * intersection >= percent * union are linked."""
     small_batches(spark)
     scratch = Scratch(spark, "neardup")
-    docs = docs.select("doc_id", "text")
-    signed = scratch.save(docs.mapInPandas(_sign, "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "signed")
-    reps = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("buckets").alias("buckets"))
-    reps = scratch.save(reps, "reps")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    signed = scratch.save(docs.mapInPandas(_sign, "doc_id long, n_shingles long, set_key binary, buckets array<long>, row_key long"), "signed")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")
+    reps = signed.filter("set_key is not null").groupBy("set_key").agg(least, F.count("*").alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("buckets").alias("buckets"))
+    # nodes get their numbers as they are written: whoever reads the table sees the same ones
+    reps = scratch.save(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", "least.doc_id", "least.row_key", "copies", "n", "buckets"), "reps")
+    named = reps.select("rep", "set_key", "row_key")
     bands = reps.select("rep", "n", F.explode("buckets").alias("bucket"))
     crowded = bands.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1").drop("members")
     active = scratch.save(bands.join(crowded, "bucket").select("bucket", "rep", "n", "centre"), "active")
@@ -112,7 +121,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     centres = active.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))
     pairs = active.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(centres.distinct(), "b")
-    tested = scratch.save(_confirm(pairs, docs, percent), "tested-0")
+    tested = scratch.save(_confirm(pairs, docs, named, percent), "tested-0")
     good = tested.filter("linked").select("a", "b")
     labels = components(spark, good, scratch, "cc-0")
     known = active.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
@@ -123,18 +132,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     right = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     more = left.join(right, "bucket").filter("comp_a <> comp_b and a > b").filter(_close(percent)).select("a", "n_a", "b", "n_b").distinct()
     more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    fresh = scratch.save(_confirm(more, docs, percent), "tested-1")
-    found = good.unionByName(fresh.filter("linked").select("a", "b")).unionByName(_crowds(spark, scratch, known.filter(F.col("members") > CROWD), docs, percent))
+    fresh = scratch.save(_confirm(more, docs, named, percent), "tested-1")
+    found = good.unionByName(fresh.filter("linked").select("a", "b")).unionByName(_crowds(spark, scratch, known.filter(F.col("members") > CROWD), docs, named, percent))
     labels = components(spark, found, scratch, "cc-1")
     scratch.drop("known")
 
-    linked = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or comp is not null").select("set_key", F.coalesce("comp", "rep").alias("comp"))
+    joined = scratch.save(reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or comp is not null").select("set_key", "doc_id", "comp"), "joined")
+    names = joined.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"))
+    linked = joined.join(names, "comp", "left").select("set_key", F.coalesce("name", "doc_id").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(linked, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _crowds(spark: SparkSession, scratch: Scratch, known: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _crowds(spark: SparkSession, scratch: Scratch, known: DataFrame, docs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components inside crowds of overlapping large buckets (rows bucket, rep, n, comp, centre)."""
     known = scratch.save(known, "crowded")
     if known.limit(1).count() == 0:
@@ -144,8 +155,7 @@ def _crowds(spark: SparkSession, scratch: Scratch, known: DataFrame, docs: DataF
     members = known.select("rep", "n", "comp").distinct().join(crowd, "rep")
     sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = members.join(sizes, "crowd").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    whole = scratch.save(members.join(texts.mapInPandas(_sets, "rep long, shingles array<long>"), "rep"), "crowd-sets")
+    whole = scratch.save(members.join(_full_sets(members.select("rep"), docs, named), "rep"), "crowd-sets")
     dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("crowd", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "shingles")
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -197,12 +207,17 @@ def _close(percent: int) -> str:
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _full_sets(reps: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """rep, shingles of the nodes (rep): each made from one row that has its set."""
+    wanted = named.join(reps.distinct(), "rep")
+    texts = docs.select("text", "row_key").join(wanted, "row_key").groupBy("rep", F.xxhash64(F.lit(1), "text")).agg(F.any_value("text").alias("text"), F.any_value("set_key").alias("set_key"))
+    return texts.mapInPandas(_sets, "rep long, shingles array<long>")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) of the pairs (a, n_a, b, n_b), on the full sets of shingles."""
     pairs = pairs.filter(_close(percent))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInPandas(_sets, "rep long, shingles array<long>")
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, named)
     with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
     common = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))

@@ -189,7 +189,8 @@ def _changes(state: DataFrame, k: int, dimension: int) -> tuple[np.ndarray, np.n
             np.subtract.at(sums, was[left], x[left])
             np.subtract.at(counts, was[left], 1)
         touched = np.flatnonzero(sums.any(1) | (counts != 0))
-        yield pd.DataFrame({"cluster": touched.astype(np.int32), "n": counts[touched], "s": list(sums[touched])})
+        if len(touched):
+            yield pd.DataFrame({"cluster": touched.astype(np.int32), "n": counts[touched], "s": list(sums[touched])})
 
     parts = state.filter("cluster <> was").select("v", "cluster", "was").mapInPandas(add, "cluster int, n long, s array<long>")
     total = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *(F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(dimension)))

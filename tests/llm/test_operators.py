@@ -452,3 +452,23 @@ def test_archives(spark):
     assert by[2].payload_bytes == 0 and by[5].payload_bytes == len(("ü\r\n\r\n" * 90).encode())
     assert warc.url_key("https://Blog.example.com:80/a?b#c") == "com,example,blog:80)/a?b"
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_near_copies_of_clashing_and_missing_ids(spark):
+    base = " ".join(f"w{k}" for k in range(120))
+    near = base + " tail"
+    other = " ".join(f"v{k}" for k in range(90))
+    shape = "doc_id long, text string"
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark, spark.createDataFrame([(0, other), (0, base), (1, near)], shape)).collect()}
+    assert (got[1].component_id, got[1].kept) == (0, False)
+    rows = neardup.near_duplicates(spark, spark.createDataFrame([(None, near), (7, base), (9, other)], shape)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(None, 7, False), (7, 7, True), (9, 9, True)}
+    # a missing id joins two texts that are not alike themselves; without any id all stay
+    chain = [base, "a b c d e f " + base, "a b c d e f " + base + " g h i j k l"]
+    rows = neardup.near_duplicates(spark, spark.createDataFrame([(5, chain[0]), (None, chain[1]), (3, chain[2])], shape), 92).collect()
+    assert {r.component_id for r in rows} == {3}
+    rows = neardup.near_duplicates(spark, spark.createDataFrame([(None, base), (None, base), (None, near)], shape)).collect()
+    assert {(r.component_id, r.kept) for r in rows} == {(None, True)}
+    crowd = [(None if k % 3 else k, base.replace(f"w{k + 5} ", f"x{k} ")) for k in range(60)]
+    rows = neardup.near_duplicates(spark, spark.createDataFrame(crowd, shape)).collect()
+    assert {r.component_id for r in rows} == {0}
