@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,12 +41,19 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="groundloom-")
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder, for plans that read them many times."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def r(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, PLACES)
 
 
 def _load() -> None:
-    from . import queries_annotation, queries_checks, queries_generation, queries_grounding, queries_rows, queries_sampling, queries_texts  # noqa: F401
+    from . import queries_annotation, queries_batches, queries_checks, queries_generation, queries_grounding, queries_pairs, queries_rows, queries_sampling, queries_texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -82,6 +82,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
+def set_text(items: Column) -> Column:
+    """The different items in order, as one text."""
+    return F.array_join(F.array_sort(F.array_distinct(items)), ",")
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 

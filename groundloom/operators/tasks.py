@@ -1,4 +1,4 @@
-"""Downstream tasks: candidate rings, pairs, retrieval by summed context, pair features, linear models with their instances."""
+"""Downstream tasks: pairs, retrieval by summed context, pair features, linear models with their instances."""
 
 from __future__ import annotations
 
@@ -6,24 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
+from .ranking import nested_candidates
 
 
-def rings(rows: DataFrame, key: str, group: str, order: Column, candidates: int) -> DataFrame:
-    """key, candidate, truth: each row with itself and the rows that follow it around the ring of its group.
+def pair_dataset(rows: DataFrame, key: str, groups: list[str], seed: int, stage: str, anchor: str, text: str) -> DataFrame:
+    """key, candidate, level, label, anchor, text: a row's anchor with its own text (1) and with that of another row (0).
 
-    Groups of fewer rows than candidates have none. A group's keys are sorted in one task; only keys are."""
-    whole = Window.partitionBy(group)
-    k = rows.select(key, group).withColumn("p", F.row_number().over(whole.orderBy(order, key)) - 1).withColumn("n", F.count("*").over(whole))
-    asked = k.filter(F.col("n") >= candidates).select(key, group, F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))).alias("step"), "p", "n")
-    there = k.select(group, F.col(key).alias("candidate"), F.col("p").alias("at"))
-    return asked.withColumn("at", (F.col("p") + F.col("step")) % F.col("n")).join(there, [group, "at"]).select(key, "candidate", (F.col("step") == 0).alias("truth"))
-
-
-def pair_dataset(rows: DataFrame, key: str, group: str, order: Column, anchor: str, text: str) -> DataFrame:
-    """key, candidate, label, anchor, text: a row's anchor with its own text (1) and with that of its ring partner (0)."""
-    pairs = rings(rows, key, group, order, 2)
+    The other one is of the finest of the nested ``groups`` that has another row, else any (see ``ranking.nested_candidates``)."""
+    pairs = nested_candidates(rows, key, groups, uniform(seed, F.col(key), stage), 2, seed, stage)
     anchors, texts = rows.select(key, F.col(anchor).alias("anchor")), rows.select(F.col(key).alias("candidate"), F.col(text).alias("text"))
-    return pairs.join(anchors, key).join(texts, "candidate").select(key, "candidate", F.col("truth").cast("int").alias("label"), "anchor", "text")
+    return pairs.join(anchors, key).join(texts, "candidate").select(key, "candidate", "level", (F.col("step") == 0).cast("int").alias("label"), "anchor", "text")
 
 
 def retrieval_ranks(pairs: DataFrame, key: str, context: DataFrame, target: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
+from . import ranking
 
 #: What a precision without any match counts instead of zero (fixed value).
 EPSILON = 0.1
@@ -86,8 +87,8 @@ def cross_validated(rows: DataFrame, key: str, label: str, features: list[str],
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    place = F.row_number().over(Window.partitionBy(label).orderBy(s.uniform(seed, F.col(key), "fold"), key))
-    dealt = VectorAssembler(inputCols=features, outputCol="features").transform(rows.select(key, F.col(label).cast("double").alias("y"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), (place % folds).alias("fold")))
+    kept = rows.select(key, F.col(label).cast("double").alias("y"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
+    dealt = VectorAssembler(inputCols=features, outputCol="features").transform(ranking.folds(kept, ["y"], key, folds, seed))
     out = []
     for k in range(folds):
         train = dealt.filter(F.col("fold") != k)

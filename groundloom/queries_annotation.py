@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from .catalog import query, r, table
 from .functions.scalar import dot, half_up_score, uniform
 from .operators.checks import corrected
+from .operators import ranking as rk
 from .operators import statistics as st
 from .operators import tasks
-from .queries_grounding import u_sql
+from .queries_grounding import gamma_sql, u_sql
+from .queries_pairs import nested_sql
 
 JUDGES = {"quantity": ("l_quantity", 10.0), "discount": ("l_discount", 0.02), "tax": ("l_tax", 0.016), "price": ("l_extendedprice", 20000.0)}
 
@@ -92,13 +94,14 @@ def calibration_consensus_flags(spark, d):
     return rows.groupBy("human").agg(F.count("*").alias("n"), r(F.avg("gap")).alias("bias"), r(F.percentile(F.abs("gap"), 0.95)).alias("p95"), r(F.avg((F.abs("gap") >= 1.5).cast("int"))).alias("large"), r(F.avg("spread")).alias("spread"))
 
 
-@query(f"""WITH {_LONG}, x AS (SELECT judge, score - human AS y FROM g WHERE score <> human), k AS (SELECT judge, y, rank() OVER (PARTITION BY judge ORDER BY abs(y)) + (count(*) OVER (PARTITION BY judge, abs(y)) - 1) / 2 AS rk FROM x)
-SELECT judge, count(*) AS n, round(coalesce(sum(rk) FILTER (y > 0), 0), 3) AS w_plus, round(coalesce(sum(rk) FILTER (y < 0), 0), 3) AS w_minus FROM k GROUP BY judge""")
+@query(f"""WITH {_LONG}, x AS (SELECT judge, score - human AS y FROM g WHERE score <> human), k AS (SELECT judge, y, rank() OVER (PARTITION BY judge ORDER BY abs(y)) + (count(*) OVER (PARTITION BY judge, abs(y)) - 1) / 2 AS rk FROM x),
+t AS (SELECT judge, sum(c * c * c - c) AS ties FROM (SELECT judge, count(*) :: DOUBLE AS c FROM x GROUP BY judge, abs(y)) GROUP BY judge),
+w AS (SELECT judge, count(*) AS n, coalesce(sum(rk) FILTER (y > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (y < 0), 0) AS w_minus FROM k GROUP BY judge),
+z AS (SELECT *, abs(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48) AS z FROM w JOIN t USING (judge))
+SELECT judge, n, round(w_plus, 3) AS w_plus, round(w_minus, 3) AS w_minus, CASE WHEN z > 20 THEN 0.0 ELSE round({gamma_sql('1', 'z * z')}, 6) END AS p_value FROM z""")
 def wilcoxon_w_statistic(spark, d):
-    x = long(spark, d).withColumn("y", F.col("score") - F.col("human")).filter("y <> 0").withColumn("size", F.abs("y"))
-    ranked = st.average_ranks(x, "size", "rk", ["judge"])
-    side = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("rk"))), F.lit(0.0)), 3)
-    return ranked.groupBy("judge").agg(F.count("*").alias("n"), side(F.col("y") > 0).alias("w_plus"), side(F.col("y") < 0).alias("w_minus"))
+    x = long(spark, d).withColumn("y", F.col("score") - F.col("human"))
+    return st.signed_ranks(x, "y", ["judge"]).select("judge", "n", F.round("w_plus", 3).alias("w_plus"), F.round("w_minus", 3).alias("w_minus"), r("p_value").alias("p_value"))
 
 
 @query(f"WITH {_LONG} SELECT judge, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(avg(CAST(score <= 2 AS INT)), 6) AS low, round(avg(CAST(score >= 4 AS INT)), 6) AS high, " + ", ".join(f"round(avg(CAST(score = {k} AS INT)), 6) AS share_{k}" for k in range(1, 6)) + " FROM g GROUP BY judge")
@@ -156,34 +159,13 @@ def auc_average_precision(spark, d):
 
 @query(f"""SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {u_sql(3, 'doc_id', 'split')}, doc_id) <= ceil(0.8 * count(*) OVER (PARTITION BY source)) AS train FROM documents""")
 def stratified_split(spark, d):
-    w = Window.partitionBy("source")
-    place = F.row_number().over(w.orderBy(uniform(3, F.col("doc_id"), "split"), "doc_id"))
-    return table(spark, d, "documents").select("doc_id", "source", (place <= F.ceil(F.lit(0.8) * F.count("*").over(w))).alias("train"))
+    return rk.split_rows(table(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id", 0.8, 3)
 
 
 @query(f"""WITH x AS (SELECT doc_id, quality FROM labels), n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM x GROUP BY quality)), k AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {u_sql(5, 'doc_id', 'balance')}, doc_id) AS rk FROM x)
-SELECT doc_id, quality FROM k, n WHERE rk <= n""")
+SELECT doc_id, quality FROM k, n WHERE rk <= least(n, 1000)""")
 def balanced_sample(spark, d):
-    rows = table(spark, d, "labels").select("doc_id", "quality")
-    least = rows.groupBy("quality").count().agg(F.min("count").alias("least"))
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(uniform(5, F.col("doc_id"), "balance"), "doc_id"))
-    return rows.withColumn("place", place).crossJoin(F.broadcast(least)).filter("place <= least").select("doc_id", "quality")
-
-
-@query(f"""WITH k AS (SELECT c_custkey, c_nationkey, c_mktsegment, {u_sql(9, 'c_custkey', 'ring')} AS u FROM customer),
-n AS (SELECT *, lead(c_custkey) OVER a AS nxt, first_value(c_custkey) OVER a AS fst, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n1, lead(c_custkey) OVER b AS nxt2, first_value(c_custkey) OVER b AS fst2, count(*) OVER (PARTITION BY c_mktsegment) AS n2 FROM k WINDOW a AS (PARTITION BY c_mktsegment, c_nationkey ORDER BY u, c_custkey), b AS (PARTITION BY c_mktsegment ORDER BY u, c_custkey))
-SELECT c_custkey, CASE WHEN n1 > 1 THEN coalesce(nxt, fst) WHEN n2 > 1 THEN coalesce(nxt2, fst2) END AS partner, CASE WHEN n1 > 1 THEN 1 WHEN n2 > 1 THEN 2 END AS level FROM n""")
-def hard_negative_partner(spark, d):
-    """The next row around a ring in hash order, of the same segment and nation, else of the same segment; never the row itself."""
-    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", uniform(9, F.col("c_custkey"), "ring").alias("u"))
-
-    def ring(*keys):
-        w = Window.partitionBy(*keys)
-        o = w.orderBy("u", "c_custkey")
-        return F.coalesce(F.lead("c_custkey").over(o), F.first("c_custkey").over(o)), F.count("*").over(w)
-
-    (near, n1), (far, n2) = ring("c_mktsegment", "c_nationkey"), ring("c_mktsegment")
-    return rows.select("c_custkey", F.when(n1 > 1, near).when(n2 > 1, far).alias("partner"), F.when(n1 > 1, 1).when(n2 > 1, 2).alias("level"))
+    return rk.balanced_rows(table(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 5, cap=1000, least=10)
 
 
 @query("""WITH u AS (SELECT label, unnest(range(0, 64)) AS i, embedding FROM embeddings), m AS (SELECT label, i, avg(embedding[i + 1] :: DOUBLE) AS m, count(*) AS n FROM u GROUP BY label, i),
@@ -208,22 +190,21 @@ def cosine_all_pairs_stats(spark, d):
     return st.pairwise_cosine_moments(table(spark, d, "embeddings"), "embedding").select("n", r("mean").alias("mean"), r("sd").alias("sd"))
 
 
-@query(f"""WITH k AS (SELECT vec_id, label, embedding :: DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY {u_sql(13, 'vec_id', 'ring')}, vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-c AS (SELECT q.vec_id, c.vec_id AS candidate, o.k = 1 AS truth, list_dot_product(q.v, c.v) AS s FROM k q, range(1, 11) AS o(k), k c WHERE c.label = q.label AND q.n > 10 AND c.p = (q.p + o.k) % q.n),
+@query(f"""WITH {nested_sql('embeddings', 'vec_id', ['label'], 13, 'ring', 11)},
+c AS (SELECT c.vec_id, c.candidate, c.step = 1 AS truth, list_dot_product(a.embedding :: DOUBLE[], b.embedding :: DOUBLE[]) AS s FROM cand c JOIN embeddings a USING (vec_id) JOIN embeddings b ON b.vec_id = c.candidate WHERE c.step > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, candidate) AS rk FROM c)
 SELECT count(*) AS n, round(avg(CAST(rk = 1 AS INT)), 6) AS top1, round(avg(CAST(rk <= 3 AS INT)), 6) AS top3, round(avg(1.0 / rk), 6) AS mrr, round(median(rk), 6) AS median_rank FROM r WHERE truth""")
 def candidate_lists_and_mrr(spark, d):
-    """Ten candidates a query: its next ten around the ring of its label; the first counts as the true one."""
+    """Ten candidates a query: the next ten around the ring of its label, others where the label has fewer; the first counts as the true one."""
     ranked = _candidate_ranks(spark, d)
     return ranked.agg(F.count("*").alias("n"), r(F.avg((F.col("rk") == 1).cast("int"))).alias("top1"), r(F.avg((F.col("rk") <= 3).cast("int"))).alias("top3"), r(F.avg(1 / F.col("rk"))).alias("mrr"), r(F.median("rk")).alias("median_rank"))
 
 
 def _candidate_ranks(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("label")
-    k = table(spark, d, "embeddings").withColumn("p", F.row_number().over(w.orderBy(uniform(13, F.col("vec_id"), "ring"), "vec_id")) - 1).withColumn("n", F.count("*").over(w))
-    asked = k.filter("n > 10").select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"), "p", "n").withColumn("at", (F.col("p") + F.col("k")) % F.col("n"))
-    c = k.select("label", F.col("p").alias("at"), F.col("vec_id").alias("candidate"), F.col("embedding").alias("other"))
-    scored = asked.join(c, ["label", "at"]).select("vec_id", "candidate", (F.col("k") == 1).alias("truth"), dot(F.col("embedding"), F.col("other")).alias("s"))
+    e = table(spark, d, "embeddings")
+    c = rk.nested_candidates(e, "vec_id", ["label"], uniform(13, F.col("vec_id"), "ring"), 11, 13).filter("step > 0")
+    met = c.join(e.select("vec_id", "embedding"), "vec_id").join(e.select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("other")), "candidate")
+    scored = met.select("vec_id", "candidate", (F.col("step") == 1).alias("truth"), dot(F.col("embedding"), F.col("other")).alias("s"))
     return scored.withColumn("rk", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "candidate"))).filter("truth")
 
 
@@ -241,9 +222,27 @@ def counterfactual_pairs(spark, d):
 
 @query()
 def bootstrap_agreement_ci(spark, d):
-    """Intervals of each judge's agreement with the human: 10,000 resamples inside the years."""
-    sums = st.resampled_sums(long(spark, d), ["judge"], "yr", st.pair_sums("human", "score"), 10_000, 42)
-    return st.intervals(sums, ["judge"], st.agreement_of_sums()).select("judge", "measure", r("lower").alias("lower"), r("upper").alias("upper"), "replicates")
+    """Intervals of each judge's agreement with the human: 10,000 resamples inside the years, 1,000 for the rank correlation."""
+    rows = long(spark, d)
+    sums = st.resampled_sums(rows, ["judge"], "yr", st.pair_sums("human", "score"), 10_000, 42)
+    cells = st.resampled_cells(rows, ["judge"], "yr", {"human": F.col("human"), "score": F.col("score")}, 1000, 42)
+    ranks = st.weighted_spearman(cells, ["judge", "replicate"], "human", "score")
+    both = st.intervals(sums, ["judge"], st.agreement_of_sums()).unionByName(st.intervals(ranks, ["judge"], {"spearman": F.col("spearman")}))
+    return both.select("judge", "measure", r("lower").alias("lower"), r("upper").alias("upper"), "replicates")
+
+
+@query()
+def panel_bootstrap_ci(spark, d):
+    """The same of the panels' mean scores, with all judges and with each left out."""
+    total = lambda m: sum((F.col(j) for j in m[1:]), F.col(m[0])) / float(len(m))
+    panels = F.array(*(F.struct(F.lit(p).alias("panel"), total(m).alias("mean")) for p, m in PANELS.items()))
+    rows = scores(spark, d).select("yr", "human", F.explode(panels).alias("x")).select("yr", "human", "x.*")
+    columns = {"human": F.col("human"), "mean": F.col("mean")}
+    cells = st.resampled_cells(rows, ["panel"], "yr", columns, 1000, 43)
+    ranks = st.weighted_spearman(cells, ["panel", "replicate"], "human", "mean")
+    sums = st.resampled_sums(rows, ["panel"], "yr", st.pair_sums("human", "mean"), 1000, 43)
+    both = st.intervals(sums, ["panel"], st.agreement_of_sums() | {"bias": (F.col("y") - F.col("x")) / F.col("n")}).unionByName(st.intervals(ranks, ["panel"], {"spearman": F.col("spearman")}))
+    return both.select("panel", "measure", r("lower").alias("lower"), r("upper").alias("upper"), "replicates")
 
 
 @query()

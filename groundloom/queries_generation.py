@@ -12,7 +12,9 @@ from .functions import scalar as s
 from .operators import generation as g
 from .operators import prompts, rules, tasks, texts
 from .operators.grounding import conditional_share
+from .operators.ranking import nested_candidates
 from .queries_grounding import u_sql
+from .queries_pairs import nested_sql
 from .sources import distributions
 
 CAP = 20
@@ -97,8 +99,7 @@ y AS (SELECT id, g, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM x)) / (1 + df)
 
 @query(f"""WITH {_TFIDF}, h AS (SELECT conv_id, max(turn) AS held, conv_id % 3 AS grp FROM x GROUP BY conv_id),
 q AS (SELECT x.conv_id, u.g, sum(u.y) AS y FROM x JOIN h USING (conv_id) JOIN u ON u.id = x.id WHERE x.turn < h.held GROUP BY ALL), t AS (SELECT x.conv_id, u.g, u.y FROM x JOIN h ON h.conv_id = x.conv_id AND h.held = x.turn JOIN u ON u.id = x.id),
-k AS (SELECT conv_id, grp, row_number() OVER (PARTITION BY grp ORDER BY {u_sql(29, 'conv_id', 'ring')}, conv_id) - 1 AS p, count(*) OVER (PARTITION BY grp) AS n FROM h),
-c AS (SELECT a.conv_id AS a, b.conv_id AS b, o.k = 0 AS truth FROM k a, range(0, 5) AS o(k), k b WHERE b.grp = a.grp AND a.n >= 5 AND b.p = (a.p + o.k) % a.n),
+{nested_sql('h', 'conv_id', ['grp'], 29, 'ring', 5)}, c AS (SELECT conv_id AS a, candidate AS b, step = 0 AS truth FROM cand),
 z AS (SELECT c.a, c.b, sum(q.y * t.y) AS s FROM c JOIN q ON q.conv_id = c.a JOIN t ON t.conv_id = c.b AND t.g = q.g GROUP BY ALL),
 rk AS (SELECT c.a, c.truth, row_number() OVER (PARTITION BY c.a ORDER BY round(coalesce(z.s, 0), 9) DESC, c.b) AS rank FROM c LEFT JOIN z USING (a, b))
 SELECT count(*) AS queries, round(avg(CAST(rank = 1 AS INT)), 6) AS top1, round(avg(CAST(rank <= 3 AS INT)), 6) AS top3, round(avg(1.0 / rank), 6) AS mrr, round(median(rank), 6) AS median_rank FROM rk WHERE truth""")
@@ -107,7 +108,8 @@ def heldout_turn_retrieval(spark, d):
     turns = table(spark, d, "conversations").select((F.col("conv_id").cast("long") * 100000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
     held = turns.groupBy("conv_id").agg(F.max("turn").alias("held")).withColumn("grp", F.col("conv_id") % 3)
     weights = texts.char_tfidf(turns, "id", "text").join(turns.select("id", "conv_id", "turn"), "id").join(held.select("conv_id", "held"), "conv_id")
-    pairs = tasks.rings(held, "conv_id", "grp", s.uniform(29, F.col("conv_id"), "ring"), 5)
+    found = nested_candidates(held, "conv_id", ["grp"], s.uniform(29, F.col("conv_id"), "ring"), 5, 29)
+    pairs = found.select("conv_id", "candidate", (F.col("step") == 0).alias("truth"))
     ranks = tasks.retrieval_ranks(pairs, "conv_id", weights.filter("turn < held"), weights.filter("turn = held"))
     return ranks.agg(F.count("*").alias("queries"), r(F.avg((F.col("rank") == 1).cast("int"))).alias("top1"), r(F.avg((F.col("rank") <= 3).cast("int"))).alias("top3"), r(F.avg(1 / F.col("rank"))).alias("mrr"), r(F.median("rank")).alias("median_rank"))
 
@@ -115,14 +117,14 @@ def heldout_turn_retrieval(spark, d):
 _SET = "list_distinct(regexp_extract_all(lower({}), '[가-힣a-z0-9]+'))"
 
 
-@query(f"""WITH x AS (SELECT d.doc_id, source, d.text, concat_ws(' ', d.lang, d.source, d.text) AS anchor, row_number() OVER (PARTITION BY source ORDER BY {u_sql(31, 'doc_id', 'pair')}, doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents d),
-c AS (SELECT a.doc_id, o.k = 0 AS own, {_SET.format('a.anchor')} AS s, {_SET.format('b.text')} AS t FROM x a, range(0, 2) AS o(k), x b WHERE b.source = a.source AND a.n >= 2 AND b.p = (a.p + o.k) % a.n),
+@query(f"""WITH {nested_sql('documents', 'doc_id', ['source', 'lang'], 31, 'pair', 2)},
+c AS (SELECT c.doc_id, step = 0 AS own, {_SET.format("concat_ws(' ', a.lang, a.source, a.text)")} AS s, {_SET.format("coalesce(b.text, '')")} AS t FROM cand c JOIN documents a USING (doc_id) JOIN documents b ON b.doc_id = c.candidate),
 j AS (SELECT CAST(own AS INT) AS label, CASE WHEN len(s) + len(t) = 0 THEN 1.0 ELSE len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t))) END AS x FROM c)
 SELECT label, count(*) AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(avg(CAST(x >= 0.1 AS INT)), 6) AS share_over FROM j GROUP BY label""")
 def pair_lexical_baseline(spark, d):
-    """A document's columns against its own text and against that of a partner of its source."""
-    docs = table(spark, d, "documents").filter("source is not null").withColumn("anchor", F.concat_ws(" ", "lang", "source", "text"))
-    pairs = tasks.pair_dataset(docs, "doc_id", "source", s.uniform(31, F.col("doc_id"), "pair"), "anchor", "text")
+    """A document's columns against its own text and against that of a partner of its source and language, or as near as there is."""
+    docs = table(spark, d, "documents").withColumn("anchor", F.concat_ws(" ", "lang", "source", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+    pairs = tasks.pair_dataset(docs, "doc_id", ["source", "lang"], 31, "pair", "anchor", "text")
     x = pairs.select("label", s.jaccard(s.token_set(F.col("anchor")), s.token_set(F.col("text"))).alias("x"))
     return x.groupBy("label").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean"), r(F.max("x")).alias("max"), r(F.avg((F.col("x") >= 0.1).cast("int"))).alias("share_over"))
 

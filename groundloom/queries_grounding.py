@@ -159,18 +159,40 @@ def ipf_converged_marginals(spark, d):
     return _seeded(spark, d).groupBy("c_mktsegment").applyInPandas(fit, "c_mktsegment string, status string, priority string, share double, sweeps int, error double, converged boolean")
 
 
-@query("""WITH c AS (SELECT o_orderpriority, count(*) AS o FROM orders GROUP BY 1), t AS (SELECT sum(o) AS n, count(*) AS k FROM c)
-SELECT CAST(n AS BIGINT) AS n, k AS cells, round(sum((o - n / 5) * (o - n / 5) / (n / 5)), 6) AS chi2, round(sqrt(sum((o - n / 5) * (o - n / 5) / (n / 5)) / greatest(n * (k - 1), 1)), 6) AS cramers_v FROM c, t GROUP BY n, k""")
+def gamma_sql(freedom: str, x: str) -> str:
+    """The upper tail of the chi-square distribution by the series of the incomplete gamma function."""
+    return f"1 - list_sum(list_transform(range(0, 1000), lambda i: exp(({freedom} / 2.0 + i) * ln(greatest({x} / 2.0, 1e-300)) - {x} / 2.0 - lgamma({freedom} / 2.0 + i + 1))))"
+
+
+@query(f"""WITH c AS (SELECT o_orderpriority, count(*) AS o FROM orders GROUP BY 1), t AS (SELECT sum(o) AS n, count(*) AS k FROM c),
+x AS (SELECT CAST(n AS BIGINT) AS n, k AS cells, sum((o - n / 5) * (o - n / 5) / (n / 5)) AS chi2 FROM c, t GROUP BY n, k), v AS (SELECT *, sqrt(chi2 / greatest(n * (cells - 1), 1)) AS v, {gamma_sql('(cells - 1)', 'chi2')} AS p FROM x)
+SELECT n, cells, round(chi2, 6) AS chi2, round(v, 6) AS cramers_v, round(p, 6) AS p_value, p > 0.05 OR v < 0.05 AS passed FROM v""")
 def chi_square_gof(spark, d):
     counts = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("observed")).withColumn("share", F.lit(0.2))
-    return st.chi_square(counts, "observed", "share").select("n", "cells", r("chi2").alias("chi2"), r("cramers_v").alias("cramers_v"))
+    return st.chi_square(counts, "observed", "share").select("n", "cells", r("chi2").alias("chi2"), r("cramers_v").alias("cramers_v"), r("p_value").alias("p_value"), "passed")
+
+
+@query(f"""WITH v AS (SELECT o_orderpriority AS value, count(*) / (SELECT count(*) FROM orders WHERE o_orderpriority <> '5-LOW') AS share FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1 UNION ALL SELECT '6-NONE', 0.0),
+g AS (SELECT c_mktsegment, value, share, coalesce(o, 0) AS o FROM (SELECT DISTINCT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey) CROSS JOIN v LEFT JOIN (SELECT c_mktsegment, o_orderpriority AS value, count(*) AS o FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) USING (c_mktsegment, value)),
+t AS (SELECT *, sum(o) OVER (PARTITION BY c_mktsegment) AS n FROM g), x AS (SELECT c_mktsegment, CAST(max(n) AS BIGINT) AS n, count(*) FILTER (share > 0) AS cells, sum(CASE WHEN share > 0 THEN (o - n * share) * (o - n * share) / (n * share) END) AS chi2 FROM t GROUP BY 1),
+y AS (SELECT *, sqrt(chi2 / greatest(n * (cells - 1), 1)) AS v, {gamma_sql('(cells - 1)', 'chi2')} AS p FROM x)
+SELECT c_mktsegment, n, cells, round(chi2, 6) AS chi2, round(v, 6) AS cramers_v, round(p, 6) AS p_value, p > 0.05 OR v < 0.05 AS passed FROM y""")
+def marginal_checks(spark, d):
+    """Each segment's order priorities against those of all, without the lowest (so that it is unseen) and with one that no order has."""
+    orders = _orders(spark, d).select("c_mktsegment", "o_orderpriority")
+    share = g.conditional_share(table(spark, d, "orders").filter("o_orderpriority <> '5-LOW'"), [], ["o_orderpriority"])
+    words = share.select(F.col("o_orderpriority").alias("value"), F.col("probability").alias("share")).unionByName(spark.range(1).select(F.lit("6-NONE").alias("value"), F.lit(0.0).alias("share")))
+    found = st.marginal_check(orders, "o_orderpriority", words, ["c_mktsegment"])
+    return found.select("c_mktsegment", "n", "cells", r("chi2").alias("chi2"), r("cramers_v").alias("cramers_v"), r("p_value").alias("p_value"), "passed")
 
 
 @query("""WITH t AS (SELECT l_extendedprice AS v, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'N') AS b FROM lineitem GROUP BY 1),
-s AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM t WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))
-SELECT round(max(abs(ca / na - cb / nb)), 6) AS d, CAST(max(na) AS BIGINT) AS n_a, CAST(max(nb) AS BIGINT) AS n_b FROM s""")
+s AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM t WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT max(abs(ca / na - cb / nb)) AS d, max(na) AS na, max(nb) AS nb, sqrt(max(na) * max(nb) / (max(na) + max(nb))) AS e FROM s),
+p AS (SELECT *, least(1, 2 * list_sum(list_transform(range(1, 400), lambda i: CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * e * e * d * d)))) AS p FROM k)
+SELECT round(d, 6) AS d, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, round(p, 6) AS p_value, p > 0.05 OR d < 0.05 AS passed FROM p""")
 def ks_two_sample_d(spark, d):
-    return st.ks_distance(table(spark, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R", F.col("l_returnflag") == "N").withColumn("d", r("d"))
+    return st.ks_distance(table(spark, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R", F.col("l_returnflag") == "N").withColumn("d", r("d")).withColumn("p_value", r("p_value"))
 
 
 @query(f"""WITH p AS (SELECT c_mktsegment AS s, o_orderpriority AS k, count(*) / sum(count(*)) OVER (PARTITION BY c_mktsegment) AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderpriority),

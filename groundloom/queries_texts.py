@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import query, r, table
+from .catalog import query, r, table, written
 from .functions import scalar as s
 from .operators import texts
 from .sources import report_tables
@@ -93,5 +93,5 @@ def quality_cv(spark, d):
     t = F.col("text")
     measures = {"chars": F.log1p(F.length(t)), "digits": F.regexp_count(t, F.lit("[0-9]")) / (F.length(t) + 1), "marks": F.regexp_count(t, F.lit(r"[^\w\s]")) / (F.length(t) + 1), "variety": F.size(F.array_distinct(s.words(t))) / (F.size(s.words(t)) + 1)}
     rows = table(spark, d, "documents").join(table(spark, d, "labels").filter("quality is not null"), "doc_id").select("doc_id", "quality", *(c.alias(k) for k, c in measures.items()))
-    found = texts.cross_validated(rows, "doc_id", "quality", list(measures))
+    found = texts.cross_validated(written(rows, "quality"), "doc_id", "quality", list(measures))
     return found.select("fold", "n", *(r(c).alias(c) for c in ("accuracy", "macro_f1", "majority_accuracy")))

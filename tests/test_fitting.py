@@ -22,9 +22,3 @@ def test_three_axes_and_zero_cells():
     seed[0, 0, 0] = 0
     m, _, _, ok = g.fit_nd(seed, [target.sum((1, 2)), target.sum((0, 2)), target.sum((0, 1))])
     assert ok and (m >= 0).all() and np.allclose(m.sum((1, 2)), target.sum((1, 2)))
-
-
-def test_chi_square_tail():
-    assert abs(s.chi_square_p(3.841458820694124, 1) - 0.05) < 1e-9
-    assert abs(s.chi_square_p(18.307038053275146, 10) - 0.05) < 1e-9
-    assert s.chi_square_p(0, 3) == 1.0

@@ -43,14 +43,89 @@ def test_draws_do_not_depend_on_the_partitions(scored):
 def test_missing_values_and_empty_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), (None, 2.0)], "g string, v double")
     got = st.resampled_sums(df, [], "g", {"v": F.col("v")}, 5, 1).collect()
-    assert [(x.n, x.v) for x in got] == [(2, 3.0)] * 5
+    assert [(x.n, x.v) for x in got] == [(2, 3.0)] * 5, got
     assert st.resampled_sums(df.limit(0), [], None, {"v": F.col("v")}, 5, 1).count() == 0
 
 
-def test_too_many_cells_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(st, "MOST_CELLS", 10)
-    with pytest.raises(ValueError, match="distinct combinations"):
-        st.resampled_sums(spark.range(11), [], None, {"v": F.col("id")}, 5, 1)
+def test_any_number_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(st, "CELLS", 10)
+    rows = spark.createDataFrame([(i % 3, float(i), float(i * i % 97)) for i in range(500)], "g long, v double, y double")
+    sums = st.resampled_sums(rows, [], "g", {"v": F.col("v"), "one": F.lit(1.0)}, 400, 1).toPandas()
+    assert (sums["n"] == 500).all() and (sums["one"] == 500).all() and sorted(sums["replicate"]) == list(range(400))
+    plain = np.random.default_rng(1)
+    strata = [np.arange(g, 500, 3) for g in range(3)]
+    want = [sum(plain.choice(x, len(x)).sum() for x in strata) for _ in range(4000)]
+    assert abs(sums["v"].mean() - np.mean(want)) < 4 * np.std(want) / 20 and 0.85 < sums["v"].std() / np.std(want) < 1.15
+    cells = st.resampled_cells(rows, ["g"], None, {"v": F.col("v"), "y": F.col("y")}, 30, 1).toPandas()
+    assert (cells.groupby(["g", "replicate"])["w"].sum().unstack().T == [167, 167, 166]).all().all()
+    # first replicates don't depend on how many there are
+    again = st.resampled_sums(rows, [], "g", {"v": F.col("v"), "one": F.lit(1.0)}, 30, 1).toPandas().sort_values("replicate")
+    assert (again["v"].to_numpy() == sums.sort_values("replicate")["v"].to_numpy()[:30]).all()
+
+
+def test_rank_correlation_of_counted_cells(spark):
+    rng = np.random.default_rng(2)
+    x, y, w, g = rng.integers(0, 6, 80), rng.integers(0, 9, 80), rng.integers(1, 5, 80), rng.integers(0, 2, 80)
+    frame = spark.createDataFrame(list(zip(g.tolist(), x.tolist(), y.tolist(), w.tolist())) + [(7, 1, 1, 3), (None, 1, 2, 1), (None, 2, 1, 1)], "g long, x long, y long, w long")
+    got = {r.g: r.spearman for r in st.weighted_spearman(frame, ["g"], "x", "y").collect()}
+
+    def ranks(v):
+        order = np.sort(v)
+        return (np.searchsorted(order, v) + np.searchsorted(order, v, "right") + 1) / 2
+
+    for k in (0, 1):
+        a, b = np.repeat(x[g == k], w[g == k]), np.repeat(y[g == k], w[g == k])
+        assert abs(got[k] - np.corrcoef(ranks(a), ranks(b))[0, 1]) < 1e-12
+    assert got[7] is None and got[None] == -1
+
+
+def test_tails(spark):
+    import math
+
+    from groundloom.functions import tails
+
+    def gamma_upper(a, x):
+        return 1 - sum(math.exp(a * math.log(x) - x + n * math.log(x) - math.lgamma(a + n + 1)) for n in range(2000))
+
+    z = [-4.0, -1.5, 0.0, 0.3, 1.96, 2.999, 3.0, 5.5, 9.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", tails.normal_upper(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p - math.erfc(r.z / math.sqrt(2)) / 2) <= 1e-9 * math.erfc(r.z / math.sqrt(2)) for r in got)
+    cases = [(x, k) for x in (0.01, 0.8, 3.84, 18.3, 60.0, 900.0) for k in (1, 2, 3, 4, 7, 10, 51, 1000)]
+    got = spark.createDataFrame(cases, "x double, k int").select("x", "k", tails.chi_square_upper(F.col("x"), F.col("k")).alias("p")).collect()
+    assert all(abs(r.p - gamma_upper(r.k / 2, r.x / 2)) < 1e-9 for r in got)
+    got = spark.createDataFrame([(0.0, 3), (5.0, 0), (-1.0, 2)], "x double, k int").select(tails.chi_square_upper(F.col("x"), F.col("k")).alias("p")).collect()
+    assert [r.p for r in got] == [1.0, None, 1.0]
+    # percentage points of the Kolmogorov distribution
+    points = {0.0: 1.0, 0.2: 1.0, 0.8276: 0.5, 1.2238: 0.1, 1.3581: 0.05, 1.6276: 0.01}
+    got = spark.createDataFrame([(v,) for v in points], "x double").select("x", tails.kolmogorov_upper(F.col("x")).alias("p")).collect()
+    assert all(abs(r.p - points[r.x]) < 5e-5 for r in got)
+
+
+def test_tests_of_distributions(spark):
+    counts = spark.createDataFrame([("a", 48, 0.5), ("a", 52, 0.5), ("a", 3, 0.0), ("b", 10, 0.9), ("b", 90, 0.1), ("c", 5, 0.0), ("d", 7, 1.0)], "g string, o long, e double")
+    got = {r.g: r for r in st.chi_square(counts, "o", "e", ["g"]).collect()}
+    assert (got["a"].n, got["a"].cells, got["a"].passed) == (103, 2, True) and abs(got["a"].chi2 - (3.5**2 + 0.5**2) / 51.5) < 1e-12
+    assert not got["b"].passed and got["b"].p_value < 1e-9
+    assert (got["c"].chi2, got["c"].p_value, got["c"].passed) == (0, 1, True) and got["d"].p_value is None and got["d"].passed
+    rows = spark.createDataFrame([("x", "u")] * 30 + [("x", "v")] * 34 + [("x", "other")] * 9 + [("y", "other")], "g string, v string")
+    words = spark.createDataFrame([("u", 0.45), ("v", 0.45), ("w", 0.1)], "value string, share double")
+    got = {r.g: r for r in st.marginal_check(rows, "v", words, ["g"]).collect()}
+    assert (got["x"].n, got["x"].cells) == (64, 3) and abs(got["x"].chi2 - (1.2**2 / 28.8 + 5.2**2 / 28.8 + 6.4)) < 1e-9 and got["y"].n == 0
+    sides = spark.createDataFrame([(float(i), i % 2) for i in range(200)], "v double, s int")
+    near = st.ks_distance(sides, "v", F.col("s") == 0, F.col("s") == 1).first()
+    assert near.passed and near.p_value > 0.99
+    far = st.ks_distance(sides, "v", F.col("v") < 60, F.col("v") >= 60).first()
+    assert not far.passed and far.d == 1 and far.p_value < 1e-12
+    empty = st.ks_distance(sides, "v", F.col("s") == 0, F.col("s") == 5).first()
+    assert (empty.d, empty.p_value, empty.passed, empty.n_b) == (0, 1, True, 0)
+    paired = spark.createDataFrame([("a", d) for d in (1, 1, -1, 2, 3, 0, 4, -2, 5, 6)] + [("z", 0)], "g string, d long")
+    got = st.signed_ranks(paired, "d", ["g"]).collect()
+    # sizes 1 1 1 2 2 3 4 5 6: mean ranks 2, 4.5, 6, 7, 8, 9
+    assert [(r.g, r.n, r.w_plus, r.w_minus) for r in got] == [("a", 9, 38.5, 6.5)]
+    from math import erfc, sqrt
+
+    z = (22.5 - 6.5) / sqrt(9 * 10 * 19 / 24 - (24 + 6) / 48)
+    assert abs(got[0].p_value - erfc(z / sqrt(2))) < 1e-12
 
 
 def test_random_retrieval_is_the_mean_over_all_places(spark):
