@@ -12,9 +12,8 @@ equal masked lines, or, if nothing but ``<*>`` is left of them, as equal lines.
 A line goes, from all documents, if one of its templates recurs: at least ``LEAST_DOCS`` holders have it. Copied documents
 share all their lines, which says nothing about a line: documents with at least ``ALIKE`` per cent of their word pairs in common
 (estimated from the least hashes of ``BINS`` bins: one-permutation MinHash) are copies, linked ones are a group, and a group
-is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among
-documents whose recurring lines make up ``SHARE`` per cent of their characters; any other document is a holder of its
-own. They are dealt to ``BANDS`` buckets of two values, and compared with the least and the greatest id of each bucket.
+is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among all
+documents that have a line of a recurring template. They are dealt to ``BANDS`` buckets of two values, and compared with some centres of each bucket, in turns, until all are linked to one or alone.
 
 Each line is parsed once, into a narrow table; only lines that share a run with ``LEAST_DOCS`` others go further. Sets of
 keys are broadcast if they are small (``common.BROADCAST`` rows of a few numbers), and shuffled beyond that, where adaptive execution
@@ -28,6 +27,8 @@ but for those named in ``keep``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ from .common import Scratch, sized
 from .neardup import components
 
 LEADING, RUNS, SIMILAR, LEAST_DOCS, LEAST_TOKENS = 2, 3, 70, 3, 5
-SHARE, ALIKE, BINS, BANDS = 25, 65, 64, 16
+ALIKE, BINS, BANDS = 65, 64, 16
+#: Lost lines of a document that are looked through one by one.
+MANY = 32
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -66,13 +69,13 @@ def node(k: int, *runs: int) -> Column:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_chars, chars, line_key, ids (hashes of the masked tokens), exact, keys (of its groups) of each line that is not blank."""
-    lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.char_length("text").alias("doc_chars"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    """doc_id, line_key, ids (hashes of the masked tokens), exact, keys (of its groups) of each line that is not blank."""
+    lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     # blank lines are told by the line itself: a filter on the tokens would compute them twice
     lines = lines.filter(F.col("line").rlike(_WORD)).withColumn("ids", hashed(masked_tokens(F.col("line"))))
     bare = (F.size("ids") < LEAST_TOKENS) & (F.size(F.array_remove("ids", F.hash(F.lit("<*>")))) == 0)
     exact = F.when(bare, F.xxhash64(hashed(tokens_of(F.col("line"))))).otherwise(F.xxhash64("ids"))
-    lines = lines.select("doc_id", "doc_chars", F.char_length("line").alias("chars"), F.xxhash64("line").alias("line_key"), "ids", exact.alias("exact"))
+    lines = lines.select("doc_id", F.xxhash64("line").alias("line_key"), "ids", exact.alias("exact"))
     return lines.withColumn("keys", F.when(F.size("ids") >= LEAST_TOKENS, F.array(*(node(k, k) for k in range(RUNS)))).otherwise(F.array("exact")))
 
 
@@ -91,44 +94,92 @@ def generalised(scratch: Scratch, forms: DataFrame) -> DataFrame:
 
 
 def instances(scratch: Scratch, lines: DataFrame) -> DataFrame:
-    """doc_id, doc_chars, line_key, chars, template: each line with those of its templates that LEAST_DOCS documents have."""
+    """doc_id, line_key, template: each line with those of its templates that LEAST_DOCS documents have."""
     groups = lines.select("exact", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"), (F.min("exact") < F.max("exact")).alias("mixed")).filter(f"n >= {LEAST_DOCS}").select("key", "mixed")
     groups = scratch.save(groups, "groups")
     met = lines.withColumn("key", F.explode("keys")).join(sized(groups), "key")
-    met = scratch.save(met.select("doc_id", "doc_chars", "line_key", "chars", "exact", "key", "mixed", F.when(F.col("mixed"), F.col("ids")).alias("ids")), "met")
+    met = scratch.save(met.select("doc_id", "line_key", "exact", "key", "mixed", F.when(F.col("mixed"), F.col("ids")).alias("ids")), "met")
     forms = scratch.save(met.filter("mixed").groupBy("key", "exact").agg(F.any_value("ids").alias("ids"), F.count("*").alias("n")), "forms")
     general = generalised(scratch, forms)
-    once = met.select("doc_id", "doc_chars", "line_key", "chars", "exact").distinct()
+    once = met.select("doc_id", "line_key", "exact").distinct()
     every = scratch.save(once.withColumn("template", F.col("exact")).unionByName(once.join(sized(general), "exact").select(*once.columns, "template")).drop("exact"), "every")
     frequent = every.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(f"docs >= {LEAST_DOCS}").select("template")
     frequent = scratch.save(frequent, "frequent")
     return scratch.save(every.join(sized(frequent), "template", "left_semi").select(*every.columns), "hits")
 
 
+def bin_of(x: Column, bins: int) -> Column:
+    """The bin of a hash: its leading bits; ``bins`` is a power of two."""
+    return F.shiftrightunsigned(x, 65 - bins.bit_length())
+
+
+def first_of_bins(values: str, bins: int) -> Column:
+    """The first hash of each bin of sorted hashes."""
+    at = F.col(values)
+    return F.filter(at, lambda x, i: (i == 0) | (bin_of(x, bins) != bin_of(F.get(at, i - 1), bins)))
+
+
 def copies(spark: SparkSession, scratch: Scratch, lines: DataFrame, suspects: DataFrame) -> DataFrame:
     """doc_id, holder: the copy group of each of the ``suspects`` (doc_id)."""
     pair = F.expr("transform(sequence(0, greatest(size(ids) - 2, 0)), i -> xxhash64(ids[i], get(ids, i + 1)))")
-    pairs = lines.select("doc_id", "ids").join(sized(suspects), "doc_id").select("doc_id", F.explode(pair).alias("pair"))
-    least = pairs.groupBy("doc_id", F.expr(f"cast(pmod(pair, {BINS}) as int)").alias("bin")).agg(F.min(F.expr("cast(shiftright(pair, 32) as int)")).alias("low"))
-    found = least.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "low"))).alias("at"))
-    sketch = scratch.save(found.select("doc_id", F.expr(f"transform(sequence(0, {BINS - 1}), k -> at[k])").alias("sketch")), "sketches")
+    pairs = lines.select("doc_id", pair.alias("pairs")).join(sized(suspects), "doc_id").groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    sketch = scratch.save(pairs.select("doc_id", first_of_bins("pairs", BINS).alias("sketch")), "sketches")
     # equal sketches are one row, so a group of equal copies of any size is
     same = scratch.save(sketch.select("doc_id", F.xxhash64("sketch").alias("same")), "same")
     reps = scratch.save(same.groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
-    kept = scratch.save(sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch"), "kept")
-    value = lambda b: F.array_min(F.array(*(F.expr(f"sketch[{k}]") for k in range(b % BANDS, BINS, BANDS))))
+    # a bit for each bin that isn't empty
+    full = F.aggregate("sketch", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bin_of(x, BINS).cast("int"))))
+    kept = scratch.save(sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch", full.alias("full")), "kept")
+    least = first_of_bins("sketch", BANDS)
+    value = lambda b: F.try_element_at("at", F.lit(b % BANDS).cast("long"))
     band = [F.when(F.coalesce(value(b), value(b + 5)).isNotNull(), F.xxhash64(F.lit(b), value(b), value(b + 5))) for b in range(BANDS)]
-    sides = scratch.save(kept.select("rep", F.explode(F.array_compact(F.array(*band))).alias("bucket")), "sides")
-    ends = sides.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    tested = sides.join(ends, "bucket").select(F.col("rep").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct()
-    left, right = (kept.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    both = tested.join(left, "a").join(right, "b")
-    count = lambda test: f"size(filter(zip_with(s_a, s_b, (x, y) -> {test}), z -> z))"
-    linked = both.filter(f"100 * {count('x = y')} >= {ALIKE} * {count('x is not null or y is not null')}").select("a", "b")
-    group = components(spark, scratch.save(linked, "linked"), scratch, "copies").withColumnRenamed("id", "rep")
+    dealt = kept.select("rep", F.map_from_entries(F.transform(least, lambda x: F.struct(bin_of(x, BANDS), x))).alias("at"))
+    sides = scratch.save(dealt.select("rep", F.explode(F.array_compact(F.array(*band))).alias("bucket")), "sides")
+    found = alike(spark, scratch, kept, sides)
+    group = found.withColumnRenamed("id", "rep")
     return scratch.save(same.join(reps, "same").join(group, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("holder")), "holders")
 
 
+def without(lines: Column, gone: Column) -> Column:
+    """The lines whose keys are not among ``gone``.
+
+    Many keys are dealt to as many drawers as the root of their number, so that neither making the drawers nor looking into them takes lines x keys."""
+    drawers = F.when(F.size(gone) > MANY, F.ceil(F.sqrt(F.size(gone))).cast("int")).otherwise(1)
+    dealt = F.transform(F.sequence(F.lit(0), drawers - 1), lambda b: F.filter(gone, lambda g: F.pmod(g, drawers) == b))
+    # as the argument of a lambda the drawers are made once, not for each line
+    stays = lambda x, held: ~F.array_contains(F.get(held, F.pmod(F.xxhash64(x), F.size(held)).cast("int")), F.xxhash64(x))
+    return F.get(F.transform(F.array(dealt), lambda held: F.filter(lines, lambda x: stays(x, held))), F.lit(0))
+
+
+def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFrame) -> DataFrame:
+    """id, comp: the linked groups of the sketches (rep, sketch) that share a bucket (rep, bucket).
+
+    A bucket's members are compared with its least and greatest id; those that are linked to neither go on to another turn, each
+    with eight times as many centres, until no bucket has two members left that are linked to none of its centres."""
+    left, right = (kept.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("full").alias(f"f_{x}")) for x in "ab")
+    close = f"100 * size(array_intersect(s_a, s_b)) >= {ALIKE} * bit_count(f_a | f_b)"
+    active, links, turn = sides, [], 0
+    while True:
+        ends = active.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+        more = f" or pmod(xxhash64(rep, bucket, {turn}), n) < shiftleft(1L, {min(3 * turn, 60)})" if turn else ""
+        met = scratch.save(active.join(ends, "bucket").select("rep", "bucket", F.expr(f"rep = lo or rep = hi{more}").alias("centre")), f"met-{turn}")
+        stars = met.select(F.col("rep").alias("a"), "bucket", F.col("centre").alias("end")).join(met.filter("centre").select(F.col("rep").alias("b"), "bucket"), "bucket").filter("a <> b")
+        tested = stars.filter("not end or a > b").select("a", "b").distinct()
+        links.append(scratch.save(tested.join(left, "a").join(right, "b").filter(close).select("a", "b"), f"links-{turn}"))
+        reached = stars.filter("not end").join(links[-1], ["a", "b"]).select(F.col("a").alias("rep"), "bucket").distinct()
+        rest = met.filter("not centre").select("rep", "bucket").join(reached, ["rep", "bucket"], "left_anti")
+        several = rest.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
+        active = scratch.save(rest.join(several, "bucket").select("rep", "bucket"), f"active-{turn}")
+        turn += 1
+        if active.limit(1).count() == 0:
+            break
+    labels = components(spark, reduce(DataFrame.unionByName, links), scratch, "copies")
+    for name in ("met", "links", "active"):
+        for k in range(turn):
+            scratch.drop(f"{name}-{k}")
+    return labels
+
+
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, text without recurring lines, n_lines, n_dropped (of the row's lines)."""
     scratch = Scratch(spark, "linededup")
@@ -137,14 +188,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str,
     hits = instances(scratch, lines)
     for name in ("groups", "met", "forms", "made", "general", "every", "frequent"):
         scratch.drop(name)
-    weight = hits.groupBy("doc_id", "line_key").agg(F.max("chars").alias("chars"), F.max("doc_chars").alias("doc_chars")).groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.max("doc_chars").alias("doc_chars"))
-    suspects = scratch.save(weight.filter(f"100 * chars >= {SHARE} * doc_chars").select("doc_id"), "suspects")
+    suspects = scratch.save(hits.select("doc_id").distinct(), "suspects")
     holders = copies(spark, scratch, lines, suspects)
     counted = hits.select("doc_id", "template").distinct().join(holders, "doc_id", "left").select("template", F.coalesce("holder", "doc_id").alias("holder")).distinct()
     recurring = scratch.save(counted.groupBy("template").agg(F.count("*").alias("holders")).filter(f"holders >= {LEAST_DOCS}").select("template"), "recurring")
     gone = scratch.save(hits.join(sized(recurring), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone")), "gone")
-    for name in ("lines", "hits", "suspects", "sketches", "same", "reps", "kept", "sides", "linked", "holders", "recurring"):
+    for name in ("lines", "hits", "suspects", "sketches", "same", "reps", "kept", "sides", "holders", "recurring"):
         scratch.drop(name)
     joined = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
-    joined = joined.withColumn("left", F.expr("if(gone is null, lines, filter(lines, x -> not array_contains(gone, xxhash64(x))))"))
+    joined = joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.col("gone"))))
     return joined.select("doc_id", *keep, F.expr("if(gone is null, text, array_join(`left`, '\n'))").alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -472,3 +472,41 @@ def test_near_copies_of_clashing_and_missing_ids(spark):
     crowd = [(None if k % 3 else k, base.replace(f"w{k + 5} ", f"x{k} ")) for k in range(60)]
     rows = neardup.near_duplicates(spark, spark.createDataFrame(crowd, shape)).collect()
     assert {r.component_id for r in rows} == {0}
+
+
+def test_copies_that_match_neither_end_of_a_bucket_are_one_holder(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage = " ".join(word() for _ in range(14))
+    groups = []
+    for g in range(12):
+        base = [word() for _ in range(90)]
+        # near copies of one text, each with a word of its own
+        groups.append([" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(4)])
+    rows = [(g * 10 + i, f"{t}\n{passage if g == 5 else 'other ' + word()}") for g, group in enumerate(groups) for i, t in enumerate(group)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in linededup.drop_recurring_lines(spark, frame).collect())
+    more = spark.createDataFrame(rows + [(900 + i, " ".join(word() for _ in range(50)) + "\n" + passage) for i in range(2)], "doc_id long, text string")
+    lost = {r.doc_id for r in linededup.drop_recurring_lines(spark, more).collect() if r.n_dropped}
+    assert lost == {50, 51, 52, 53, 900, 901}
+
+
+def test_copies_with_one_shared_line_of_many_are_one_holder(spark):
+    rng = np.random.default_rng(9)
+    line = lambda: " ".join("".join(rng.choice(list("klmnopqrst"), 5)) for _ in range(9))
+    shared = line()
+    body = [line() for _ in range(30)]
+    rows = [(0, "\n".join([*body, shared])), (1, "\n".join([*body[:-1], line(), shared])), (2, "\n".join([line(), line(), shared]))]
+    got = linededup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 0 for r in got)
+    rows.append((3, "\n".join([line(), shared, line()])))
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1}
+
+
+def test_many_lost_lines_of_a_document(spark):
+    lines = [f"{w} stands in line number words of {w}" for w in ("".join(p) for p in __import__("itertools").product("abcdefgh", repeat=4))][:3000]
+    rows = [(i, "\n".join([*lines, f"own {'xyzuv'[i]} words of this one page", *lines[:5]])) for i in range(5)]
+    other = [(10 + i, "\n".join([" ".join(f"{'mnopq'[i]}{k}{j}z".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(9)) for k in range(2500)] + lines)) for i in range(4)]
+    got = {r.doc_id: r for r in linededup.drop_recurring_lines(spark, spark.createDataFrame(rows + other, "doc_id long, text string")).collect()}
+    assert all(got[i].n_dropped >= 3005 for i in range(5)) and all(got[i].n_dropped >= 3000 for i in range(10, 14))
