@@ -16,26 +16,28 @@ ahead: the k-th score it finds for a query is a floor, and the other tables hand
 Rows with equal vectors tie, and ties go to the smaller id, so k + 1 of them can be answers to anything; further ones
 are left out of the index beforehand. A query that finds fewer than k rows in its buckets is compared with all.
 
-Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose
-length is not the commonest one (ties: the smaller). Rows with a null id take no part. Repeated rows of an id
-count once. No vector: no row. Extra columns are ignored.
+Cases: vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of each length are searched
+apart from the others: a query's candidates are those of its own length. Rows with a null id take no part. Of rows with one id the least
+vector counts (compared component by component), among rows and queries alike. No vector: no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64
 
 #: WIDTH is in units of the distance between unit vectors.
 TABLES, HASHES, WIDTH, PROBES = 4, 6, 1.44, 320
-BLOCK, QUERY_BLOCK = 8192, 8192
+BLOCK, QUERY_BLOCK = 8192, 131_072
 RANGE, LONG, LONG_BUCKET = 1.02, 1.1, 0
 
 
@@ -108,29 +110,34 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part, but for their dimension."""
+    """vec_id, embedding of the rows that take part, one an id."""
     sound = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
-    return vectors.select("vec_id", "embedding").filter("vec_id is not null").filter(sound)
+    return vectors.select("vec_id", "embedding").filter("vec_id is not null").filter(sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each of ``queries`` (same columns), never itself."""
-    scratch = Scratch(spark, "ann")
-    shape = "query_id long, rank int, vec_id long, score double"
-    rows, asked = valid_vectors(vectors), valid_vectors(queries).dropDuplicates(["vec_id"])
+    rows, asked = valid_vectors(vectors), valid_vectors(queries)
     squared = F.expr("aggregate(embedding, 0D, (s, x) -> s + double(x) * x)")
-    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(squared).alias("largest")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], shape)
+    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(squared).alias("largest")).orderBy("d").collect()  # a row a length
+    found = [_of_length(spark, rows, asked, k, squared, x) for x in sizes if x["n"] > 1]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+
+
+def _of_length(spark: SparkSession, rows: DataFrame, asked: DataFrame, k: int, squared: Column, sizes: Row) -> DataFrame:
+    """``nearest`` for the vectors of one length; ``sizes`` holds it (d), their number (n) and the largest squared norm."""
+    scratch = Scratch(spark, "ann")
     dimension, hashing = sizes["d"], Hashing(sizes["d"], float(np.sqrt(sizes["largest"])))
-    n_queries = asked.count()
-    blocks, query_blocks = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    n_queries = asked.filter(F.size("embedding") == dimension).count()
+    blocks = max(1, -(-sizes["n"] // BLOCK))
+    # of the queries that are expected at a block, so that the index is not copied the oftener the more blocks there are
+    query_blocks = max(1, math.ceil(n_queries * min(1.0, PROBES / blocks) / QUERY_BLOCK))
     of_size = F.size("embedding") == dimension
     shares = [0.5, max(0.5, 1 - BLOCK / sizes["n"])]
     median, high = rows.filter(of_size).agg(F.percentile_approx(squared, shares, 10_000)).first()[0]
     long_over = max(LONG * float(np.sqrt(median)), float(np.sqrt(high)))
     same = Window.partitionBy(F.xxhash64("embedding")).orderBy("vec_id")
-    rows = rows.filter(of_size).dropDuplicates(["vec_id"]).withColumn("place", F.row_number().over(same)).filter(F.col("place") <= k + 1).drop("place")
+    rows = rows.filter(of_size).withColumn("place", F.row_number().over(same)).filter(F.col("place") <= k + 1).drop("place")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

@@ -13,7 +13,9 @@ A line goes, from all documents, if one of its templates recurs: at least ``LEAS
 share all their lines, which says nothing about a line: documents with at least ``ALIKE`` per cent of their word pairs in common
 (estimated from the least hashes of ``BINS`` bins: one-permutation MinHash) are copies, linked ones are a group, and a group
 is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among all
-documents that have a line of a recurring template. They are dealt to ``BANDS`` buckets of two values, and compared with some centres of each bucket, in turns, until all are linked to one or alone.
+documents that have a line of a recurring template. A document is sketched from all its lines if a fifth of its words or more are in such lines, as
+in groups of three copies or more; and from its other lines if a third or less are, as in pairs of copies, so that a line
+which many hold does not bring all its holders together. Between the two it has both sketches. They are dealt to ``BANDS`` buckets of three values, and compared with some centres of each bucket, in turns, until all are linked to one or alone.
 
 Each line is parsed once, into a narrow table; only lines that share a run with ``LEAST_DOCS`` others go further. Sets of
 keys are broadcast if they are small (``common.BROADCAST`` rows of a few numbers), and shuffled beyond that, where adaptive execution
@@ -36,7 +38,9 @@ from .common import Scratch, sized
 from .neardup import components
 
 LEADING, RUNS, SIMILAR, LEAST_DOCS, LEAST_TOKENS = 2, 3, 70, 3, 5
-ALIKE, BINS, BANDS = 65, 64, 16
+ALIKE, BINS, GROUPS, BANDS = 65, 64, 16, 24
+#: Per cent of words in recurring lines from which on all lines count, and up to which the others do.
+WHOLE, OTHERS = 20, 33
 #: Lost lines of a document that are looked through one by one.
 MANY = 32
 _WORD = r"[^\x20\x09-\x0D]"
@@ -119,25 +123,37 @@ def first_of_bins(values: str, bins: int) -> Column:
     return F.filter(at, lambda x, i: (i == 0) | (bin_of(x, bins) != bin_of(F.get(at, i - 1), bins)))
 
 
-def copies(spark: SparkSession, scratch: Scratch, lines: DataFrame, suspects: DataFrame) -> DataFrame:
-    """doc_id, holder: the copy group of each of the ``suspects`` (doc_id)."""
+def sketched(lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, sketch of the documents with a line of a recurring template: the first hash of word pairs in each bin, of all lines or of the others."""
+    known = hits.select("doc_id", "line_key").distinct().withColumn("hit", F.lit(True))
+    held = lines.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").join(known, ["doc_id", "line_key"], "left").select("doc_id", "ids", F.coalesce("hit", F.lit(False)).alias("hit"))
     pair = F.expr("transform(sequence(0, greatest(size(ids) - 2, 0)), i -> xxhash64(ids[i], get(ids, i + 1)))")
-    pairs = lines.select("doc_id", pair.alias("pairs")).join(sized(suspects), "doc_id").groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    sketch = scratch.save(pairs.select("doc_id", first_of_bins("pairs", BINS).alias("sketch")), "sketches")
+    some = lambda hit: F.flatten(F.collect_list(F.when(F.col("hit") == hit, pair)))
+    both = held.groupBy("doc_id").agg(some(True).alias("shared"), some(False).alias("own"))
+    n, m = F.size("shared"), F.size("shared") + F.size("own")
+    kinds = F.array(F.when(100 * n >= WHOLE * m, F.concat("shared", "own")), F.when(100 * n <= OTHERS * m, F.col("own")))
+    each = both.select("doc_id", F.explode(F.array_compact(kinds)).alias("pairs")).filter(F.size("pairs") > 0)
+    return each.select("doc_id", F.sort_array("pairs").alias("pairs")).select("doc_id", first_of_bins("pairs", BINS).alias("sketch"))
+
+
+def copies(spark: SparkSession, scratch: Scratch, lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, holder: the copy group of each document with a hit that is linked to another one."""
     # equal sketches are one row, so a group of equal copies of any size is
-    same = scratch.save(sketch.select("doc_id", F.xxhash64("sketch").alias("same")), "same")
-    reps = scratch.save(same.groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
-    # a bit for each bin that isn't empty
+    same = scratch.save(sketched(lines, hits).select("doc_id", F.xxhash64("sketch").alias("rep"), "sketch"), "sketches")
     full = F.aggregate("sketch", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bin_of(x, BINS).cast("int"))))
-    kept = scratch.save(sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch", full.alias("full")), "kept")
-    least = first_of_bins("sketch", BANDS)
-    value = lambda b: F.try_element_at("at", F.lit(b % BANDS).cast("long"))
-    band = [F.when(F.coalesce(value(b), value(b + 5)).isNotNull(), F.xxhash64(F.lit(b), value(b), value(b + 5))) for b in range(BANDS)]
-    dealt = kept.select("rep", F.map_from_entries(F.transform(least, lambda x: F.struct(bin_of(x, BANDS), x))).alias("at"))
+    # a bit for each bin that isn't empty
+    kept = scratch.save(same.groupBy("rep").agg(F.any_value("sketch").alias("sketch")).withColumn("full", full), "kept")
+    value = lambda b: F.try_element_at("at", F.lit(b % GROUPS).cast("long"))
+    places = [(b, b + 5, b + 11) if b < GROUPS else (b, b + 3, b + 7) for b in range(BANDS)]
+    band = [F.when(F.coalesce(*map(value, p)).isNotNull(), F.xxhash64(F.lit(i), *map(value, p))) for i, p in enumerate(places)]
+    dealt = kept.select("rep", F.map_from_entries(F.transform(first_of_bins("sketch", GROUPS), lambda x: F.struct(bin_of(x, GROUPS), x))).alias("at"))
     sides = scratch.save(dealt.select("rep", F.explode(F.array_compact(F.array(*band))).alias("bucket")), "sides")
-    found = alike(spark, scratch, kept, sides)
-    group = found.withColumnRenamed("id", "rep")
-    return scratch.save(same.join(reps, "same").join(group, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("holder")), "holders")
+    # a document may have two sketches, which are one
+    twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
+    group = alike(spark, scratch, kept, sides, twice).withColumnRenamed("id", "rep")
+    named = same.select("doc_id", "rep").join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    names = named.groupBy("comp").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("hi")).filter("holder < hi").select("comp", "holder")
+    return scratch.save(named.join(names, "comp").groupBy("doc_id").agg(F.min("holder").alias("holder")), "holders")
 
 
 def without(lines: Column, gone: Column) -> Column:
@@ -151,8 +167,8 @@ def without(lines: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(dealt), lambda held: F.filter(lines, lambda x: stays(x, held))), F.lit(0))
 
 
-def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFrame) -> DataFrame:
-    """id, comp: the linked groups of the sketches (rep, sketch) that share a bucket (rep, bucket).
+def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFrame, more_links: DataFrame) -> DataFrame:
+    """id, comp: the linked groups of the sketches (rep, sketch, full) that share a bucket (rep, bucket), and of further links (a, b).
 
     A bucket's members are compared with its least and greatest id; those that are linked to neither go on to another turn, each
     with eight times as many centres, until no bucket has two members left that are linked to none of its centres."""
@@ -173,7 +189,7 @@ def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFra
         turn += 1
         if active.limit(1).count() == 0:
             break
-    labels = components(spark, reduce(DataFrame.unionByName, links), scratch, "copies")
+    labels = components(spark, reduce(DataFrame.unionByName, links, more_links), scratch, "copies")
     for name in ("met", "links", "active"):
         for k in range(turn):
             scratch.drop(f"{name}-{k}")
@@ -188,12 +204,11 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str,
     hits = instances(scratch, lines)
     for name in ("groups", "met", "forms", "made", "general", "every", "frequent"):
         scratch.drop(name)
-    suspects = scratch.save(hits.select("doc_id").distinct(), "suspects")
-    holders = copies(spark, scratch, lines, suspects)
+    holders = copies(spark, scratch, lines, hits)
     counted = hits.select("doc_id", "template").distinct().join(holders, "doc_id", "left").select("template", F.coalesce("holder", "doc_id").alias("holder")).distinct()
     recurring = scratch.save(counted.groupBy("template").agg(F.count("*").alias("holders")).filter(f"holders >= {LEAST_DOCS}").select("template"), "recurring")
     gone = scratch.save(hits.join(sized(recurring), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone")), "gone")
-    for name in ("lines", "hits", "suspects", "sketches", "same", "reps", "kept", "sides", "holders", "recurring"):
+    for name in ("lines", "hits", "sketches", "kept", "sides", "holders", "recurring"):
         scratch.drop(name)
     joined = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     joined = joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.col("gone"))))

@@ -510,3 +510,18 @@ def test_many_lost_lines_of_a_document(spark):
     other = [(10 + i, "\n".join([" ".join(f"{'mnopq'[i]}{k}{j}z".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(9)) for k in range(2500)] + lines)) for i in range(4)]
     got = {r.doc_id: r for r in linededup.drop_recurring_lines(spark, spark.createDataFrame(rows + other, "doc_id long, text string")).collect()}
     assert all(got[i].n_dropped >= 3005 for i in range(5)) and all(got[i].n_dropped >= 3000 for i in range(10, 14))
+
+
+def test_nearest_of_several_lengths_and_clashing_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(100 + i, [float(x) for x in rng.normal(size=3)]) for i in range(5)] + [(200, [1.0, 2.0])]
+    clash = [(3, [9.0] * 8), (3, [-9.0] * 8)]
+    v = spark.createDataFrame(rows + clash, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(spark, v, v.filter("vec_id in (3, 20, 100, 102, 200)"), 4).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    plain = {i: x for i, x in rows} | {3: [-9.0] * 8}
+    for q in (3, 20, 100, 102):
+        best = sorted((-round(float(np.dot(plain[q], x)), 9), i) for i, x in plain.items() if i != q and len(x) == len(plain[q]))[:4]
+        assert got[q] == [(i, -s) for s, i in best]
+    assert 200 not in got
