@@ -53,7 +53,7 @@ def r(column: Column | str) -> Column:
 
 
 def _load() -> None:
-    from . import queries_annotation, queries_batches, queries_checks, queries_generation, queries_grounding, queries_pairs, queries_rows, queries_sampling, queries_texts  # noqa: F401
+    from . import queries_annotation, queries_batches, queries_checks, queries_generation, queries_grounding, queries_pairs, queries_report, queries_rows, queries_sampling, queries_terms, queries_texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
+from .ranking import BROADCAST_ROWS
+
+#: What a zero seed counts (fixed value), and parts of the unit interval for distributions that aren't broadcast.
+LEAST_SEED, PARTS = 1e-12, 64
 
 
 def conditional_share(rows: DataFrame, given: list[str], keys: list[str], weight: Column | None = None) -> DataFrame:
@@ -63,23 +67,45 @@ def fit_matrix(seed, row_target, column_target, most: int = 200, close: float =
     return m, most, error, False
 
 
-def fit_nd(seed, targets: list, most: int = 100, close: float = 1e-8):
-    """Proportional fitting of an n-dimensional array to one-dimensional targets; all axes are tested after each sweep."""
-    import numpy as np
-
-    m = np.maximum(np.asarray(seed, float), 1e-12)
-    targets = [np.asarray(t, float) for t in targets]
-    axes = range(m.ndim)
-    sums = lambda k: m.sum(axis=tuple(j for j in axes if j != k))
-    for sweep in range(1, most + 1):
-        for k in axes:
-            s = sums(k)
-            f = np.divide(targets[k], s, out=np.zeros_like(s), where=s > 0)
-            m = m * f.reshape([-1 if j == k else 1 for j in axes])
-        error = max(float(np.abs(sums(k) - targets[k]).max()) for k in axes)
-        if error < close:
-            return m, sweep, error, True
-    return m, most, error, False
+def fit_axes(cells: DataFrame, axes: list[str], value: str, targets: dict[str, DataFrame], most: int = 100, close: float = 1e-8, sweeps: int | None = None, strict: bool = False) -> tuple[DataFrame, int, float, bool]:
+    """Proportional fitting of a table of cells in any number of dimensions: (the cells with ``fitted``, sweeps, largest error, converged).
+
+    ``targets`` has a table (axis, target) for each axis. The cells stay where they are: what changes is one factor for each value of an axis, and a cell is its seed times its
+    factors. An update is one sum over the cells; after each sweep the sums of all axes are tested in one pass (grouping sets). The
+    axes' values are vocabularies: more than ``BROADCAST_ROWS`` are an error. With ``sweeps`` exactly so many are made; with ``strict`` not to converge is an error.
+    Zero and null seeds count as ``LEAST_SEED``. A value without a target gets the factor 0. The cells are read again and again, so they should be a written table."""
+    spark = cells.sparkSession
+    kept = cells.select(*axes, F.greatest(F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(LEAST_SEED)).alias("__seed"))
+    schema = {a: kept.select(a).schema.fields[0].dataType.simpleString() for a in axes}
+    wanted = {a: {r[a]: float(r["target"]) for r in targets[a].select(a, "target").limit(BROADCAST_ROWS + 1).collect()} for a in axes}
+    if too := [a for a in axes if len(wanted[a]) > BROADCAST_ROWS]:
+        raise ValueError(f"more than {BROADCAST_ROWS} values of {too}")
+    factors: dict[str, dict] = {a: {} for a in axes}
+
+    def with_factors(without: str | None = None) -> DataFrame:
+        rows, weight = kept, F.col("__seed")
+        for a in axes:
+            if a != without and factors[a]:
+                there = F.broadcast(spark.createDataFrame(list(factors[a].items()), f"__k {schema[a]}, __f_{a} double"))
+                rows = rows.join(there, rows[a].eqNullSafe(there["__k"]), "left").drop("__k")
+                weight = weight * F.coalesce(F.col(f"__f_{a}"), F.lit(0.0))
+        return rows.withColumn("__w", weight)
+
+    error, done, made = float("inf"), False, 0
+    for made in range(1, (sweeps or most) + 1):
+        for a in axes:
+            sums = {r[a]: r["s"] for r in with_factors(a).groupBy(a).agg(F.sum("__w").alias("s")).collect()}
+            factors[a] = {k: wanted[a].get(k, 0.0) / s if s > 0 else 0.0 for k, s in sums.items()}
+        told = with_factors().groupingSets([[F.col(a)] for a in axes], *axes).agg(F.grouping_id(*axes).alias("g"), F.sum("__w").alias("s")).collect()
+        whole = (1 << len(axes)) - 1
+        error = max((abs(r["s"] - wanted[a].get(r[a], 0.0)) for r in told for i, a in enumerate(axes) if r["g"] == whole ^ (1 << (len(axes) - 1 - i))), default=0.0)
+        done = error < close
+        if done and sweeps is None:
+            break
+    if strict and not done:
+        raise ValueError(f"no convergence in {made} sweeps: error {error}")
+    fitted = with_factors()
+    return fitted.select(*axes, F.col("__w").alias("fitted")), made, error, done
 
 
 def cumulative(distribution: DataFrame, given: list[str], key: str) -> DataFrame:
@@ -97,9 +123,16 @@ def draw(rows: DataFrame, distribution: DataFrame, given: list[str], key: str, r
     match = (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))
     for g in given:
         match = match & (F.col(g) == F.col(f"__{g}"))
+    if cdf.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        cdf = F.broadcast(cdf)
+    else:
+        # too many to send to all tasks: parts of the unit interval are a key of the join, so that rows of common parents spread
+        cdf = cdf.withColumn("__part", F.explode(F.sequence(F.floor(F.col("lo") * PARTS), F.least(F.floor(F.col("hi") * PARTS), F.lit(PARTS - 1)))))
+        u = u.withColumn("__of", F.floor(F.col("__u") * PARTS))
+        match = match & (F.col("__of") == F.col("__part"))
     drawn = u.join(cdf, match, "left")
     checked = F.when(F.col(out).isNull(), F.raise_error(F.lit(f"no distribution for {stage}")).cast("string")).otherwise(F.col(out))
-    return drawn.withColumn(out, checked).drop("__u", "lo", "hi", *(f"__{g}" for g in given))
+    return drawn.withColumn(out, checked).drop("__u", "lo", "hi", "__part", "__of", *(f"__{g}" for g in given))
 
 
 def total_variation(pairs: DataFrame, given: list[str]) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import pick, uniform, uniform_at
+from ..functions.scalar import integer_in, pick, uniform, uniform_at
 from ..plans.graph import Spec, ordered
 from .grounding import draw
 
@@ -75,6 +73,36 @@ def sampled(rows: DataFrame, row_id: str, spec: list[dict], seed: int) -> DataFr
     return rows
 
 
+def feasible_ages(age_lo: Column, age_hi: Column, career_lo: Column, start: Column) -> tuple[Column, Column, Column]:
+    """(lo, hi, whether any) of the ages in a band at which a career that began at ``start`` or later can have lasted ``career_lo`` years."""
+    lo = F.greatest(age_lo, career_lo + start)
+    return lo, age_hi, lo <= age_hi
+
+
+def drawn_within(lo: Column, hi: Column, u: Column, what: str) -> Column:
+    """An even draw among the whole numbers of an interval; an empty interval is an error, a missing end null."""
+    return F.when(lo > hi, F.raise_error(F.format_string(f"no {what} between %d and %d", lo, hi)).cast("int")).otherwise(integer_in(lo, hi, u))
+
+
+def career_years(lo: Column, hi: Column, most: Column, u: Column) -> Column:
+    """Years in a career's band, not more than ``most``; a band that begins beyond is an error."""
+    return drawn_within(lo, F.least(hi, F.coalesce(most, hi)), u, "career years")
+
+
+def truncated_draw(rows: DataFrame, distribution: DataFrame, value: str, weight: str, lo: Column, hi: Column, u: Column, out: str) -> DataFrame:
+    """Adds a draw from a distribution inside an interval of each row's own: the inverse of the part of the distribution that lies in it.
+
+    No draw is made twice. An interval without weight is an error. The distribution is a vocabulary and is sent to all tasks as one row."""
+    steps = distribution.filter(F.col(weight) > 0).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(weight).cast("double").alias("w")))).alias("__steps"))
+    inside = F.filter("__steps", lambda x: (x["v"] >= F.col("__lo")) & (x["v"] <= F.col("__hi")))
+    total = F.aggregate(F.col("__in"), F.lit(0.0), lambda t, x: t + x["w"])
+    # the first value whose running weight exceeds the drawn share of the whole
+    walk = F.aggregate("__in", F.struct(F.lit(0.0).alias("t"), F.lit(None).cast(dict(distribution.dtypes)[value]).alias("v")), lambda s, x: F.struct((s["t"] + x["w"]).alias("t"), F.when(s["v"].isNull() & (s["t"] + x["w"] > F.col("__u") * F.col("__total")), x["v"]).otherwise(s["v"]).alias("v")))["v"]
+    held = rows.withColumns({"__lo": lo, "__hi": hi, "__u": u}).crossJoin(F.broadcast(steps)).withColumn("__in", inside).withColumn("__total", total)
+    found = F.when(F.col("__total") > 0, walk).otherwise(F.raise_error(F.lit("no weight inside the interval")).cast(dict(distribution.dtypes)[value]))
+    return held.withColumn(out, found).drop("__lo", "__hi", "__u", "__steps", "__in", "__total")
+
+
 def first_feasible(candidate, feasible, most: int = MOST_DRAWS, early: int = 4) -> Column:
     """The first feasible one of ``most`` redrawn candidates (structs of the attempt's number); none is an error.
 
@@ -147,7 +175,3 @@ def shuffled(rows: DataFrame, row_id: str, seed: int) -> DataFrame:
 def sample_rows(rows: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """n rows with the least keys, in the order of their ids."""
     return rows.withColumn("shuffle_key", shuffle_key(seed, row_id)).orderBy("shuffle_key", row_id).limit(n).drop("shuffle_key").orderBy(row_id)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

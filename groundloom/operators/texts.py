@@ -10,6 +10,8 @@ from . import ranking
 
 #: What a precision without any match counts instead of zero (fixed value).
 EPSILON = 0.1
+#: Matches that are added up together.
+CHUNK = 128
 
 
 def self_bleu(rows: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -66,10 +68,25 @@ def row_cosines(pairs: DataFrame, a: str, b: str, weights: DataFrame, key: str)
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """(start, match) of all matches, in order; start counts code points from 1."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    begin = lambda i: 1 + F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(found, lambda m, i: F.struct(begin(i).alias("start"), m.alias("match")))
+    """(start, match) of all matches, in order; start counts code points from 1.
+
+    A start is a sum over what stands before it: of whole chunks of matches, which are added up once, and of the rest of its own chunk."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x)
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  as the argument of a lambda c is computed once
+
+    def begun(x: Column, steps: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda c: total(F.slice(steps, c * CHUNK + 1, F.lit(CHUNK))))
+        ahead = lambda sums: F.transform(sums, lambda _, c: total(F.slice(sums, F.lit(1), c)))
+        start = lambda heads, i: 1 + F.get(heads, F.floor(i / CHUNK).cast("int")) + total(F.slice(steps, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK + 1))
+        return once(chunks, lambda sums: once(ahead(sums), lambda heads: F.transform(x["m"], lambda m, i: F.struct(start(heads, i).alias("start"), m.alias("match")))))
+
+    def of(x: Column) -> Column:
+        # how far a match begins behind the beginning of the one before it
+        steps = F.transform(x["m"], lambda m, i: F.length(F.get(x["b"], i)) + F.when(i > 0, F.length(F.get(x["m"], i - 1))).otherwise(0))
+        return F.when(F.size(x["m"]) > 0, once(steps, lambda s_: begun(x, s_))).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
+
+    return F.when(text.isNotNull(), once(both, of))
 
 
 def context(text: Column, start: Column, length: Column, before: int, after: int) -> Column:

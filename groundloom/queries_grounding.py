@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import query, r, table
+from .catalog import query, r, table, written
 from .functions.scalar import banded, integer_in, uniform, uniform_at
 from .operators import grounding as g
 from .operators import statistics as st
@@ -211,3 +211,30 @@ def conditional_null_expression(spark, d):
     level = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high").when(F.col("o_orderpriority") == "3-MEDIUM", "middle").otherwise("low")
     parts = F.split("o_orderpriority", "-", 2)
     return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000).alias("uses_contract"), level.alias("level"), parts[0].alias("rank_text"), parts[1].alias("rank_name"))
+
+
+_AXES, _SWEEPS = ["o_orderpriority", "o_orderstatus", "c_mktsegment"], 5
+
+
+def _axes_sql() -> str:
+    steps, before = [], "c"
+    for i in range(_SWEEPS):
+        for a in _AXES:
+            steps.append(f"w{len(steps)} AS (SELECT {', '.join(_AXES)}, v * t.target / sum(v) OVER (PARTITION BY {a}) AS v FROM {before} JOIN t_{a} t USING ({a}))")
+            before = f"w{len(steps) - 1}"
+    targets = ", ".join(f"t_{a} AS (SELECT {a}, (SELECT sum(v) FROM c) * sqrt(sum(v)) / sum(sqrt(sum(v))) OVER () AS target FROM c GROUP BY {a})" for a in _AXES)
+    return f"WITH c AS (SELECT {', '.join(_AXES)}, count(*) :: DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), {targets}, {', '.join(steps)} SELECT {', '.join(_AXES)}, round(v, 6) AS fitted FROM {before}"
+
+
+@query(_axes_sql())
+def ipf_three_axes(spark, d):
+    """A three-way table of orders fitted to levelled marginals of all three axes."""
+    cells = written(_orders(spark, d).groupBy(*_AXES).agg(F.count("*").cast("double").alias("v")), "cells")
+    total = cells.agg(F.sum("v").alias("total"))
+
+    def target(a):
+        sums = cells.groupBy(a).agg(F.sqrt(F.sum("v")).alias("root"))
+        return sums.crossJoin(F.broadcast(sums.agg(F.sum("root").alias("roots")))).crossJoin(F.broadcast(total)).select(a, (F.col("total") * F.col("root") / F.col("roots")).alias("target"))
+
+    fitted, *_ = g.fit_axes(cells, _AXES, "v", {a: target(a) for a in _AXES}, sweeps=_SWEEPS)
+    return fitted.withColumn("fitted", r("fitted"))

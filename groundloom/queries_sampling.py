@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import query, r, table
+from .functions import scalar as s
 from .functions.scalar import uniform_at
 from .operators import sampling as sm
 from .operators.grounding import conditional_share
@@ -197,3 +198,24 @@ def activity_plan_refresh(spark, d):
     counts = seen.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     best = sm.refreshed_plans(table(spark, d, "customer"), "c_custkey", _POOLS, seen, counts, 41)
     return best.select("c_custkey", "attempt", F.array_join("items", ",").alias("plan"), "family_seen", "exact_seen")
+
+
+_FEASIBLE = """x AS (SELECT c_custkey, 20 + c_nationkey % 5 * 10 AS age_lo, 29 + c_nationkey % 5 * 10 AS age_hi, CAST(ascii(c_mktsegment) % 5 * 5 AS INT) AS career_lo, CAST(ascii(c_mktsegment) % 5 * 5 + 4 AS INT) AS career_hi, CAST(15 + c_custkey % 4 AS INT) AS start FROM customer),
+f AS (SELECT *, greatest(age_lo, career_lo + start) AS lo FROM x)"""
+
+
+@query(f"""WITH {_FEASIBLE}, a AS (SELECT *, lo + CAST(floor({u_sql(61, 'c_custkey', 'age')} * (age_hi - lo + 1)) AS INT) AS age FROM f WHERE lo <= age_hi),
+y AS (SELECT *, least(career_hi, age - start) AS hi FROM a), q AS (SELECT CAST(l_quantity AS INT) AS v, count(*) AS w FROM lineitem GROUP BY 1),
+c AS (SELECT c_custkey, v, sum(w) OVER (PARTITION BY c_custkey ORDER BY v) AS upto, sum(w) OVER (PARTITION BY c_custkey) AS total FROM y JOIN q ON v BETWEEN age % 40 AND age % 40 + 9)
+SELECT y.c_custkey, age, career_lo + CAST(floor({u_sql(61, 'c_custkey', 'years')} * (hi - career_lo + 1)) AS INT) AS years, (SELECT min(v) FROM c WHERE c.c_custkey = y.c_custkey AND upto > {u_sql(61, 'y.c_custkey', 'quantity')} * total) AS quantity FROM y""")
+def feasible_career_draws(spark, d):
+    """Ages that leave room for a career, years that the age leaves room for, and a quantity drawn inside an interval of the row's own."""
+    n, key = F.col("c_nationkey"), F.col("c_custkey")
+    career = F.ascii("c_mktsegment") % 5 * 5
+    rows = table(spark, d, "customer").select("c_custkey", (20 + n % 5 * 10).alias("age_lo"), (29 + n % 5 * 10).alias("age_hi"), career.alias("career_lo"), (career + 4).alias("career_hi"), (15 + key % 4).cast("int").alias("start"))
+    lo, hi, some = sm.feasible_ages(*(F.col(c) for c in ("age_lo", "age_hi", "career_lo", "start")))
+    aged = rows.filter(some).withColumn("age", sm.drawn_within(lo, hi, s.uniform(61, key, "age"), "age"))
+    aged = aged.withColumn("years", sm.career_years(F.col("career_lo"), F.col("career_hi"), F.col("age") - F.col("start"), s.uniform(61, key, "years")))
+    quantities = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("v")).agg(F.count("*").alias("w"))
+    drawn = sm.truncated_draw(aged, quantities, "v", "w", F.col("age") % 40, F.col("age") % 40 + 9, s.uniform(61, key, "quantity"), "quantity")
+    return drawn.select("c_custkey", "age", "years", "quantity")
