@@ -148,9 +148,12 @@ def copies(spark: SparkSession, scratch: Scratch, lines: DataFrame, hits: DataFr
     band = [F.when(F.coalesce(*map(value, p)).isNotNull(), F.xxhash64(F.lit(i), *map(value, p))) for i, p in enumerate(places)]
     dealt = kept.select("rep", F.map_from_entries(F.transform(first_of_bins("sketch", GROUPS), lambda x: F.struct(bin_of(x, GROUPS), x))).alias("at"))
     sides = scratch.save(dealt.select("rep", F.explode(F.array_compact(F.array(*band))).alias("bucket")), "sides")
+    scratch.drop("lines")
+    # further keys of other three values each, for what the first turn leaves in a bucket
+    finer = dealt.select("rep", F.array(*(F.xxhash64(F.lit(-1 - j), *map(value, (j, j + 2, j + 9))) for j in range(0, GROUPS, 2))).alias("keys"))
     # a document may have two sketches, which are one
     twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    group = alike(spark, scratch, kept, sides, twice).withColumnRenamed("id", "rep")
+    group = alike(spark, scratch, kept, sides, finer, twice).withColumnRenamed("id", "rep")
     named = same.select("doc_id", "rep").join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("hi")).filter("holder < hi").select("comp", "holder")
     return scratch.save(named.join(names, "comp").groupBy("doc_id").agg(F.min("holder").alias("holder")), "holders")
@@ -167,11 +170,12 @@ def without(lines: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(dealt), lambda held: F.filter(lines, lambda x: stays(x, held))), F.lit(0))
 
 
-def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFrame, more_links: DataFrame) -> DataFrame:
+def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFrame, finer: DataFrame, more_links: DataFrame) -> DataFrame:
     """id, comp: the linked groups of the sketches (rep, sketch, full) that share a bucket (rep, bucket), and of further links (a, b).
 
-    A bucket's members are compared with its least and greatest id; those that are linked to neither go on to another turn, each
-    with eight times as many centres, until no bucket has two members left that are linked to none of its centres."""
+    A bucket's members are compared with its least and greatest id. Those that are linked to neither are dealt to buckets of a further key (of ``finer``: rep, keys), which
+    parts what shares three values by chance, and go on to another turn, each with eight times as many centres, until no
+    bucket has two members left that are linked to none of its centres."""
     left, right = (kept.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("full").alias(f"f_{x}")) for x in "ab")
     close = f"100 * size(array_intersect(s_a, s_b)) >= {ALIKE} * bit_count(f_a | f_b)"
     active, links, turn = sides, [], 0
@@ -185,14 +189,20 @@ def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFra
         reached = stars.filter("not end").join(links[-1], ["a", "b"]).select(F.col("a").alias("rep"), "bucket").distinct()
         rest = met.filter("not centre").select("rep", "bucket").join(reached, ["rep", "bucket"], "left_anti")
         several = rest.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
-        active = scratch.save(rest.join(several, "bucket").select("rep", "bucket"), f"active-{turn}")
+        left_over = rest.join(several, "bucket").select("rep", "bucket")
+        if turn == 0:
+            left_over = left_over.join(finer, "rep").select("rep", F.explode("keys").alias("key"), "bucket").select("rep", F.xxhash64("bucket", "key").alias("bucket"))
+        active = scratch.save(left_over, f"active-{turn}")
+        scratch.drop(f"met-{turn}")
+        if turn:
+            scratch.drop(f"active-{turn - 1}")
         turn += 1
         if active.limit(1).count() == 0:
             break
     labels = components(spark, reduce(DataFrame.unionByName, links, more_links), scratch, "copies")
-    for name in ("met", "links", "active"):
-        for k in range(turn):
-            scratch.drop(f"{name}-{k}")
+    for k in range(turn):
+        scratch.drop(f"links-{k}")
+    scratch.drop(f"active-{turn - 1}")
     return labels
 
 
