@@ -21,6 +21,10 @@ GENERIC = {
 }
 NOT_ATOMIC = r"\S+와\s+\S+|\S+과\s+\S+|\S+\s+및\s+\S+|\S+\s+하고\s+\S+|/|,|·"
 ITEMS, LEAST_OVERLAP, LEAST_CAP = 5, 3, 4
+# Decades of life, years told as employment (before and behind the number), and the sentence that takes their place.
+DECADE = r"[1-9]0대(?:\s*이상)?"
+EMPLOYED_AFTER, EMPLOYED_BEFORE = r"\s*년(?:간)?\s*(?:동안\s*)?(?:전업|겸업)", r"(?:전업|겸업)\s*(?:으로서|으로|상태로)?\s*"
+TOLD_APART, FULL_TIME = ("활동 경력은 ", "년이며 현재는 ", " 상태"), "전업"
 
 
 # ---- state between batches -----------------------------------------------------------------------
@@ -106,14 +110,15 @@ def right_decade(text: Column, age: Column) -> Column:
         wrong = present_self(text, s["start"], F.lit(3)) & ~age.between(low, low + 9)
         return F.when(wrong, F.concat((F.floor(age / 10) * 10).cast("string"), F.lit("대"))).otherwise(s["match"])
 
-    return rewritten(text, r"[1-9]0대(?:\s*이상)?", new)
+    return rewritten(text, DECADE, new)
 
 
 def told_duration(text: Column, years: Column, employment: Column) -> Column:
     """Years of activity told as years of employment are told apart."""
-    y, new = years.cast("string"), F.concat(F.lit("활동 경력은 "), years.cast("string"), F.lit("년이며 현재는 "), F.coalesce(F.nullif(employment, F.lit("")), F.lit("전업")), F.lit(" 상태"))
-    first = F.regexp_replace(text, F.concat(y, F.lit(r"\s*년(?:간)?\s*(?:동안\s*)?(?:전업|겸업)")), new)
-    return F.when(years > 0, F.regexp_replace(first, F.concat(F.lit(r"(?:전업|겸업)\s*(?:으로서|으로|상태로)?\s*"), y, F.lit(r"\s*년")), new)).otherwise(text)
+    y, (begin, middle, end) = years.cast("string"), TOLD_APART
+    new = F.concat(F.lit(begin), y, F.lit(middle), F.coalesce(F.nullif(employment, F.lit("")), F.lit(FULL_TIME)), F.lit(end))
+    first = F.regexp_replace(text, F.concat(y, F.lit(EMPLOYED_AFTER)), new)
+    return F.when(years > 0, F.regexp_replace(first, F.concat(F.lit(EMPLOYED_BEFORE), y, F.lit(r"\s*년")), new)).otherwise(text)
 
 
 def retry_machine(rows: DataFrame, key: str, draft: Callable[[DataFrame, int], DataFrame], repair: Callable[[Column], Column], checks: dict[str, Callable[[Column], Column]], coerce: dict[str, Callable[[Column], Column]], most: int, folder: str) -> DataFrame:

@@ -46,7 +46,7 @@ FOREIGN_TERMS = {
     "영화": ["BIM", "도면", "악보 채보", "낭독회"],
     "만화": ["BIM", "도면 마감", "악보", "안무"],
 }
-# Cues of occupations, any one of which is enough.
+# Cues of occupations, any one of which is enough.
 ANCHORS = {
     "시인": ["시", "시집"],
     "소설가": ["소설", "소설집", "장편", "단편"],
@@ -251,6 +251,7 @@ def career_stage(names: list[str]) -> Column:
 def employment_duration(names: list[str]) -> Column:
     """The years of activity told as years of the present kind of employment."""
     years = F.col("career_years").cast("int").cast("string")
+    # fixed values: the patterns before and behind the number
     pattern = F.concat(F.lit("(?U)"), years, F.lit(r"\s*년(?:간)?\s*(?:동안\s*)?(?:전업|겸업)|(?:전업|겸업)\s*(?:으로서|으로|상태로)?\s*"), years, F.lit(r"\s*년"))
     return issue((F.col("career_years") > 0) & F.rlike(joined(names), pattern), "warning", "EMPLOYMENT_DURATION_CONFLATION", "narrative", says(years, " years of activity told as employment"))
 

@@ -15,6 +15,7 @@ def labelled_rows(pages: DataFrame, labels: list[str], columns: int, soft: float
     no rows. A page that lacks a label, or a row sum beyond ``hard``, is an error when the row or the page is read."""
     line = pages.select("page", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw"))
     names = "|".join(re.escape(n) for n in sorted(labels, key=lambda n: (-len(n), n)))
+    # fixed values: the forms of a row and of its numbers in the reports
     form = rf"^({names})\s+\(([0-9,]+)\)\s+(.+)$"
     numbers = F.transform(F.regexp_extract_all(F.regexp_extract("raw", form, 3), F.lit(r"-?[\d,]+\.\d+|-?[\d,]+"), F.lit(0)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
     found = line.filter(F.col("raw").rlike(form)).select("page", "line", F.regexp_extract("raw", form, 1).alias("label"), F.regexp_replace(F.regexp_extract("raw", form, 2), ",", "").try_cast("long").alias("cases"), numbers.alias("numbers")).filter(F.size("numbers") >= columns)
