@@ -213,6 +213,45 @@ def test_every_rule_contains_its_keyword_and_matches_its_samples():
             assert priority in licenses.SCORES and licenses.anchor(keyword) in keyword.split()
 
 
+def spelled(pattern):
+    """Every text that a pattern spells; classes of characters by the first of each range, repeats by their least number or one."""
+
+    def texts(nodes):
+        out = [""]
+        for x in nodes:
+            out = [a + b for a in out for b in one(x)]
+        return out
+
+    def one(x):
+        op, a = str(x[0]), x[1]
+        if op == "LITERAL":
+            return [chr(a)]
+        if op == "IN":
+            return [chr(b if str(o) == "LITERAL" else b[0]) for o, b in a]
+        if op == "ANY":
+            return ["w"]
+        if op == "BRANCH":
+            return [t for n in a[1] for t in texts(n)]
+        if op == "SUBPATTERN":
+            return texts(a[3])
+        return [""] * (a[0] == 0) + [t * max(a[0], 1) for t in texts(a[2])]
+
+    return texts(re._parser.parse(pattern))
+
+
+def test_every_spelling_of_a_rule_contains_its_keyword():
+    for label, _, keyword, pattern, _ in licenses.rules():
+        for text in spelled(licenses.compiled(pattern)):
+            assert f" {keyword.replace(' ', '  ')} " in text, (label, keyword, text)
+
+
+def test_spellings_beside_the_usual_one_are_found(spark):
+    cases = {"the MIT X11 license": "mit", "MIT/Expat License": "mit", "zlib/libpng license": "zlib", "No part of this book may be copied": "proprietary", "no part of this site may be stored": "proprietary"}
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for row, want in zip(sorted(licenses.labelled(frame).collect()), cases.values(), strict=True):
+        assert want in row.labels.split(","), row
+
+
 def test_licenses_equal_plain_ones(spark, docs, none):
     assert licenses.labelled(none).count() == 0
     rng = random.Random(2)
