@@ -1,3 +1,5 @@
+import os
+import signal
 import sys
 from pathlib import Path
 
@@ -14,3 +16,17 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def in_time():
+    """A test that does not end fails after so many seconds, so that the others still run."""
+
+    def stop(*_):
+        raise TimeoutError("the test did not end in time")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(int(os.environ.get("TEST_SECONDS", "400")))
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
