@@ -15,7 +15,8 @@ share all their lines, which says nothing about a line: documents with at least
 is one holder. So text that only copies share stays, for near-duplicate removal to deal with. Copies are looked for among all
 documents that have a line of a recurring template. A document is sketched from all its lines if a fifth of its words or more are in such lines, as
 in groups of three copies or more; and from its other lines if a third or less are, as in pairs of copies, so that a line
-which many hold does not bring all its holders together. Between the two it has both sketches. They are dealt to ``BANDS`` buckets of three values, and compared with some centres of each bucket, in turns, until all are linked to one or alone.
+which many hold does not bring all its holders together. Between the two it has both sketches. They are dealt to ``BANDS`` buckets of three values and compared with two centres of each; the members of buckets that are more than one group then
+are dealt anew by their rarest values, where all of different groups are compared.
 
 Each line is parsed once, into a narrow table; only lines that share a run with ``LEAST_DOCS`` others go further. Sets of
 keys are broadcast if they are small (``common.BROADCAST`` rows of a few numbers), and shuffled beyond that, where adaptive execution
@@ -29,8 +30,6 @@ but for those named in ``keep``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,8 +124,10 @@ def first_of_bins(values: str, bins: int) -> Column:
 
 def sketched(lines: DataFrame, hits: DataFrame) -> DataFrame:
     """doc_id, sketch of the documents with a line of a recurring template: the first hash of word pairs in each bin, of all lines or of the others."""
-    known = hits.select("doc_id", "line_key").distinct().withColumn("hit", F.lit(True))
-    held = lines.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").join(known, ["doc_id", "line_key"], "left").select("doc_id", "ids", F.coalesce("hit", F.lit(False)).alias("hit"))
+    held = lines.join(sized(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "line_key", "ids", F.lit(False).alias("hit"))
+    known = hits.select("doc_id", "line_key", F.lit(None).cast("array<int>").alias("ids"), F.lit(True).alias("hit"))
+    # dealt by document, so that lines meet their hits and then each other without another exchange
+    held = held.unionByName(known).repartition("doc_id").groupBy("doc_id", "line_key").agg(F.any_value("ids", True).alias("ids"), F.max("hit").alias("hit"))
     pair = F.expr("transform(sequence(0, greatest(size(ids) - 2, 0)), i -> xxhash64(ids[i], get(ids, i + 1)))")
     some = lambda hit: F.flatten(F.collect_list(F.when(F.col("hit") == hit, pair)))
     both = held.groupBy("doc_id").agg(some(True).alias("shared"), some(False).alias("own"))
@@ -149,11 +150,11 @@ def copies(spark: SparkSession, scratch: Scratch, lines: DataFrame, hits: DataFr
     dealt = kept.select("rep", F.map_from_entries(F.transform(first_of_bins("sketch", GROUPS), lambda x: F.struct(bin_of(x, GROUPS), x))).alias("at"))
     sides = scratch.save(dealt.select("rep", F.explode(F.array_compact(F.array(*band))).alias("bucket")), "sides")
     scratch.drop("lines")
-    # further keys of other three values each, for what the first turn leaves in a bucket
-    finer = dealt.select("rep", F.array(*(F.xxhash64(F.lit(-1 - j), *map(value, (j, j + 2, j + 9))) for j in range(0, GROUPS, 2))).alias("keys"))
     # a document may have two sketches, which are one
+    same = scratch.save(same.select("doc_id", "rep"), "named")
+    scratch.drop("sketches")
     twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    group = alike(spark, scratch, kept, sides, finer, twice).withColumnRenamed("id", "rep")
+    group = alike(spark, scratch, kept, sides, twice).withColumnRenamed("id", "rep")
     named = same.select("doc_id", "rep").join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("hi")).filter("holder < hi").select("comp", "holder")
     return scratch.save(named.join(names, "comp").groupBy("doc_id").agg(F.min("holder").alias("holder")), "holders")
@@ -170,40 +171,55 @@ def without(lines: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(dealt), lambda held: F.filter(lines, lambda x: stays(x, held))), F.lit(0))
 
 
-def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFrame, finer: DataFrame, more_links: DataFrame) -> DataFrame:
+def rarest(left: DataFrame, kept: DataFrame) -> DataFrame:
+    """rep, bucket: the sketches (rep) by those of their rarest values that another one holds too.
+
+    Two sketches of ALIKE per cent have so many values in common that, in one order of all values, the first of them stands among the first
+    n - ceil(n * ALIKE / 100) + 1 of both (n: the values of a sketch). In the order of frequency what many have in common comes last."""
+    values = left.join(kept, "rep").select("rep", F.size("sketch").alias("n"), F.explode("sketch").alias("value"))
+    known = values.groupBy("value").agg(F.count("*").alias("held")).filter("held > 1")
+    ranked = values.join(known, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("order"))
+    # values that no other sketch holds come before all others
+    first = F.expr(f"n - ceil(n * {ALIKE} / 100) + 1 - (n - size(`order`))").cast("int")
+    return ranked.select("rep", F.explode(F.slice("order.value", F.lit(1), F.greatest(first, F.lit(0)))).alias("bucket"))
+
+
+def alike(spark: SparkSession, scratch: Scratch, kept: DataFrame, sides: DataFrame, more_links: DataFrame) -> DataFrame:
     """id, comp: the linked groups of the sketches (rep, sketch, full) that share a bucket (rep, bucket), and of further links (a, b).
 
-    A bucket's members are compared with its least and greatest id. Those that are linked to neither are dealt to buckets of a further key (of ``finer``: rep, keys), which
-    parts what shares three values by chance, and go on to another turn, each with eight times as many centres, until no
-    bucket has two members left that are linked to none of its centres."""
+    A bucket's members are compared with its least and greatest id. Members of buckets that are not one group then are dealt anew, to a bucket for each of their ``rarest``
+    values: all that are alike meet there, and those that share only what many have (a passage, a frequent line) do not. There all members of
+    different groups are compared, so that no two alike ones of those dealt anew stay apart."""
     left, right = (kept.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("full").alias(f"f_{x}")) for x in "ab")
     close = f"100 * size(array_intersect(s_a, s_b)) >= {ALIKE} * bit_count(f_a | f_b)"
-    active, links, turn = sides, [], 0
-    while True:
-        ends = active.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-        more = f" or pmod(xxhash64(rep, bucket, {turn}), n) < shiftleft(1L, {min(3 * turn, 60)})" if turn else ""
-        met = scratch.save(active.join(ends, "bucket").select("rep", "bucket", F.expr(f"rep = lo or rep = hi{more}").alias("centre")), f"met-{turn}")
-        stars = met.select(F.col("rep").alias("a"), "bucket", F.col("centre").alias("end")).join(met.filter("centre").select(F.col("rep").alias("b"), "bucket"), "bucket").filter("a <> b")
-        tested = stars.filter("not end or a > b").select("a", "b").distinct()
-        links.append(scratch.save(tested.join(left, "a").join(right, "b").filter(close).select("a", "b"), f"links-{turn}"))
-        reached = stars.filter("not end").join(links[-1], ["a", "b"]).select(F.col("a").alias("rep"), "bucket").distinct()
-        rest = met.filter("not centre").select("rep", "bucket").join(reached, ["rep", "bucket"], "left_anti")
-        several = rest.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
-        left_over = rest.join(several, "bucket").select("rep", "bucket")
-        if turn == 0:
-            left_over = left_over.join(finer, "rep").select("rep", F.explode("keys").alias("key"), "bucket").select("rep", F.xxhash64("bucket", "key").alias("bucket"))
-        active = scratch.save(left_over, f"active-{turn}")
-        scratch.drop(f"met-{turn}")
-        if turn:
-            scratch.drop(f"active-{turn - 1}")
-        turn += 1
-        if active.limit(1).count() == 0:
-            break
-    labels = components(spark, reduce(DataFrame.unionByName, links, more_links), scratch, "copies")
-    for k in range(turn):
-        scratch.drop(f"links-{k}")
-    scratch.drop(f"active-{turn - 1}")
-    return labels
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.save(pairs.distinct().join(left, "a").join(right, "b").filter(close).select(*pairs.columns), name)
+
+    def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """rep, bucket, comp of the buckets that are not one group."""
+        known = members.join(sized(labels.withColumnRenamed("id", "rep")), "rep", "left").select("rep", "bucket", F.coalesce("comp", "rep").alias("comp"))
+        several = known.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("bucket")
+        return known.join(several, "bucket")
+
+    ends = sides.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    met = scratch.save(sides.join(ends, "bucket").select("rep", "bucket", "lo", "hi"), "met")
+    scratch.drop("sides")
+    # the two centres stand in each row
+    stars = met.select("rep", F.explode(F.array("lo", "hi")).alias("end")).filter("rep <> end").select(F.greatest("rep", "end").alias("a"), F.least("rep", "end").alias("b"))
+    labels = components(spark, more_links.unionByName(linked(stars, "links-0").select("a", "b")), scratch, "groups")
+    unmet = scratch.save(apart(met, labels).select("rep").distinct(), "unmet")
+    scratch.drop("met")
+    members = scratch.save(apart(rarest(unmet, kept), labels), "members")
+    one, other = (members.select(F.col("rep").alias(x), "bucket", F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    across = one.join(other, "bucket").filter("comp_a <> comp_b and a > b").drop("bucket")
+    joined = components(spark, linked(across, "links-1").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), scratch, "joined")
+    # groups that a late link joins, and what was alone until then
+    every = labels.unionByName(joined.select("id", F.col("id").alias("comp"))).distinct()
+    every = every.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("name")), "comp", "left").select("id", F.coalesce("name", "comp").alias("comp"))
+    for name in ("unmet", "members", "links-0", "links-1"):
+        scratch.drop(name)
+    return every
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -218,7 +234,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, keep: tuple[str,
     counted = hits.select("doc_id", "template").distinct().join(holders, "doc_id", "left").select("template", F.coalesce("holder", "doc_id").alias("holder")).distinct()
     recurring = scratch.save(counted.groupBy("template").agg(F.count("*").alias("holders")).filter(f"holders >= {LEAST_DOCS}").select("template"), "recurring")
     gone = scratch.save(hits.join(sized(recurring), "template", "left_semi").groupBy("doc_id").agg(F.collect_set("line_key").alias("gone")), "gone")
-    for name in ("lines", "hits", "sketches", "kept", "sides", "holders", "recurring"):
+    for name in ("lines", "hits", "named", "kept", "holders", "recurring"):
         scratch.drop(name)
     joined = docs.join(gone.hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     joined = joined.withColumn("left", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.col("gone"))))

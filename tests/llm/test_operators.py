@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns; results against brute force."""
 
+import random
 import re
 import zlib
 
@@ -8,6 +9,7 @@ import pytest
 
 pytest.importorskip("groundloom.llm")
 from groundloom.llm import ann, crfquality, langid, linededup, mixing, neardup, packing, qualityrules, sharding, warc  # noqa: E402
+from groundloom.llm.common import Scratch  # noqa: E402
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, rank string, size string, n string, bucket string"
 EN = "the cat sat on the mat and looked at the old dog that was near the door of the house."
@@ -525,3 +527,27 @@ def test_nearest_of_several_lengths_and_clashing_ids(spark):
         best = sorted((-round(float(np.dot(plain[q], x)), 9), i) for i, x in plain.items() if i != q and len(x) == len(plain[q]))[:4]
         assert got[q] == [(i, -s) for s, i in best]
     assert 200 not in got
+
+
+def test_alike_sketches_of_a_bucket_end_in_one_group(spark):
+    rng, bins = random.Random(5), linededup.BINS
+    fresh = lambda b: (b << 58 | rng.getrandbits(58)) - (1 << 64 if b >= bins // 2 else 0)
+    changed = lambda s, k: [fresh(b) if b in k else v for b, v in enumerate(s)]
+    common, sketches = [fresh(b) for b in range(bins)], []
+    for _ in range(6):  # chains: only neighbours are alike, so most match neither end of the bucket
+        step = [fresh(b) for b in range(bins)]
+        for k in range(12):
+            sketches.append(step)
+            step = changed(step, {(13 * k + i) % bins for i in range(13)})
+    sketches += [changed(common, set(rng.sample(range(bins), 32))) for _ in range(60)]  # alone, with half of a passage
+    ids = rng.sample(range(1000), len(sketches))
+    close = lambda a, b: 100 * sum(x == y for x, y in zip(a, b)) >= linededup.ALIKE * bins
+    top = {i: i for i in ids}
+    for _ in ids:
+        for i, a in zip(ids, sketches):
+            top[i] = min(top[j] for j, b in zip(ids, sketches) if close(a, b))
+    assert len({top[i] for i in ids[:72]}) == 6 and all(top[i] == i for i in ids[72:])
+    kept = spark.createDataFrame([(i, s, -1) for i, s in zip(ids, sketches)], "rep long, sketch array<long>, full long")
+    sides = spark.createDataFrame([(i, 7) for i in ids], "rep long, bucket long")
+    found = linededup.alike(spark, Scratch(spark, "test"), kept, sides, spark.createDataFrame([], "a long, b long")).collect()
+    assert {i: top[i] for i in ids} == {i: i for i in ids} | {r.id: r.comp for r in found}
