@@ -103,6 +103,30 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str
             return labels
 
 
+def by_stars(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """What ``components`` returns, for edges that are many times the ids.
+
+    Large and small stars in turn (Kiveris et al. 2014): what is above an id goes to its least neighbour, then what is below it does. A turn joins the
+    edges (a >= b) it is given twice at most, not in both directions in every round, and hands on no more than it was given: links of one id that
+    lead to the same one become one link. It ends when every component is a star."""
+    edges = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-0")
+    step = 0
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count_if(F.col("a") != F.col("b")).alias("links")), f"{tag}-near-{step}")
+        scattered = near.filter("low < a and links > 1").limit(1).count()
+        if not scattered:
+            scratch.drop(f"{tag}-{step}")
+            return near.select(F.col("a").alias("id"), F.col("low").alias("comp"))
+        above = scratch.save(edges.join(near.select(F.col("a").alias("b"), "low"), "b").select("a", F.col("low").alias("b")).distinct(), f"{tag}-above-{step}")
+        lows = above.groupBy("a").agg(F.min("b").alias("low"))
+        below = above.join(lows, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        step += 1
+        edges = scratch.save(below.unionByName(lows.select("a", F.col("low").alias("b"))).distinct(), f"{tag}-{step}")
+        for name in (f"{tag}-{step - 1}", f"{tag}-near-{step - 1}", f"{tag}-above-{step - 1}"):
+            scratch.drop(name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; documents with 100 * intersection >= percent * union are linked."""
     small_batches(spark)
@@ -123,7 +147,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     pairs = pairs.join(centres.distinct(), "b")
     tested = scratch.save(_confirm(pairs, docs, named, percent), "tested-0")
     good = tested.filter("linked").select("a", "b")
-    labels = components(spark, good, scratch, "cc-0")
+    labels = by_stars(spark, good, scratch, "cc-0")
     known = active.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
     split = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min("rep").alias("centre")).filter("lo < hi").drop("lo", "hi")
     known = scratch.save(known.join(split, "bucket"), "known")
@@ -134,7 +158,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     fresh = scratch.save(_confirm(more, docs, named, percent), "tested-1")
     found = good.unionByName(fresh.filter("linked").select("a", "b")).unionByName(_crowds(spark, scratch, known.filter(F.col("members") > CROWD), docs, named, percent))
-    labels = components(spark, found, scratch, "cc-1")
+    labels = by_stars(spark, found, scratch, "cc-1")
     scratch.drop("known")
 
     joined = scratch.save(reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or comp is not null").select("set_key", "doc_id", "comp"), "joined")
@@ -151,7 +175,7 @@ def _crowds(spark: SparkSession, scratch: Scratch, known: DataFrame, docs: DataF
     if known.limit(1).count() == 0:
         return spark.createDataFrame([], "a long, b long")
     stars = known.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    crowd = components(spark, stars, scratch, "crowd").select(F.col("id").alias("rep"), F.col("comp").alias("crowd"))
+    crowd = by_stars(spark, stars, scratch, "crowd").select(F.col("id").alias("rep"), F.col("comp").alias("crowd"))
     members = known.select("rep", "n", "comp").distinct().join(crowd, "rep")
     sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = members.join(sizes, "crowd").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))

@@ -89,6 +89,47 @@ def test_large_group_of_near_copies(spark):
     assert [got[i] for i in range(120)] == low
 
 
+def joined_rows(spark, work):
+    """Rows that the joins of the plans run by ``work`` make."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    for k in range(before, store.executionsCount()):
+        run = store.executionsList(k, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
+                if "Join" in n.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_links_are_joined_once_not_in_every_round(spark):
+    # 150 ids linked with each of 30 ids; those are linked with one another only through them
+    edges = spark.createDataFrame([(1000 + i, k) for i in range(150) for k in range(30)], "a long, b long")
+    got = []
+    rows = joined_rows(spark, lambda: got.extend(neardup.by_stars(spark, edges, Scratch(spark, "stars"), "x").collect()))
+    assert sorted(map(tuple, got)) == [(i, 0) for i in [*range(30), *range(1000, 1150)]]
+    # once towards the least above, once towards the least below; each round of labels joins them in both directions
+    assert 0 < rows <= 2 * 150 * 30
+
+
+def test_stars_find_what_a_plain_search_finds(spark):
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(60)
+    cases = [[], [(5, 5), (7, 7), (7, 3)], list(zip(ids, ids[1:])), [(99, k) for k in range(40)], [(-5, 3), (3, -9), (2, 2)], rng.integers(0, 90, (70, 2))]
+    for k, case in enumerate(cases):
+        case = [(int(a), int(b)) for a, b in case]
+        low = {x: x for e in case for x in e}
+        for _ in low:
+            for a, b in case:
+                low[a] = low[b] = min(low[a], low[b])
+        got = neardup.by_stars(spark, spark.createDataFrame(case, "a long, b long"), Scratch(spark, "stars"), f"x{k}").collect()
+        assert sorted(map(tuple, got)) == sorted(low.items())
+
+
 def test_packing(spark, docs, none):
     from groundloom.llm.queries import vocabulary_path
     from tokenizers import Tokenizer
