@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from groundloom.operators import leads, texts
+from pyspark.sql import functions as F
+
+from groundloom.operators import chargrams, leads, tasks, texts
 
 
 def dealt(spark):
@@ -51,3 +53,47 @@ def test_leads_of_blocks(n):
     for k, lost in zip(keys.tolist(), (best - second).tolist()):
         got[k] += lost
     assert {k: got[k] for k in rows} == want
+
+
+def talk(spark, n=400):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 12))) for _ in range(3000)]
+    rows = [(i, None if i == 7 else " ".join(rng.choices(words, k=80))) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, text string"), sum(len(t or "") for _, t in rows)
+
+
+def test_cosines_deal_texts_not_grams(spark):
+    """As rows of grams each text took about 500 rows, dealt again and again."""
+    rows, size = talk(spark)
+    pairs = rows.select(F.col("id").alias("a"), ((F.col("id") + 1) % 400).alias("b"))
+    before = dealt(spark)
+    assert len(texts.row_cosines(pairs, rows, "id", "text", texts.char_weights(rows, "id", "text")).collect()) == 400
+    assert dealt(spark) - before < 8 * size
+
+
+def test_retrieval_deals_texts_not_grams(spark):
+    """So did retrieval: four context texts and a target for each key, three candidates."""
+    rows, size = talk(spark)
+    x = rows.select((F.col("id") % 80).alias("k"), (F.col("id") / 80).cast("int").alias("turn"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    pairs = rows.filter("id < 80").select(F.col("id").alias("k"), F.explode(F.array(*(F.struct(((F.col("id") + j) % 80).alias("candidate"), F.lit(j == 0).alias("truth")) for j in range(3)))).alias("c")).select("k", "c.*")
+    before = dealt(spark)
+    ranks = tasks.retrieval_ranks(pairs, "k", x.filter("turn < 4"), x.filter("turn = 4"), "t", texts.char_weights(rows, "id", "text")).collect()
+    assert len(ranks) == 80 and {r["rank"] for r in ranks} <= {1, 2, 3}
+    assert dealt(spark) - before < 8 * size
+
+
+def test_character_grams_of_odd_texts(spark):
+    """Counts and vocabulary against plain Python, with unknown words, repeats and texts of none."""
+    lines = ["aaaa aaaa b", "", "  ", "é日本 aaaa\tb", "zzz"]
+    plain = [Counter(p[i : i + n] for w in t.split() for p in [f" {w} "] for n in (3, 4, 5) for i in range(len(p) - n + 1)) for t in lines]
+    told = chargrams.Counter(3, 5)
+    text, gram, times = told.count(lines)
+    names = list(told.grams)
+    assert {(t, names[g]): n for t, g, n in zip(text.tolist(), gram.tolist(), times.tolist())} == {(t, g): n for t, c in enumerate(plain) for g, n in c.items()}
+    known = chargrams.Counter(3, 5, {" b ": 0, "aaa": 1})
+    assert [x.tolist() for x in known.count(["zz", "aaaa b aaaa", "b"])] == [[1, 1, 2], [0, 1, 0], [1, 4, 1]]
+    assert [x.tolist() for x in known.count(["", "zz"])] == [[], [], []]
+    cf, df = sum(plain, Counter()), Counter(g for c in plain for g in c)
+    want = sorted((g for g in cf if df[g] >= 2), key=lambda g: (-cf[g], g))[:4]
+    found = chargrams.vocabulary(spark.createDataFrame([(t,) for t in lines], "t string"), "t", features=4)
+    assert found == [(g, df[g]) for g in want]
