@@ -36,7 +36,7 @@ def char_tfidf_cosine(spark, d):
     x = table(spark, d, "conversations").select((F.col("conv_id").cast("long") * 100000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
     after = x.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("id").alias("b"))
     pairs = x.select(F.col("id").alias("a"), "conv_id", "turn").join(after, ["conv_id", "turn"]).select("a", "b")
-    found = texts.row_cosines(pairs, "a", "b", texts.char_tfidf(x, "id", "text"), "id")
+    found = texts.row_cosines(pairs, x, "id", "text", texts.char_weights(x, "id", "text"))
     return found.select(F.expr("a div 100000").alias("conv_id"), (F.col("a") % 100000).alias("turn"), r("cosine").alias("cosine"))
 
 
