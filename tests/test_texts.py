@@ -97,3 +97,19 @@ def test_character_grams_of_odd_texts(spark):
     want = sorted((g for g in cf if df[g] >= 2), key=lambda g: (-cf[g], g))[:4]
     found = chargrams.vocabulary(spark.createDataFrame([(t,) for t in lines], "t string"), "t", features=4)
     assert found == [(g, df[g]) for g in want]
+
+
+def test_recovery_reads_texts_twice(spark):
+    """Each stage of the model made the grams of all texts anew."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        read.add(1)
+        return t
+
+    rng = random.Random(2)
+    rows = [(i, "ab"[i % 2], " ".join(rng.choices(["red", "rose", "rust"] if i % 2 else ["blue", "blot", "bloom"], k=6)), i % 5 == 0) for i in range(100)] + [(900, None, "red", False)]
+    frame = spark.createDataFrame(rows, "id long, kind string, text string, held boolean").repartition(2).withColumn("text", F.udf(seen)("text"))
+    got = tasks.anchor_recovery(frame, "id", "text", "kind", "held").collect()
+    assert len(got) == 20 and all(r.truth == r.predicted for r in got)
+    assert read.value <= 2 * len(rows)
